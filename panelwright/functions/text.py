@@ -45,7 +45,7 @@ def array_from(items: Column | str, start: int) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def from_cp1252(latin1: Column) -> Column:
@@ -60,12 +60,13 @@ def to_cp1252(c: Column) -> Column:
 
 def clean_value(c: Column) -> Column:
     """Quotes and line breaks become blanks; commas, double quotes and backslashes go."""
-    return strip(F.translate(F.translate(c, "'\n\r\t", "    "), ',"\\', ""))
+    return strip(F.translate(c, "'\n\r\t" + ',"\\', "    "))
 
 
 def escape_newlines(c: Column) -> Column:
     """Each line break becomes the two characters ``\\n``."""
-    return strip(F.regexp_replace(c, r"[\n\r]", r"\\n"))
+    mark = F.lit("\\n")
+    return strip(F.replace(F.replace(c, F.lit("\n"), mark), F.lit("\r"), mark))
 
 
 def clean_attribute(c: Column) -> Column:
@@ -87,12 +88,12 @@ def nan_to_null(c: Column) -> Column:
 
 def parse_number(c: Column) -> Column:
     """Double value of the text, NULL when the text is not a plain number."""
-    return F.when(c.rlike(NUMBER_PATTERN), F.trim(c).try_cast("double"))
+    return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
 
 
 def is_bad_number(c: Column) -> Column:
-    """True for a value that is present but not a number."""
-    return c.isNotNull() & parse_number(c).isNull()
+    """True for a value that is present but not a number; NULL for a missing one."""
+    return ~c.rlike(NUMBER_PATTERN)
 
 
 def fixed_width_field(line: Column, start: int, end: int) -> Column:

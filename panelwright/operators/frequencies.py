@@ -106,36 +106,33 @@ def drop_uniform(df: DataFrame, threshold: float = 1.0, protected: Sequence[str]
     return df.drop(*dropped), dropped
 
 
-def nominal_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(col, value, code)``: 0-based place of each distinct text in binary order.
+def _classes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct ``(col, value)``; missing values form the class ``nan``."""
+    return long_text(df, columns).select("col", F.coalesce("value", F.lit("nan")).alias("value")).distinct()
 
-    Missing values form the class ``nan``.
-    """
-    classes = (
-        long_text(df, columns)
-        .select("col", F.coalesce("value", F.lit("nan")).alias("value"))
-        .distinct()
-    )
-    numbered = with_row_number(classes, ["col"], [F.col("value")], "code")
+
+def nominal_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(col, value, code)``: 0-based place of each distinct text in binary order."""
+    numbered = with_row_number(_classes(df, columns), ["col"], [F.col("value")], "code")
     return numbered.withColumn("code", F.col("code") - 1)
 
 
 def encode_nominal(df: DataFrame, columns: Sequence[str], inline_limit: int = INLINE_CLASSES) -> DataFrame:
     """Replace each named column by its code.
 
-    Columns with few classes (counted first) look their code up in a literal list,
-    all in one ``select``. The others join their code table one by one: its keys are
+    Columns with few classes look their code up in a literal list, all in one
+    ``select``. One job finds them: it returns at most ``inline_limit`` + 1 classes
+    per column. The other columns join their code table one by one: its keys are
     unique, so the row count stays, and Spark broadcasts it only when its measured
     size is below the broadcast limit.
     """
     columns = list(columns)
-    codes = nominal_codes(df, columns)
-    sizes = {r["col"]: r["count"] for r in codes.groupBy("col").count().collect()}
-    few = [n for n in columns if sizes.get(n, 0) <= inline_limit]
-    classes: dict[str, list[str]] = {n: [] for n in few}
-    if few:
-        for row in codes.filter(F.col("col").isin(few)).orderBy("col", "code").collect():
-            classes[row["col"]].append(row["value"])
+    first = top_per_group(_classes(df, columns), ["col"], [F.col("value")], inline_limit + 1, "place")
+    classes: dict[str, list[str]] = {n: [] for n in columns}
+    for row in first.orderBy("col", "place").collect():
+        classes[row["col"]].append(row["value"])
+    many = [n for n in columns if len(classes[n]) > inline_limit]
+    classes = {n: c for n, c in classes.items() if n not in many}
 
     def key(name: str) -> Column:
         return F.coalesce(column(name).cast("string"), F.lit("nan"))
@@ -145,7 +142,8 @@ def encode_nominal(df: DataFrame, columns: Sequence[str], inline_limit: int = IN
         return (F.array_position(listed, key(name)) - 1).alias(name)
 
     result = df.select(*[inline(n) if classes.get(n) else column(n) for n in df.columns])
-    for name in (n for n in columns if n not in classes):
+    codes = nominal_codes(df, many) if many else None
+    for name in many:
         table = codes.filter(F.col("col") == name).select(
             F.col("value").alias("__value"), F.col("code").alias("__code")
         )

@@ -16,41 +16,34 @@ from pyspark.sql import functions as F
 from panelwright.functions.names import column, quoted
 from panelwright.session import ready_for_checkpoint
 
-_RANGE, _SEQ, _BEFORE, _FIRST = "__range", "__seq", "__before", "__first"
+RANGE, SEQUENCE, INSIDE, BEFORE, FIRST = "__range", "__sequence", "__inside", "__before", "__first"
 
 
-def _sorted_ranges(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Globally sorted rows with the number of their range, cut off from their lineage.
+def sorted_table(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows with the number of their sorted range and their sequence, written once.
 
-    The range bounds are sampled, so they may differ between two runs of the same
-    plan. The checkpoint makes both later reads see the same ranges.
+    Range bounds are sampled, so they may differ between two runs of one plan. The
+    checkpoint in the shared folder makes all later reads see the same ranges, and
+    cuts the lineage.
     """
     ready_for_checkpoint(df.sparkSession)
     ranges = df.orderBy(*[column(g) for g in group], *order)
     return ranges.select(
-        "*", F.spark_partition_id().alias(_RANGE), F.monotonically_increasing_id().alias(_SEQ)
+        "*", F.spark_partition_id().alias(RANGE), F.monotonically_increasing_id().alias(SEQUENCE)
     ).checkpoint()
 
 
-def _totals_before(ranges: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
-    """Per (range, group): first sequence number, and the group's weight in earlier ranges.
+def range_totals(ranges: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
+    """Per (range, group): first sequence number, weight, and the group's weight in earlier ranges.
 
     A group fills a run of neighbouring ranges, so this table has at most
     (number of ranges + number of groups) rows and every window partition at most
     one row per range.
     """
     keys = [column(g) for g in group]
-    sums = ranges.groupBy(*keys, _RANGE).agg(F.sum(weight).alias(_BEFORE), F.min(_SEQ).alias(_FIRST))
-    earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn(_BEFORE, F.coalesce(F.sum(_BEFORE).over(earlier), F.lit(0)))
-
-
-def _attach(ranges: DataFrame, totals: DataFrame, group: Sequence[str]) -> DataFrame:
-    left, right = ranges.alias("l"), totals.alias("r")
-    same = F.col(f"l.{_RANGE}") == F.col(f"r.{_RANGE}")
-    for g in group:
-        same = same & F.col(f"l.{quoted(g)}").eqNullSafe(F.col(f"r.{quoted(g)}"))
-    return left.join(right, same, "left").select("l.*", F.col(f"r.{_BEFORE}"), F.col(f"r.{_FIRST}"))
+    sums = ranges.groupBy(*keys, RANGE).agg(F.sum(weight).alias(INSIDE), F.min(SEQUENCE).alias(FIRST))
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn(BEFORE, F.coalesce(F.sum(INSIDE).over(earlier), F.lit(0)))
 
 
 def with_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -59,25 +52,35 @@ def with_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     Sequence numbers count up inside a range, so the place in the range is a
     difference and no window over the rows is needed.
     """
-    ranges = _sorted_ranges(df, group, order)
-    placed = _attach(ranges, _totals_before(ranges, group, F.lit(1)), group)
-    number = F.col(_SEQ) - F.col(_FIRST) + 1 + F.col(_BEFORE)
-    return placed.select(*[column(c) for c in df.columns], number.alias(name))
-
-
-def with_running_total(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], weight: str, name: str
-) -> DataFrame:
-    """Add the inclusive running sum of ``weight`` inside each group."""
-    ranges = _sorted_ranges(df, group, order)
-    within = (
-        Window.partitionBy(_RANGE, *[column(g) for g in group])
-        .orderBy(_SEQ)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = sorted_table(df, group, order)
+    left, right = ranges.alias("l"), range_totals(ranges, group, F.lit(1)).alias("r")
+    same = F.col(f"l.{RANGE}") == F.col(f"r.{RANGE}")
+    for g in group:
+        same = same & F.col(f"l.{quoted(g)}").eqNullSafe(F.col(f"r.{quoted(g)}"))
+    number = F.col(f"l.{SEQUENCE}") - F.col(f"r.{FIRST}") + 1 + F.col(f"r.{BEFORE}")
+    return left.join(right, same).select(*[F.col(f"l.{quoted(c)}") for c in df.columns], number.alias(name))
+
+
+def rows_at_places(ranges: DataFrame, group: str, weight: str, places: Column) -> DataFrame:
+    """Rows of a :func:`sorted_table` that cover given 0-based places of their group.
+
+    ``places`` is an array computed from ``total``, the weight of the group. Only the
+    ranges that hold a wanted place are read in order; each adds its running weight
+    to the weight of the ranges before it.
+    """
+    totals = range_totals(ranges, [group], column(weight))
+    sums = totals.groupBy(group).agg(F.sum(INSIDE).alias("total"))
+    wanted = totals.join(sums, group).withColumn("place", F.explode(places)).filter(
+        (F.col("place") >= F.col(BEFORE)) & (F.col("place") < F.col(BEFORE) + F.col(INSIDE))
+    )
+    opened = wanted.select(group, RANGE, BEFORE).distinct()
+    in_order = Window.partitionBy(group, RANGE).orderBy(SEQUENCE)
+    upto = F.col(BEFORE) + F.sum(weight).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = ranges.join(opened, [group, RANGE]).withColumn("upto", upto)
+    hits = running.join(wanted.select(group, RANGE, "place", "total"), [group, RANGE]).filter(
+        (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col(weight))
     )
-    placed = _attach(ranges, _totals_before(ranges, group, column(weight)), group)
-    total = F.sum(column(weight)).over(within) + F.col(_BEFORE)
-    return placed.select(*[column(c) for c in df.columns], total.alias(name))
+    return hits.drop(RANGE, SEQUENCE, BEFORE, "upto")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, name: str) -> DataFrame:

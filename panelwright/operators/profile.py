@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from panelwright.functions.names import column
 from panelwright.operators.frequencies import categorical_profile, long_double
 from panelwright.operators.moments import numeric_columns
-from panelwright.operators.positions import with_running_total
+from panelwright.operators.positions import rows_at_places, sorted_table
 
 QUARTILES = (0.25, 0.5, 0.75)
 BINS = 30
@@ -60,34 +60,25 @@ def numeric_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(frequencies: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
+def exact_quantiles(ranges: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
     """``(col, quantiles array<double>)`` with linear interpolation.
 
-    Works on ``(col, value, n)``: distinct values are range-partitioned and their
-    counts added up, then each quantile picks the one or two values whose running
-    count covers its place. No task holds all values of a column.
+    Works on the sorted ``(col, value, n)`` table: each quantile lies between the
+    values at two places, and only the ranges that hold such a place are read again.
+    No task holds all values of a column.
     """
-    running = with_running_total(frequencies, ["col"], [F.col("value")], "n", "upto")
-    totals = frequencies.groupBy("col").agg(F.sum("n").alias("total"))
-    placed = running.join(totals, "col")
-
-    def value_at(place: Column) -> Column:
-        covers = (place < F.col("upto")) & (place >= F.col("upto") - F.col("n"))
-        return F.max(F.when(covers, F.col("value")))
-
-    picks = []
-    for k, p in enumerate(probabilities):
-        place = (F.col("total") - 1) * F.lit(float(p))
-        picks += [
-            value_at(F.floor(place)).alias(f"lo{k}"),
-            value_at(F.ceil(place)).alias(f"hi{k}"),
-            F.max(place - F.floor(place)).alias(f"part{k}"),
-        ]
-    between = [
-        F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * F.col(f"part{k}")
-        for k in range(len(probabilities))
-    ]
-    return placed.groupBy("col").agg(*picks).select("col", F.array(*between).alias("quantiles"))
+    wanted = [(F.col("total") - 1) * F.lit(float(p)) for p in probabilities]
+    places = F.array_distinct(F.array(*[edge(w).cast("long") for w in wanted for edge in (F.floor, F.ceil)]))
+    found = rows_at_places(ranges, "col", "n", places).groupBy("col", "total").agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("at")
+    )
+
+    def between(place: Column) -> Column:
+        low = F.try_element_at("at", F.floor(place).cast("long"))
+        high = F.try_element_at("at", F.ceil(place).cast("long"))
+        return low + (high - low) * (place - F.floor(place))
+
+    return found.select("col", F.array(*[between(w) for w in wanted]).alias("quantiles"))
 
 
 def approximate_quantiles(
@@ -140,7 +131,11 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], bins: int = BINS, exa
     """
     columns = list(columns)
     frequencies = number_frequencies(df, columns)
-    quantiles = exact_quantiles(frequencies) if exact else approximate_quantiles(df, columns)
+    if exact:
+        ranges = sorted_table(frequencies, ["col"], [F.col("value")])
+        frequencies, quantiles = ranges.select("col", "value", "n"), exact_quantiles(ranges)
+    else:
+        quantiles = approximate_quantiles(df, columns)
     distinct = frequencies.groupBy("col").agg(F.count(F.lit(1)).alias("unique_count"))
     joined = (
         numeric_moments(df, columns).join(quantiles, "col", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators.positions import top_per_group, with_row_number
+from panelwright.session import ready_for_checkpoint
 
 # Weight of the mean ranking, then of each selection filter.
 WEIGHTS = (0.25, 0.30, 0.45)
@@ -21,15 +22,18 @@ CONTEXT = "result_name"
 def mean_rankings(rankings: DataFrame) -> DataFrame:
     """``(result_name, attribute, mean_score, low_id, high_id, files)``.
 
-    Inside a file the last line of an attribute counts. Both steps are aggregates
-    with map-side partials on near-unique keys.
+    Scores are divided by the best score of their file; inside a file the last line
+    of an attribute counts. The lines are aggregated to (file, attribute) first: the
+    best scores and the means both start from that shuffle, so the text is parsed once.
     """
     per_file = rankings.groupBy(CONTEXT, "file", "attribute").agg(
-        F.max_by("norm_score", "line_no").alias("norm_score"),
+        F.max_by("score", "line_no").alias("score"), F.max("score").alias("high_score"),
         F.min("number").alias("low"), F.max("number").alias("high"),
     )
-    return per_file.groupBy(CONTEXT, "attribute").agg(
-        F.avg("norm_score").alias("mean_score"),
+    best = per_file.groupBy(CONTEXT, "file").agg(F.max("high_score").alias("best"))
+    share = F.coalesce(F.try_divide("score", "best"), F.lit(0.0))
+    return per_file.join(best, [CONTEXT, "file"]).groupBy(CONTEXT, "attribute").agg(
+        F.avg(share).alias("mean_score"),
         F.min("low").alias("low_id"), F.max("high").alias("high_id"),
         F.count(F.lit(1)).alias("files"),
     )
@@ -37,11 +41,20 @@ def mean_rankings(rankings: DataFrame) -> DataFrame:
 
 def with_attribute_ids(means: DataFrame) -> DataFrame:
     """Add ``attribute_id``: the parsed number when all files of the context agree on every
-    attribute, else the attribute's place in name order."""
-    agree = means.groupBy(CONTEXT).agg(F.bool_and(F.col("low_id") == F.col("high_id")).alias("__agree"))
-    numbered = with_row_number(means, [CONTEXT], [F.col("attribute")], "__place")
-    chosen = F.when(F.col("__agree"), F.col("low_id")).otherwise(F.col("__place")).cast("int")
-    return numbered.join(agree, CONTEXT).withColumn("attribute_id", chosen).drop("__agree", "__place")
+    attribute, else the attribute's place in name order.
+
+    The means are written once, because they are looked at before they are used;
+    names are sorted for the differing contexts only.
+    """
+    ready_for_checkpoint(means.sparkSession)
+    means = means.checkpoint()
+    parsed = F.col("low_id").cast("int")
+    differing = means.filter(F.col("low_id") != F.col("high_id")).select(CONTEXT).distinct()
+    if differing.isEmpty():
+        return means.withColumn("attribute_id", parsed)
+    agreeing = means.join(differing, CONTEXT, "left_anti").withColumn("attribute_id", parsed)
+    others = with_row_number(means.join(differing, CONTEXT, "left_semi"), [CONTEXT], [F.col("attribute")], "attribute_id")
+    return agreeing.unionByName(others.withColumn("attribute_id", F.col("attribute_id").cast("int")))
 
 
 def _weight(weights: Sequence[float], filter_idx: int) -> float:

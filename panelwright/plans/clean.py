@@ -12,7 +12,6 @@ from panelwright.operators.columns import (
     clean_values,
     missing_labels_as_null,
     nan_as_null,
-    newlines_escaped,
     numbers_or_categories,
     sentinels_as_null,
 )
@@ -28,9 +27,12 @@ class Cleaned(NamedTuple):
 
 
 def clean_cells(df: DataFrame, protected: Sequence[str] = ()) -> DataFrame:
-    """The row-wise steps in their fixed order; Catalyst folds them into one projection."""
+    """The row-wise steps in their fixed order; Catalyst folds them into one projection.
+
+    Escaping of line breaks would come last, but cleaned values hold none any more.
+    """
     df = clean_values(clean_headers(nan_as_null(df)))
-    return newlines_escaped(sentinels_as_null(missing_labels_as_null(df), protected))
+    return sentinels_as_null(missing_labels_as_null(df), protected)
 
 
 def clean(

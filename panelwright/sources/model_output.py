@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.text import array_from, strip
 
 # --- fixed values: formats of the output text ----------------------------------
-RANKING_LINE = r"(-?)([\d.]+)\s+(\d+)\s+(.+)"
+RANKING_LINE = r"-?[\d.]+\s+\d+\s+.+"
 SELECTION_START = "Selected attributes:"
 RANKING_FILTERS = ("CORR", "GAIN", "RELIEFF")
 SELECTION_FILTERS = ("subset", "wrapper")
@@ -48,11 +48,13 @@ def parse_ranking_lines(lines: DataFrame, line: str = "line", strict_reference:
     Works line by line, so a large file is read by many tasks. A minus sign counts;
     ``strict_reference`` drops it. Text that only looks like a score is no match.
     """
-    sign, digits, number, name = (F.regexp_extract(line, RANKING_LINE, k) for k in range(1, 5))
-    size = digits.try_cast("double")
-    score = size if strict_reference else F.when(sign == "-", -size).otherwise(size)
     keep = [c for c in lines.columns if c != line]
-    parsed = lines.select(*keep, score.alias("score"), number.try_cast("int").alias("number"), strip(name).alias("attribute"))
+    matches = lines.select(*keep, F.explode(F.regexp_extract_all(F.col(line), F.lit(RANKING_LINE), F.lit(0))).alias("__match"))
+    parts = F.split("__match", r"\s+", 3)
+    text = F.ltrim(parts[0], F.lit("-")) if strict_reference else parts[0]
+    parsed = matches.select(
+        *keep, text.try_cast("double").alias("score"), parts[1].try_cast("int").alias("number"), strip(parts[2]).alias("attribute")
+    )
     return parsed.filter(F.col("score").isNotNull() & F.col("number").isNotNull() & (F.col("attribute") != ""))
 
 
@@ -95,7 +97,7 @@ def read_rankings(
     filters: Sequence[str] = RANKING_FILTERS,
     strict_reference: bool = False,
 ) -> DataFrame:
-    """``(result_name, file, method, line_no, score, number, attribute, norm_score)``.
+    """``(result_name, file, method, line_no, score, number, attribute)``.
 
     The file name conditions prune files before they are opened. ``line_no`` orders
     the lines of a file (start of the split, then place in the split).
@@ -111,8 +113,8 @@ def read_rankings(
             F.col("value").alias("line"),
         )
     )
-    scored = normalise_scores(parse_ranking_lines(lines, "line", strict_reference))
-    columns = ["file", "method", "line_no", "score", "number", "attribute", "norm_score"]
+    scored = parse_ranking_lines(lines, "line", strict_reference)
+    columns = ["file", "method", "line_no", "score", "number", "attribute"]
     return scored.select(F.explode("__contexts").alias("result_name"), *columns)
 
 

@@ -56,7 +56,7 @@ def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("file", "^(.*)_", 1).alias("result_name"), "file", ranking_method(F.col("file"), METHODS).alias("method"),
         F.col("p_partkey").alias("line_no"), "line",
     )
-    return normalise_scores(parse_ranking_lines(named))
+    return parse_ranking_lines(named)
 
 
 RANKINGS_SQL = """
@@ -73,7 +73,7 @@ WITH {RANKINGS_SQL}
 SELECT result_name, file, method, score, CAST(p_partkey AS INTEGER) AS number, attribute, round(norm_score, 8) AS norm_score FROM rankings
 """)
 def parse_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rankings(spark, sf_dir).drop("line_no").withColumn("norm_score", F.round("norm_score", 8))
+    return normalise_scores(_rankings(spark, sf_dir)).drop("line_no").withColumn("norm_score", F.round("norm_score", 8))
 
 
 def _selections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +192,7 @@ def _column_results(spark: SparkSession, sf_dir: str):
     lines = long.select(
         F.lit("items").alias("result_name"), F.concat(F.lit("items_"), "method").alias("file"), F.lit(1).alias("line_no"), text.alias("line")
     )
-    rankings = normalise_scores(parse_ranking_lines(lines))
+    rankings = parse_ranking_lines(lines)
     texts = sums.filter(F.col("GAIN") < 1).select(F.concat(F.lit("Selected attributes: 1\n"), "col").alias("text"))
     selections = parse_selection_texts(texts).withColumn("result_name", F.lit("items")).withColumn("filter_idx", F.lit(0))
     return rankings, selections, items

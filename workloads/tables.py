@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.names import attribute_column
+from panelwright.functions.levels import LEVEL_CUTS
 from panelwright.operators.columns import add_level, drop_unwanted, select_required, split_columns
 from panelwright.operators.joins import left_join, membership, star_join
 from panelwright.operators.roles import Roles, best_roles, detect_roles
@@ -31,15 +31,17 @@ from panelwright.sources.tables import column_list, read_column, read_csv, rows_
 from workloads.registry import query, table, union_sql
 from workloads.statistics import JOINED_DOCS, labelled_documents
 
-LEVELS = """CASE WHEN {x} IS NULL THEN NULL WHEN {x} >= 669.30 THEN 'Level 6' WHEN {x} >= 607.04 THEN 'Level 5'
- WHEN {x} >= 544.68 THEN 'Level 4' WHEN {x} >= 482.38 THEN 'Level 3' WHEN {x} >= 420.07 THEN 'Level 2'
- WHEN {x} >= 358.77 THEN 'Level 1' ELSE 'Below Level 1' END"""
 SCORE = "Plausible Value 1 in Mathematics"
 SCHOOL, STUDENT = "Intl. School ID", "Intl. Student ID"
 
 
-def level_sql(expression: str) -> str:
-    return LEVELS.format(x=expression)
+# The same cut points for scores that are 500 times as large.
+LARGE_CUTS = [(cut * 500, name) for cut, name in LEVEL_CUTS]
+
+
+def level_sql(expression: str, cuts=LEVEL_CUTS) -> str:
+    steps = " ".join(f"WHEN {expression} >= {cut!r} THEN '{name}'" for cut, name in cuts)
+    return f"CASE WHEN {expression} IS NULL THEN NULL {steps} ELSE 'Below Level 1' END"
 
 
 @query("level_counts", f"""
@@ -300,7 +302,7 @@ def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") < 0, "never").alias("empty"),
     )
     docs = docs.withColumn("twice", F.when(F.col("twice") <= 9990, F.col("twice")))
-    return clean(docs, protected=["doc_id"], missing_threshold=0.7, uniform_threshold=0.8, correlation_threshold=0.98).table
+    return clean(docs, protected=["doc_id"], missing_threshold=0.7, uniform_threshold=0.86, correlation_threshold=0.98).table
 
 
 @query("transform_tables", f"""
@@ -334,7 +336,7 @@ def _survey_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     country = F.when(F.col("o_orderpriority") == "1-URGENT", "USA").otherwise("MEX")
     pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, " ")
     status = F.when(F.col("o_orderstatus") == "F", "1").when(F.col("o_orderstatus") == "O", "2").otherwise("9")
-    score = F.lpad(F.round(F.col("o_totalprice") / 500, 2).cast("decimal(12,2)").cast("string"), 20, " ")
+    score = F.lpad(F.col("o_totalprice").cast("decimal(14,2)").cast("string"), 20, " ")
     return orders.select(F.concat(country, pad("o_custkey", 12), pad("o_orderkey", 12), status, F.lit(" 1.0"), score).alias("line"))
 
 
@@ -371,7 +373,7 @@ def load_fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(o_custkey AS DOUBLE) AS "{SCHOOL}", CAST(o_orderkey AS DOUBLE) AS "{STUDENT}",
        CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' END AS "Status",
        c_mktsegment AS "School type", CASE WHEN c_acctbal > 9990 THEN NULL ELSE c_acctbal END AS "School size",
-       round(o_totalprice / 500, 2) AS "{SCORE}", {level_sql('round(o_totalprice / 500, 2)')} AS "{SCORE}_level"
+       o_totalprice AS "{SCORE}", {level_sql('o_totalprice', LARGE_CUTS)} AS "{SCORE}_level"
 {PREPARED}
 """)
 def prepare_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,5 +382,5 @@ def prepare_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     students = label_table(cut_lines(_survey_lines(spark, sf_dir), layout, "MEX"), codebook, "s")
     root = work_folder(spark, "stages")
     labeled = {"students": students, "schools": _schools(spark, sf_dir)}
-    prepare(spark, root, labeled, Thresholds(uniform=1.0), Roles(school=SCHOOL, student=STUDENT))
+    prepare(spark, root, labeled, Thresholds(uniform=1.0), Roles(school=SCHOOL, student=STUDENT), cuts=LARGE_CUTS)
     return read_stage(spark, root, "leveled", "full_merged")
