@@ -35,8 +35,15 @@ WHITESPACE = (
 
 
 def strip(c: Column | str) -> Column:
-    """Remove white space of every kind at both ends."""
-    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(WHITESPACE))
+    """Remove white space of every kind at both ends.
+
+    Most values need blanks removed at most, which is much cheaper than trimming by
+    a character set: the set is used only when an end is no printable ASCII character.
+    """
+    text = F.col(c) if isinstance(c, str) else c
+    blanks_gone = F.trim(text)
+    plain = F.left(blanks_gone, F.lit(1)).between("!", "~") & F.right(blanks_gone, F.lit(1)).between("!", "~")
+    return F.when(plain, blanks_gone).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 
 def array_from(items: Column | str, start: int) -> Column:

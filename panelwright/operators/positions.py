@@ -14,34 +14,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.names import column, quoted
-from panelwright.session import ready_for_checkpoint
+from panelwright.session import written_once
 
-RANGE, SEQUENCE, INSIDE, BEFORE, FIRST = "__range", "__sequence", "__inside", "__before", "__first"
+RANGE, SEQUENCE, FIRST = "__range", "__sequence", "__first"
+ROWS, INSIDE, BEFORE = "__rows", "__inside", "__before"
 
 
 def sorted_table(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The rows with the number of their sorted range and their sequence, written once.
 
     Range bounds are sampled, so they may differ between two runs of one plan. The
-    checkpoint in the shared folder makes all later reads see the same ranges, and
-    cuts the lineage.
+    table in the shared folder makes all later reads see the same ranges.
     """
-    ready_for_checkpoint(df.sparkSession)
     ranges = df.orderBy(*[column(g) for g in group], *order)
-    return ranges.select(
+    return written_once(ranges.select(
         "*", F.spark_partition_id().alias(RANGE), F.monotonically_increasing_id().alias(SEQUENCE)
-    ).checkpoint()
+    ), "sorted")
 
 
 def range_totals(ranges: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
-    """Per (range, group): first sequence number, weight, and the group's weight in earlier ranges.
+    """Per (range, group): first sequence number, rows, weight, and the group's weight in earlier ranges.
 
     A group fills a run of neighbouring ranges, so this table has at most
     (number of ranges + number of groups) rows and every window partition at most
     one row per range.
     """
     keys = [column(g) for g in group]
-    sums = ranges.groupBy(*keys, RANGE).agg(F.sum(weight).alias(INSIDE), F.min(SEQUENCE).alias(FIRST))
+    sums = ranges.groupBy(*keys, RANGE).agg(
+        F.sum(weight).alias(INSIDE), F.count(F.lit(1)).alias(ROWS), F.min(SEQUENCE).alias(FIRST)
+    )
     earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     return sums.withColumn(BEFORE, F.coalesce(F.sum(INSIDE).over(earlier), F.lit(0)))
 
@@ -61,14 +62,14 @@ def with_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     return left.join(right, same).select(*[F.col(f"l.{quoted(c)}") for c in df.columns], number.alias(name))
 
 
-def rows_at_places(ranges: DataFrame, group: str, weight: str, places: Column) -> DataFrame:
+def rows_at_places(ranges: DataFrame, totals: DataFrame, group: str, weight: str, places: Column) -> DataFrame:
     """Rows of a :func:`sorted_table` that cover given 0-based places of their group.
 
+    ``totals`` are its :func:`range_totals`.
     ``places`` is an array computed from ``total``, the weight of the group. Only the
     ranges that hold a wanted place are read in order; each adds its running weight
     to the weight of the ranges before it.
     """
-    totals = range_totals(ranges, [group], column(weight))
     sums = totals.groupBy(group).agg(F.sum(INSIDE).alias("total"))
     wanted = totals.join(sums, group).withColumn("place", F.explode(places)).filter(
         (F.col("place") >= F.col(BEFORE)) & (F.col("place") < F.col(BEFORE) + F.col(INSIDE))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.functions.names import column
-from panelwright.operators.frequencies import categorical_profile, long_double
+from panelwright.operators.frequencies import WIDE_LIMIT, categorical_profile, long_double
 from panelwright.operators.moments import numeric_columns
-from panelwright.operators.positions import rows_at_places, sorted_table
+from panelwright.operators.positions import ROWS, range_totals, rows_at_places, sorted_table
 
 QUARTILES = (0.25, 0.5, 0.75)
 BINS = 30
@@ -48,28 +48,33 @@ def number_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return pairs.groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _moments(value: Column) -> list[Column]:
+    return [
+        F.count(value).alias("present"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.var_samp(value).alias("variance"), F.min(value).alias("min"), F.max(value).alias("max"),
+    ]
+
+
 def numeric_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(col, present, mean, std, variance, min, max)``, one partial row per column and task."""
-    return long_double(df, columns).groupBy("col").agg(
-        F.count("value").alias("present"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.var_samp("value").alias("variance"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    """``(col, present, mean, std, variance, min, max)``, one partial row per task and no row shuffle."""
+    if len(columns) > WIDE_LIMIT:
+        return long_double(df, columns).groupBy("col").agg(*_moments(F.col("value")))
+    numbers = {n: column(n).cast("double") for n in columns}
+    wide = df.agg(*[F.struct(*_moments(F.when(~F.isnan(v), v))).alias(f"m{k}") for k, v in enumerate(numbers.values())])
+    rows = [F.struct(F.lit(n).alias("col"), F.col(f"m{k}.*")) for k, n in enumerate(numbers)]
+    return wide.select(F.inline(F.array(*rows)))
 
 
-def exact_quantiles(ranges: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
+def exact_quantiles(ranges: DataFrame, totals: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
     """``(col, quantiles array<double>)`` with linear interpolation.
 
-    Works on the sorted ``(col, value, n)`` table: each quantile lies between the
-    values at two places, and only the ranges that hold such a place are read again.
+    Works on the sorted ``(col, value, n)`` table and its range totals: each quantile
+    lies between the values at two places, and only the ranges that hold such a place are read again.
     No task holds all values of a column.
     """
     wanted = [(F.col("total") - 1) * F.lit(float(p)) for p in probabilities]
     places = F.array_distinct(F.array(*[edge(w).cast("long") for w in wanted for edge in (F.floor, F.ceil)]))
-    found = rows_at_places(ranges, "col", "n", places).groupBy("col", "total").agg(
+    found = rows_at_places(ranges, totals, "col", "n", places).groupBy("col", "total").agg(
         F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("at")
     )
 
@@ -95,10 +100,14 @@ def _range(lo: Column, hi: Column) -> tuple[Column, Column]:
     return F.when(flat, lo - 0.5).otherwise(lo), F.when(flat, hi + 0.5).otherwise(hi)
 
 
-def histogram_counts(frequencies: DataFrame, bins: int = BINS) -> DataFrame:
+def value_limits(frequencies: DataFrame) -> DataFrame:
+    """``(col, min, max)`` of a frequency table."""
+    return frequencies.groupBy("col").agg(F.min("value").alias("min"), F.max("value").alias("max"))
+
+
+def histogram_counts(frequencies: DataFrame, limits: DataFrame, bins: int = BINS) -> DataFrame:
     """``(col, lo, hi, bin, n)`` for the filled bins, ``bin`` from 0; the last bin is closed."""
-    limits = frequencies.groupBy("col").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    lo, hi = _range(F.col("lo"), F.col("hi"))
+    lo, hi = _range(F.col("min"), F.col("max"))
     limits = limits.select("col", lo.alias("lo"), hi.alias("hi"))
     step = (F.col("hi") - F.col("lo")) / bins
     guess = F.least(F.floor((F.col("value") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))), F.lit(bins - 1))
@@ -110,9 +119,9 @@ def histogram_counts(frequencies: DataFrame, bins: int = BINS) -> DataFrame:
     return placed.groupBy("col", "lo", "hi", exact.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
 
 
-def histograms(frequencies: DataFrame, bins: int = BINS) -> DataFrame:
+def histograms(frequencies: DataFrame, limits: DataFrame, bins: int = BINS) -> DataFrame:
     """``(col, histogram struct<counts, bin_edges, bins>)`` with empty bins filled."""
-    filled = histogram_counts(frequencies, bins).groupBy("col", "lo", "hi").agg(
+    filled = histogram_counts(frequencies, limits, bins).groupBy("col", "lo", "hi").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("filled")
     )
     places = F.sequence(F.lit(0), F.lit(bins - 1))
@@ -130,16 +139,19 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], bins: int = BINS, exa
     ``exact=False`` takes the quartiles from a sketch and spares the sort.
     """
     columns = list(columns)
+    moments = numeric_moments(df, columns)
     frequencies = number_frequencies(df, columns)
     if exact:
         ranges = sorted_table(frequencies, ["col"], [F.col("value")])
-        frequencies, quantiles = ranges.select("col", "value", "n"), exact_quantiles(ranges)
+        totals = range_totals(ranges, ["col"], F.col("n"))
+        frequencies, quantiles = ranges.select("col", "value", "n"), exact_quantiles(ranges, totals)
+        distinct = totals.groupBy("col").agg(F.sum(ROWS).alias("unique_count"))
     else:
         quantiles = approximate_quantiles(df, columns)
-    distinct = frequencies.groupBy("col").agg(F.count(F.lit(1)).alias("unique_count"))
+        distinct = frequencies.groupBy("col").agg(F.count(F.lit(1)).alias("unique_count"))
     joined = (
-        numeric_moments(df, columns).join(quantiles, "col", "left")
-        .join(distinct, "col", "left").join(histograms(frequencies, bins), "col", "left")
+        moments.join(quantiles, "col", "left").join(distinct, "col", "left")
+        .join(histograms(frequencies, moments, bins), "col", "left")
     )
     return joined.select(
         F.col("col").alias("name"), "mean", "std", "variance", "min", "max",

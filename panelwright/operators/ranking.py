@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators.positions import top_per_group, with_row_number
-from panelwright.session import ready_for_checkpoint
+from panelwright.session import written_once
 
 # Weight of the mean ranking, then of each selection filter.
 WEIGHTS = (0.25, 0.30, 0.45)
@@ -46,8 +46,7 @@ def with_attribute_ids(means: DataFrame) -> DataFrame:
     The means are written once, because they are looked at before they are used;
     names are sorted for the differing contexts only.
     """
-    ready_for_checkpoint(means.sparkSession)
-    means = means.checkpoint()
+    means = written_once(means, "means")
     parsed = F.col("low_id").cast("int")
     differing = means.filter(F.col("low_id") != F.col("high_id")).select(CONTEXT).distinct()
     if differing.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -21,6 +21,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -32,23 +33,27 @@ def shared_folder(spark: SparkSession) -> str:
     cluster the setting is required, because a machine-local folder is lost with
     its executor.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder")
-    folder = tempfile.mkdtemp(prefix="panelwright-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
-
-
-def ready_for_checkpoint(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable without replacing a configured folder."""
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
+    return context.getCheckpointDir()
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new, never reused folder below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/panelwright/{label}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, but in a columnar file with a known size:
+    later reads prune columns, and a lost executor never recomputes what led here.
+    """
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

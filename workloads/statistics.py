@@ -258,7 +258,7 @@ FROM k LEFT JOIN c ON k.col = c.col AND k.bin = c.bin
 def histogram_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").withColumn("constant", F.lit(5.0))
     numbers = profile.number_frequencies(items, ["l_extendedprice", "l_tax", "constant"])
-    packed = profile.histograms(numbers).select("col", F.posexplode("histogram.counts").alias("bin", "n"), "histogram.bin_edges")
+    packed = profile.histograms(numbers, profile.value_limits(numbers)).select("col", F.posexplode("histogram.counts").alias("bin", "n"), "histogram.bin_edges")
     return packed.select("col", "bin", "n", F.round(F.get("bin_edges", F.col("bin")), 6).alias("edge"))
 
 
