@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,9 +114,35 @@ def starts_with_code(line: Column, code: str | None) -> Column:
     return line.startswith(code) if code else F.lit(True)
 
 
+@lru_cache
+def _sources_of_upper() -> dict[str, list[str]]:
+    """Upper-cased ASCII text to the single characters that have it as upper case."""
+    sources: dict[str, list[str]] = {}
+    for character in map(chr, range(0x10000)):
+        upper = character.upper()
+        if upper.isascii():
+            sources.setdefault(upper, []).append(character)
+    return sources
+
+
+def spellings(code: str) -> list[str]:
+    """Every text whose upper case is the given upper-case code."""
+    if not code:
+        return [""]
+    sources = _sources_of_upper()
+    return [c + rest for k in (1, 2, 3) if k <= len(code) for c in sources.get(code[:k], ()) for rest in spellings(code[k:])]
+
+
 def equals_code(c: Column, code: str) -> Column:
-    """Case-insensitive equality; NULL does not match."""
-    return F.upper(c) == code.upper()
+    """Case-insensitive equality; NULL does not match.
+
+    For a short code all spellings are listed: a list of values reaches the Parquet
+    reader, which skips row groups by it, while ``upper(c) = code`` does not.
+    """
+    upper = code.upper()
+    if upper.isascii() and 0 < len(upper) <= 4:
+        return c.isin(*spellings(upper))
+    return F.upper(c) == upper
 
 
 def year_of_name(name: Column) -> Column:

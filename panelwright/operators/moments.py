@@ -17,6 +17,8 @@ SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 _SUM_SCHEMA = "i int, j int, " + ", ".join(f"{s} double" for s in SUMS)
 # Columns per block; one task holds four block x block matrices of doubles.
 BLOCK = 1500
+# Bytes of partial sums one pass may shuffle.
+SHUFFLE_BUDGET = 64 << 30
 # A variance below this share of the raw square sum is rounding noise of a constant.
 _NOISE = 1e-12
 
@@ -86,14 +88,17 @@ def pair_sums(
 
     ``i`` and ``j`` are places in ``columns``; sums are about ``shifts``. Each task
     multiplies its Arrow batches as matrices and returns one partial triangle, so the
-    shuffle carries (tasks x pairs) rows whatever the number of input rows. The
-    number of tasks is bounded by the cores, and wide tables are cut into column
-    blocks so that one task never holds more than ``block`` x ``block`` sums.
+    shuffle carries (tasks x pairs) rows whatever the number of input rows. Scan
+    partitions are merged only when all their triangles together would pass
+    ``SHUFFLE_BUDGET``; wide tables are cut into column blocks so that one task never
+    holds more than ``block`` x ``block`` sums.
     """
     shift = [float((shifts or {}).get(n, 0.0)) for n in columns]
     starts = range(0, len(columns), block)
     groups = [list(range(s, min(s + block, len(columns)))) for s in starts]
-    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    triangle = min(len(columns), block) ** 2 * 8 * (len(SUMS) + 1)
+    tasks = max(2 * cores, SHUFFLE_BUDGET // max(triangle, 1))
     parts = None
     for a, first in enumerate(groups):
         for second in groups[: a + 1]:

@@ -47,11 +47,20 @@ def test_sentinel_boundary_is_exclusive(spark):
 
 
 def test_country_tests(spark):
-    assert values(spark, lambda c: text.equals_code(c, "mex"), ["MEX", "mex", "USA", None]) == [True, True, False, None]
+    assert values(spark, lambda c: text.equals_code(c, "mex"), ["MEX", "mEx", "USA", None]) == [True, True, False, None]
     assert values(spark, lambda c: text.starts_with_code(c, "MEX"), ["MEX1", "mex1"]) == [True, False]
     assert values(spark, lambda c: text.starts_with_code(c, ""), ["a"]) == [True]
 
 
+def test_short_codes_are_pushed_to_the_scan(spark, tmp_path):
+    assert sorted(text.spellings("ME")) == ["ME", "Me", "mE", "me"]
+    assert "\u017fwe" in text.spellings("SWE") and all(s.upper() == "SWE" for s in text.spellings("SWE"))
+    spark.createDataFrame([("MEX",)], "CNT string").write.parquet(str(tmp_path / "c"))
+    plan = spark.read.parquet(str(tmp_path / "c")).filter(text.equals_code(F.col("CNT"), "mex"))
+    assert "PushedFilters: [In(CNT" in plan._jdf.queryExecution().executedPlan().toString()
+    assert values(spark, lambda c: text.equals_code(c, "Mexico"), ["MEXICO", "mexicO", None]) == [True, True, None]
+
+
 def test_code_page_round_trip(spark):
     every = bytes(b for b in range(256) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
     latin, real = every.decode("latin-1"), every.decode("cp1252")

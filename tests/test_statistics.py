@@ -158,3 +158,24 @@ def test_common_profile_counts_nan_as_missing(spark, rows):
     assert rows(profile.common_profile(df)) == [("a", "double", 4, 2, 50.0, 2), ("b", "string", 4, 1, 25.0, 3)]
     kinds = {r["name"]: (r["type"], r["unique_count"]) for r in profile.profile(df).collect()}
     assert kinds == {"a": ("numeric", 2), "b": ("categorical", 2)}
+
+
+@pytest.mark.parametrize("threshold", [0.01, 0.03, 0.2, 0.5, 0.75, 0.9])
+def test_sketched_uniform_columns_match_exact_counts(spark, threshold):
+    rng = np.random.default_rng(9)
+    rows = 5000
+    pdf = pd.DataFrame({
+        "id": np.arange(rows), "half": np.where(np.arange(rows) < rows / 2, -1, np.arange(rows)), "most": (rng.random(rows) < 0.1) * rng.random(rows),
+        "word": np.where(rng.random(rows) < 0.76, "same", rng.integers(0, 3000, rows).astype(str)), "flag": rng.random(rows) < 0.2,
+        "zipf": rng.zipf(1.7, rows), "gaps": np.where(rng.random(rows) < 0.9, np.nan, 3.5),
+    })
+    df = to_spark_any(spark, pdf)
+    expected = [c for c in pdf.columns if pdf[c].value_counts().max() / pdf[c].notna().sum() >= threshold]
+    assert frequencies.uniform_columns(df, threshold) == expected
+    exact = {r["col"]: r["ratio"] for r in frequencies.uniformity_ratios(df).collect()}
+    assert [c for c in pdf.columns if exact[c] >= threshold] == expected
+
+
+def to_spark_any(spark, pdf):
+    df = spark.createDataFrame(pdf).repartition(5)
+    return df.withColumn("gaps", F.when(~F.isnan("gaps"), F.col("gaps"))).withColumn("flag", F.col("flag").cast("boolean"))
