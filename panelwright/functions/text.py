@@ -48,8 +48,8 @@ def strip(c: Column | str) -> Column:
 
 
 def array_from(items: Column | str, start: int) -> Column:
-    """The elements of an array from the 1-based place ``start`` on."""
-    return F.slice(items, start, F.greatest(F.size(items) - (start - 1), F.lit(0)))
+    """The elements of an array from the 1-based place ``start`` on; evaluates the array once."""
+    return F.filter(items, lambda _, place: place >= start - 1)
 
 
 def blank_to_null(c: Column) -> Column:

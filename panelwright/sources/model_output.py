@@ -49,7 +49,9 @@ def parse_ranking_lines(lines: DataFrame, line: str = "line", strict_reference:
     ``strict_reference`` drops it. Text that only looks like a score is no match.
     """
     keep = [c for c in lines.columns if c != line]
-    matches = lines.select(*keep, F.explode(F.regexp_extract_all(F.col(line), F.lit(RANKING_LINE), F.lit(0))).alias("__match"))
+    # The outer form keeps Spark from testing the match array once more before it is exploded.
+    found = F.explode_outer(F.regexp_extract_all(F.col(line), F.lit(RANKING_LINE), F.lit(0)))
+    matches = lines.select(*keep, found.alias("__match")).filter(F.col("__match").isNotNull())
     parts = F.split("__match", r"\s+", 3)
     text = F.ltrim(parts[0], F.lit("-")) if strict_reference else parts[0]
     parsed = matches.select(
@@ -85,7 +87,9 @@ def parse_selection_texts(texts: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_extract_all(F.col("__lines")[0], F.lit(r"\d+"), 0).alias("__ids"),
         F.filter(F.transform(array_from("__lines", 2), strip), lambda n: n != "").alias("__names"),
     )
-    named = opened.select(*keep, "block", "__ids", F.posexplode("__names").alias("place", "attribute"))
+    named = opened.select(*keep, "block", "__ids", F.posexplode_outer("__names").alias("place", "attribute")).filter(
+        F.col("attribute").isNotNull()
+    )
     attribute_id = F.coalesce(F.get("__ids", F.col("place")).try_cast("int"), F.lit(0))
     return named.select(*keep, "block", "place", "attribute", attribute_id.alias("attribute_id"))
 

@@ -31,6 +31,12 @@ def country_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of_country(table(spark, sf_dir, "customer"), "furniture", "c_mktsegment")
 
 
+@query("country_scan", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE upper(o_orderstatus) = 'F'")
+def country_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short code in any letter case, tested by the Parquet reader."""
+    return rows_of_country(table(spark, sf_dir, "orders"), "f", "o_orderstatus").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @query("line_prefix_filter", "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'ECO')")
 def line_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
