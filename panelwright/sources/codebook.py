@@ -1,17 +1,18 @@
 """Syntax files (column layout, labels, missing codes) as codebook tables.
 
-Every step works inside the row of one file, with array functions; only the final
-"last definition wins" aggregates shuffle codebook rows.
+Every step works inside the row of one file; only the final "last definition wins"
+aggregates shuffle codebook rows.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.text import array_from, from_cp1252, strip
+from panelwright.functions.text import WHITESPACE, array_from, from_cp1252, strip
 from panelwright.operators.labels import code_key
 
 # --- fixed values: format of the syntax text --------------------------------------
@@ -39,11 +40,13 @@ def read_syntax(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    """``(file, lines)``: stripped lines after the two skipped ones."""
-    raw = F.split("text", "\r\n|\r|\n")
-    lines = F.transform(array_from(raw, SKIPPED_LINES + 1), strip)
-    return files.select("file", lines.alias("lines"))
+def _texts(files: DataFrame) -> DataFrame:
+    """``(file, text)``: a line break, then the lines after the skipped ones without leading blanks."""
+    blanks = "[" + "".join(re.escape(c) for c in WHITESPACE if c not in "\r\n") + "]+"
+    lines = F.regexp_replace(F.concat(F.lit("\n"), "text"), "\r\n?", "\n")
+    trimmed = F.regexp_replace(lines, f"\n{blanks}", "\n")
+    skipped = r"\A(?:\n[^\n]*){%d}" % SKIPPED_LINES
+    return files.select("file", F.regexp_replace(trimmed, skipped, "").alias("text"))
 
 
 def _variables(numbered: DataFrame) -> DataFrame:
@@ -68,32 +71,31 @@ def _labels(numbered: DataFrame) -> DataFrame:
 
 def _missing(numbered: DataFrame) -> DataFrame:
     """Third word of the line is the variable, the last word a comma list of codes."""
-    words = F.split("line", r"\s+")
+    words = F.split(strip("line"), r"\s+")
     marked = numbered.filter(F.col("line").startswith(MISSING_START) & ~F.col("line").contains('"'))
     codes = F.explode(F.split(F.element_at(words, -1), ","))
     found = marked.filter(F.size(words) > 2).select("file", F.upper(words[2]).alias("name"), codes.alias("code"))
     return found.select("file", "name", code_key(F.btrim(strip("code"), F.lit("()."))).alias("code")).distinct()
 
 
-def _value_labels(lines: DataFrame) -> DataFrame:
+def _value_labels(texts: DataFrame) -> DataFrame:
     """``code label`` lines between a line ``value labels`` and a line that starts with ``.``.
 
     A line that starts with a single slash names the variables of the lines after
     it, also over section ends. The text is cut at these marks with ``split``, so the
     state of a reader walking the lines is never needed.
     """
-    text = F.concat(F.lit("\n"), F.array_join("lines", "\n"))
-    sections = array_from(F.split(text, f"\n{LABELS_START}"), 2)
+    sections = array_from(F.split("text", f"\n{LABELS_START}"), 2)
     # Each piece: rest of the opening line, the section, and whatever follows its closing line.
     bodies = F.transform(sections, lambda s: F.regexp_replace(F.split(s, r"\n\.", 2)[0], r"^[^\n]*", ""))
     groups = array_from(F.split(F.array_join(bodies, ""), r"\n/(?!/)"), 2)
-    cut = lines.select("file", F.posexplode(groups).alias("group_no", "group")).select(
+    cut = texts.select("file", F.posexplode_outer(groups).alias("group_no", "group")).select(
         "file", "group_no", F.split("group", "\n").alias("rows")
     )
     names = F.split(F.upper(strip(F.split(F.col("rows")[0], "/")[0])), r"\s+")
     entries = cut.select(
-        "file", "group_no", names.alias("names"), F.posexplode(array_from("rows", 2)).alias("row_no", "row")
-    ).filter(F.col("row").contains(" "))
+        "file", "group_no", names.alias("names"), F.posexplode_outer(array_from("rows", 2)).alias("row_no", "row")
+    ).withColumn("row", strip("row")).filter(F.col("row").contains(" "))
     pair = F.split("row", " ", 2)
     found = entries.select(
         "file", F.struct("group_no", "row_no").alias("place"), F.explode("names").alias("name"),
@@ -104,8 +106,8 @@ def _value_labels(lines: DataFrame) -> DataFrame:
 
 def parse_codebook(files: DataFrame) -> Codebook:
     """Codebook tables of ``(file, text)`` syntax files, all files in one job each."""
-    lines = _lines(files)
-    numbered = lines.select("file", F.posexplode("lines").alias("line_no", "line"))
+    texts = _texts(files)
+    numbered = texts.select("file", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     variables = _variables(numbered)
     keys = variables.select("file", "name")
     data_file = F.element_at(F.split(F.regexp_extract("text", DATA_FILE_PATTERN, 1), r"\\"), -1)
@@ -114,16 +116,16 @@ def parse_codebook(files: DataFrame) -> Codebook:
         variables.join(_labels(numbered), ["file", "name"], "left").select(
             "file", "ordinal", "name", "start", "end", "fmt", "label"
         ),
-        _value_labels(lines).join(keys, ["file", "name"]).select("file", "name", "code", "label"),
+        _value_labels(texts).join(keys, ["file", "name"]).select("file", "name", "code", "label"),
         _missing(numbered).join(keys, ["file", "name"]).select("file", "name", "code"),
     )
 
 
 def decode_table(codebook: Codebook) -> DataFrame:
     """``(file, name, code, label)`` with missing codes as ``Missing``; a value label wins."""
-    missing = codebook.missing_codes.select("file", "name", "code", F.lit(MISSING_LABEL).alias("label"))
-    only_missing = missing.join(codebook.value_labels, ["file", "name", "code"], "left_anti")
-    return codebook.value_labels.unionByName(only_missing)
+    missing = codebook.missing_codes.select("*", F.lit(MISSING_LABEL).alias("label"), F.lit(0).alias("order"))
+    both = codebook.value_labels.withColumn("order", F.lit(1)).unionByName(missing)
+    return both.groupBy("file", "name", "code").agg(F.max_by("label", "order").alias("label"))
 
 
 class Layout(NamedTuple):
