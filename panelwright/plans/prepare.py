@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from panelwright.functions.levels import LEVEL_CUTS
 from panelwright.operators.roles import Roles, best_roles, detect_roles
 from panelwright.plans.clean import clean
+from panelwright.plans.label import load_syntax
 from panelwright.plans.transform import transform
-from panelwright.sinks.writers import read_stage, write_stage
+from panelwright.sinks.writers import STAGES, read_stage, stage_root, write_stage
+from panelwright.sources.files import route_files
+from panelwright.sources.tables import read_csv
 
 
 class Thresholds(NamedTuple):
@@ -73,3 +76,52 @@ def prepare(
         write_stage(df, root, "labeled", name)
     cleaned = clean_stage(spark, root, list(labeled), thresholds, given)
     return transform_stage(spark, root, cleaned, given, split_ranges, cuts)
+
+
+class Labeled(NamedTuple):
+    tables: dict[str, DataFrame]
+    raw: dict[str, DataFrame]
+    failed: dict[str, str]
+
+
+def label_folder(spark: SparkSession, root: str, country: str | None = None) -> Labeled:
+    """Labeled tables of all known files below a folder, by base name.
+
+    Syntax files bring the fixed-width text they name, CSV files count as labeled.
+    A file that cannot be read is reported and does not stop the others.
+    """
+    done = Labeled({}, {}, {})
+    for row in route_files(spark, root).orderBy("path").collect():
+        path, kind = row["path"], row["format"]
+        folder, _, file = path.rpartition("/")
+        name = file.rpartition(".")[0]
+        if folder.rpartition("/")[2] in STAGES or kind == "skip":
+            continue
+        try:
+            if kind == "syntax":
+                done.tables[name], done.raw[name] = load_syntax(spark, path, folder, country)
+            elif kind == "csv":
+                done.tables[name] = read_csv(spark, path)
+            else:
+                done.failed[path] = "binary survey files need a table and a codebook"
+        except Exception as error:  # one bad file must not stop the run
+            done.failed[path] = str(error)
+    return done
+
+
+def prepare_folder(
+    spark: SparkSession,
+    root: str,
+    country: str | None = None,
+    thresholds: Thresholds = Thresholds(),
+    given: Roles = Roles(),
+    split_ranges: Sequence[tuple[int, int]] | None = None,
+    save_unlabeled: bool = False,
+) -> tuple[list[str], dict[str, str]]:
+    """Label, clean and transform all files below a folder; returns (tables written, failures)."""
+    labeled = label_folder(spark, root, country)
+    target = stage_root(root)
+    if save_unlabeled:
+        for name, df in labeled.raw.items():
+            write_stage(df, target, "labeled", f"{name}_unlabeled")
+    return prepare(spark, target, labeled.tables, thresholds, given, split_ranges), labeled.failed

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.plans.label import load_syntax, load_table, write_labeled
+from panelwright.plans.prepare import label_folder, prepare_folder
 from panelwright.sinks import writers
 from panelwright.sources.codebook import decode_table, layout_of, parse_codebook, read_syntax
 from panelwright.sources.files import discover, route_files, scan_level
@@ -193,3 +194,32 @@ def test_parquet_tables_have_one_missing_marker(spark, tmp_path):
     spark.createDataFrame([(float("nan"),), (1.0,)], "d double").write.parquet(str(tmp_path / "p"))
     tables = read_parquet_tables(spark, {"p": str(tmp_path / "p")})
     assert sorted((r["d"] for r in tables["p"].collect()), key=str) == [1.0, None]
+
+
+def test_folder_of_files_to_leveled_tables(spark, tmp_path):
+    pv = "Plausible Value 1 in Mathematics"
+    syntax = f"""* x.
+DATA LIST FILE "c:\\d\\stu.txt"
+CNT 1 - 3 (A)
+SCH 4 - 5 (A)
+STU 6 - 7 (A)
+PV1 8 - 12 (F,1)
+VARIABLE LABELS
+SCH "School ID"
+STU "Student ID"
+PV1 "{pv}"
+"""
+    (tmp_path / "stu.sps").write_text(syntax)
+    (tmp_path / "stu.txt").write_text("MEX 1 1400.0\nMEX 1 2 700\nUSA 1 3 1.0\nMEX 2 4 358\n")
+    (tmp_path / "sch.csv").write_text("School ID,size\n1,10\n2,20\n")
+    (tmp_path / "broken.sps").write_text("a\nb\n")
+    (tmp_path / "other.sav").write_bytes(b"x")
+    (tmp_path / "labeled").mkdir()
+    (tmp_path / "labeled" / "old.csv").write_text("a\n1\n")
+    labeled = label_folder(spark, str(tmp_path), "MEX")
+    assert sorted(labeled.tables) == ["sch", "stu"] and sorted(f.rsplit("/", 1)[1] for f in labeled.failed) == ["broken.sps", "other.sav"]
+    names, failed = prepare_folder(spark, str(tmp_path), "MEX", save_unlabeled=True)
+    assert sorted(names) == ["full_merged", "sch", "stu"] and len(failed) == 2
+    final = spark.read.parquet(str(tmp_path / "leveled" / "full_merged")).orderBy("Student ID").collect()
+    assert [(r["Student ID"], r["size"], r[f"{pv}_level"]) for r in final] == [(1.0, 10.0, "Level 1"), (2.0, 10.0, "Level 6"), (4.0, 20.0, "Below Level 1")]
+    assert spark.read.parquet(str(tmp_path / "labeled" / "stu_unlabeled")).columns == ["CNT", "SCH", "STU", "PV1"]
