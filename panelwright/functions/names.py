@@ -19,6 +19,8 @@ LAST_COLUMN = "Plausible Value 1 in Mathematics"
 # Lower-case starts of column names that are dropped before modelling.
 FINAL_PREFIX = "final"
 SCORE_PREFIX = "plausible value"
+# Marks that are removed from attribute names: the text \\v, control characters, backslashes.
+ATTRIBUTE_NOISE = r"(\\v|[\x00-\x1F]|\\)+"
 # ----------------------------------------------------------------------------
 
 _HEADER_TABLE = str.maketrans({"'": " ", "\n": " ", "\r": " ", "\t": " ", ",": None, '"': None, "\\": None})
@@ -38,7 +40,7 @@ def clean_header(name: str) -> str:
 
 
 def clean_attribute_name(name: str) -> str:
-    return re.sub(r"(\\v|[\x00-\x1F]|\\)+", "", name).strip()
+    return re.sub(ATTRIBUTE_NOISE, "", name).strip()
 
 
 def unique_names(names: Iterable[str]) -> list[str]:
@@ -74,20 +76,15 @@ def squeeze(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", name.lower())
 
 
-def word_form(name: str) -> str:
-    """Lower case with every other character as a blank."""
-    return re.sub(r"[^a-z0-9 ]", " ", name.lower())
+def words_of(name: str) -> set[str]:
+    """The lower-case words of a name; every sign parts two words."""
+    return set(re.findall(r"[a-z0-9]+", name.lower()))
 
 
 def role_points(name: str, words: Sequence[str]) -> int:
     """Two points per whole word found, one per word found inside another."""
-    points = 0
-    for word in words:
-        if re.search(rf"\b{re.escape(word_form(word))}\b", word_form(name)):
-            points += 2
-        elif squeeze(word) in squeeze(name):
-            points += 1
-    return points
+    whole, run = words_of(name), squeeze(name)
+    return sum(2 if word in whole else 1 if word in run else 0 for word in words)
 
 
 def role_candidates(names: Sequence[str], words: Sequence[str]) -> list[str]:
@@ -143,12 +140,11 @@ def unwanted_names(
 ) -> list[str]:
     """Columns to drop before modelling: user choices, final weights, other scores."""
     kept = {k.lower() for k in keep}
-    drops = [n for n in user_drops if n in names]
-    for name in names:
-        low = name.lower()
-        if low.startswith(FINAL_PREFIX) or (low.startswith(SCORE_PREFIX) and low not in kept):
-            drops.append(name)
-    return [n for n in dict.fromkeys(drops) if n != score]
+    lowered = {n: n.lower() for n in names}
+    chosen = [n for n in user_drops if n in lowered]
+    weights = [n for n, low in lowered.items() if low.startswith(FINAL_PREFIX)]
+    scores = [n for n, low in lowered.items() if low.startswith(SCORE_PREFIX) and low not in kept]
+    return [n for n in dict.fromkeys([*chosen, *weights, *scores]) if n != score]
 
 
 def slice_names(names: Sequence[str], ranges: Iterable[tuple[int, int]]) -> list[str]:

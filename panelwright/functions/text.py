@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelwright.functions.names import ATTRIBUTE_NOISE
+
 # --- fixed values -----------------------------------------------------------
 # Tokens a CSV scan reads as missing.
 NA_TOKENS = (
@@ -79,7 +81,7 @@ def escape_newlines(c: Column) -> Column:
 
 def clean_attribute(c: Column) -> Column:
     """Drop ``\\v`` marks, control characters and backslashes from a name."""
-    return F.trim(F.regexp_replace(c, r"(\\v|[\x00-\x1F]|\\)+", ""))
+    return F.trim(F.regexp_replace(c, ATTRIBUTE_NOISE, ""))
 
 
 def tokens_to_null(c: Column, tokens: Iterable[str]) -> Column:
