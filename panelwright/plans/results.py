@@ -55,6 +55,11 @@ def reduce_dataset(dataset: DataFrame, selected: Sequence[str], essentials: Sequ
     return select_existing(cleaned, [*selected, *[clean_attribute_name(e) for e in essentials]])
 
 
+def context_of_path(path: str) -> str:
+    """Context name of a data set file: its base name without the extension."""
+    return path.rstrip("/").rpartition("/")[2].rpartition(".")[0] or path.rstrip("/").rpartition("/")[2]
+
+
 def process_results(
     spark: SparkSession,
     folder: str,

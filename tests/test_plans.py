@@ -5,7 +5,7 @@ from panelwright.operators import ranking
 from panelwright.operators.roles import Roles
 from panelwright.plans.clean import clean
 from panelwright.plans.prepare import Thresholds, prepare
-from panelwright.plans.results import process_results, save_top_selection
+from panelwright.plans.results import context_of_path, process_results, save_top_selection
 from panelwright.plans.transform import level_table, transform
 from panelwright.sinks.writers import read_stage
 from panelwright.sources.model_output import (
@@ -179,3 +179,7 @@ def test_weights_repeat_the_last_one(spark):
     scores = {r["attribute"]: r["score"] for r in ranking.ensemble_scores(means, chosen, 3, [0.5, 0.25]).collect()}
     assert scores == {"x": 0.5 + 0.25 + 0.25, "y": 0.25}
     assert ranking.ensemble_scores(means, chosen, 0).count() == 2
+
+
+def test_context_from_a_path():
+    assert context_of_path("/data/STU2015.csv") == "STU2015" and context_of_path("/data/STU2015/") == "STU2015"
