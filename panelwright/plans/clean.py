@@ -17,6 +17,7 @@ from panelwright.operators.columns import (
 )
 from panelwright.operators.frequencies import sparse_columns, uniform_columns
 from panelwright.operators.moments import redundant_columns
+from panelwright.session import written_once
 
 
 class Cleaned(NamedTuple):
@@ -43,16 +44,21 @@ def clean(
     correlation_threshold: float = 1.0,
     target: str | None = None,
     strict_reference: bool = False,
+    materialise: bool = False,
 ) -> Cleaned:
     """Clean a table and drop the columns the thresholds rule out.
 
     Ids and target are protected from every rule; ``strict_reference`` protects ids
     only from the sentinel rule. Each rule is one planning job that returns facts
-    per column, never rows; the result is a single projection of the input.
+    per column, never rows; the result is a single projection of the input. With
+    ``materialise`` the cleaned cells are written to the shared folder first, so the
+    planning scans read typed columns instead of cleaning the text again each time.
     """
     protected = [clean_header(p) for p in protected if p]
     target = clean_header(target) if target else None
     df, _ = numbers_or_categories(clean_cells(df, protected))
+    if materialise:
+        df = written_once(df, "cells")
     safe = [] if strict_reference else [*protected, *([target] if target else [])]
     correlated = redundant_columns(df, correlation_threshold, target, safe, strict_reference)
     df = df.drop(*correlated)

@@ -31,7 +31,10 @@ def clean_stage(
         df = read_stage(spark, root, "labeled", name)
         roles = detect_roles(df, given)
         ids = [r for r in (roles.student, roles.school) if r]
-        result = clean(df, ids, thresholds.missing, thresholds.uniform, thresholds.correlation, roles.score)
+        result = clean(
+            df, ids, thresholds.missing, thresholds.uniform, thresholds.correlation, roles.score,
+            materialise=thresholds.correlation < 1.0,
+        )
         write_stage(result.table, root, "cleaned", name)
     return list(tables)
 

@@ -52,6 +52,8 @@ def test_clean(spark, students, partitions):
     assert types["Index code"] == "string" and types[STUDENT] == "double"
     books = {r["Books at home"] for r in result.table.collect()}
     assert books == {None, "0-10", "11-25"}
+    copied = clean(students.repartition(partitions), [STUDENT, SCHOOL], 0.9, 1.0, 0.99, PV, materialise=True)
+    assert copied[1:] == result[1:] and sorted(map(str, copied.table.collect())) == sorted(map(str, result.table.collect()))
     again = clean(result.table, [STUDENT, SCHOOL], 0.9, 1.0, 0.99, PV)
     assert again.table.columns == result.table.columns
     assert sorted(map(str, again.table.collect())) == sorted(map(str, result.table.collect()))
