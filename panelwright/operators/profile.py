@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelwright.functions.names import column
 from panelwright.operators.frequencies import WIDE_LIMIT, categorical_profile, long_double

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelwright.functions.names import column, rename_all
-from panelwright.functions.text import NA_TOKENS, equals_code, from_cp1252
+from panelwright.functions.text import CP1252_BYTES, CP1252_CHARACTERS, NA_TOKENS, equals_code, from_cp1252
 from panelwright.operators.columns import na_tokens_as_null, nan_as_null, numbers_or_categories, map_columns
 from panelwright.sources.files import discover
 
@@ -30,16 +29,10 @@ def _raw_csv(spark: SparkSession, path: str, encoding: str, multi_line: bool) ->
     if not cp1252:
         return df
     fixed = map_columns(df, df.columns, from_cp1252)
-    table = str.maketrans(_header_fixes())
+    table = str.maketrans(CP1252_BYTES, CP1252_CHARACTERS)
     return rename_all(fixed, [n.translate(table) for n in fixed.columns])
 
 
-def _header_fixes() -> dict[str, str]:
-    from panelwright.functions.text import CP1252_BYTES, CP1252_CHARACTERS
-
-    return dict(zip(CP1252_BYTES, CP1252_CHARACTERS))
-
-
 def read_csv(
     spark: SparkSession,
     path: str,

@@ -18,7 +18,7 @@ from panelwright.operators.columns import (
 )
 from panelwright.operators.labels import decode_labels, label_headers
 from panelwright.sinks.writers import nan_marked
-from panelwright.sources.codebook import Layout, decode_table, layout_of, parse_codebook
+from panelwright.sources.codebook import Layout, decode_table, parse_codebook
 from panelwright.sources.fixed_width import cut_lines
 from panelwright.sources.tables import preview, rows_of_country
 from workloads.registry import query, table, union_sql

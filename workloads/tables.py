@@ -27,7 +27,7 @@ from panelwright.sources.codebook import Codebook
 from panelwright.sources.files import file_format, wanted_paths
 from panelwright.sources.fixed_width import cut_lines
 from panelwright.sources.codebook import Layout
-from panelwright.sources.tables import column_list, read_column, read_csv, rows_of_country
+from panelwright.sources.tables import column_list, read_column, read_csv
 from workloads.registry import query, table, union_sql
 from workloads.statistics import JOINED_DOCS, labelled_documents
 
