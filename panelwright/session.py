@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
     return context.getCheckpointDir()
