@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, quality
+from panelwright.llm import bpe, quality, secrets, sharding, warc
 from panelwright.llm.common import whole_text
 from workloads.registry import Query, table
 
@@ -72,3 +72,31 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    return sharding.shards(docs, levels=3).select(
+        F.col("row.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, which are read back."""
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, archives.read()).select(*warc.payload_facts())
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and linked spans of every document."""
+    found, _ = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_assign", "n_access", "n_hex",
+        F.sha2(secrets.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.spelled(F.col("spans")).alias("spans"),
+    )
