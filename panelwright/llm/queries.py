@@ -67,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     path = word_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    coded = bpe.round_trip(docs, path)
     return coded.select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
