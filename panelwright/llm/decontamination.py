@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import binary_buffers, row_pieces, whole_text
+from panelwright.llm.words import Words, words_of
 
 WINDOW = 10
 SAMPLE = 8
@@ -36,58 +37,6 @@ BLOCK_BYTES = 1 << 20
 
 LETTER = np.zeros(256, bool)
 LETTER[0x30:0x3A] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    row = np.full(n, base, np.uint64)
-    row[:1] = 1
-    return np.multiply.accumulate(row)
-
-
-class Words(NamedTuple):
-    """Words of joined texts: 64-bit hashes, where each begins and ends, and the text it belongs to."""
-
-    hashes: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
-    text: np.ndarray
-
-
-def words_of(joined: np.ndarray, offsets: np.ndarray) -> Words:
-    """Lower-case words of all texts at once; a word never crosses a text's end."""
-    low = LOWER[joined]
-    inside = LETTER[low]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    finish = inside.copy()
-    finish[:-1] &= ~inside[1:]
-    edges = offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < len(low))]
-    begins[edges] = inside[edges]
-    finish[edges - 1] = inside[edges - 1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(finish) + 1
-    hashes = np.empty(len(starts), np.uint64)
-    # A polynomial of the bytes: differences of running sums, moved back to power zero; in parts to bound the memory.
-    part = 1 << 20
-    first = 0
-    while first < len(starts):
-        last = int(np.searchsorted(ends, starts[first] + part, side="right"))
-        last = max(last, first + 1)
-        a, b = int(starts[first]), int(ends[last - 1])
-        n = b - a
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((low[a:b].astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), out=sums[1:])
-        left, right = starts[first:last] - a, ends[first:last] - a
-        inverse = _powers(pow(BASE, -1, 1 << 64), n + 1)
-        hashes[first:last] = (sums[right] - sums[left]) * inverse[left]
-        first = last
-    hashes ^= hashes >> np.uint64(29)
-    hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    hashes ^= hashes >> np.uint64(32)
-    return Words(hashes, starts, ends, np.searchsorted(offsets, starts, side="right") - 1)
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -223,7 +172,7 @@ class Phrases(NamedTuple):
 
 def phrases_of(items: list[tuple[str, bytes]], window: int = WINDOW) -> Phrases:
     offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
-    words = words_of(np.frombuffer(b"".join(t for _, t in items), np.uint8), offsets)
+    words = words_of(np.frombuffer(b"".join(t for _, t in items), np.uint8), offsets, LETTER)
     vocabulary, symbols = np.unique(words.hashes, return_inverse=True)
     found: dict[tuple[int, ...], dict[str, None]] = {}
     bounds = np.searchsorted(words.text, np.arange(len(items) + 1))
@@ -296,7 +245,7 @@ def _covered(words: Words, offsets: np.ndarray, first: np.ndarray, length: np.nd
 def _shard_rows(joined: np.ndarray, offsets: np.ndarray, phrases: Phrases, before: list, known: list) -> tuple:
     """Per text: words, hit words, merged spans in bytes, and the items that occur."""
     n = len(offsets) - 1
-    words = words_of(joined, offsets)
+    words = words_of(joined, offsets, LETTER)
     bounds = np.searchsorted(words.text, np.arange(n + 1))
     first, length, which = hits(words, phrases)
     covered = _covered(words, offsets, first, length, before)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, decontamination, quality, secrets, sharding, simhash, warc
+from panelwright.llm import bpe, decontamination, lm_scoring, quality, repeats, secrets, sharding, simhash, warc
 from panelwright.llm.common import whole_text
 from workloads.registry import Query, table
 
@@ -118,3 +118,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("row.doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that remain without repeated strings of 400 bytes."""
+    found = repeats.removals(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under the mixed model, with the word-frequency base."""
+    found = lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
