@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, decontamination, lm_scoring, quality, repeats, secrets, sharding, simhash, warc
+from panelwright.llm import bpe, decontamination, licenses, lm_scoring, quality, repeats, secrets, sharding, simhash, warc
 from panelwright.llm.common import whole_text
 from workloads.registry import Query, table
 
@@ -132,3 +132,63 @@ def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document under the mixed model, with the word-frequency base."""
     found = lm_scoring.score_texts(table(spark, sf_dir, "documents"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def document_path() -> Column:
+    """Documents as files: most lie in a folder of fifty below source and language, some in the folders above."""
+    depth = F.col("doc_id") % 10
+    return F.concat_ws(
+        "/", "source", F.when(depth > 0, F.col("lang")), F.when(depth > 1, F.expr("doc_id div 1000")),
+        F.when(depth > 2, F.expr("doc_id div 50")), F.concat("doc_id", F.lit(".txt")))
+
+
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+ORACLES["op4_licence_scan"] = rf"""
+WITH templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS t(template, licence, text)),
+files AS (
+  SELECT doc_id, concat_ws('/', source, CASE WHEN doc_id % 10 > 0 THEN lang END, CASE WHEN doc_id % 10 > 1 THEN (doc_id // 1000)::VARCHAR END,
+                   CASE WHEN doc_id % 10 > 2 THEN (doc_id // 50)::VARCHAR END) AS directory,
+         list_distinct(list_filter(string_split(lower(coalesce(text, '')), chr(10)), lambda x: regexp_matches(x, '{licenses.SPEAKS}'))) AS lines
+  FROM documents
+), lines AS (SELECT doc_id, unnest(lines) AS line FROM files),
+counted AS (SELECT line, count(*) AS n FROM lines GROUP BY line),
+words AS (SELECT line, n, unnest(regexp_extract_all(line, '{licenses.WORD}')) AS word FROM counted),
+template_words AS (SELECT template, licence, unnest(regexp_extract_all(lower(text), '{licenses.WORD}')) AS word FROM templates),
+total AS (SELECT coalesce(sum(n), 0) + (SELECT count(*) FROM templates) AS total FROM counted),
+idf AS (
+  SELECT word, ln((1 + total) / (1 + sum(df))) + 1 AS idf FROM (
+    SELECT word, sum(n) AS df FROM (SELECT DISTINCT line, n, word FROM words) GROUP BY word
+    UNION ALL SELECT word, count(DISTINCT template) FROM template_words GROUP BY word), total
+  GROUP BY word, total
+), lw AS (SELECT line, word, count(*) * any_value(idf) AS w FROM words JOIN idf USING (word) GROUP BY line, word),
+tw AS (SELECT template, licence, word, count(*) * any_value(idf) AS w FROM template_words JOIN idf USING (word) GROUP BY ALL),
+ln_ AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY line),
+tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
+dots AS (
+  SELECT line, licence, round(sum(lw.w * tw.w) / (any_value(ln_.norm) * any_value(tn.norm)), 9) AS cosine
+  FROM lw JOIN tw USING (word) JOIN ln_ USING (line) JOIN tn USING (template) GROUP BY line, template, licence
+), named AS (
+  SELECT line, licence, cosine FROM dots WHERE cosine >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) = 1
+), owned AS (
+  SELECT doc_id, licence AS own FROM lines JOIN named USING (line)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1
+), granted AS (
+  SELECT directory AS from_directory, own AS granted FROM (
+    SELECT directory, own, count(*) AS n FROM files JOIN owned USING (doc_id) GROUP BY directory, own)
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY n DESC, own) = 1
+), near AS (
+  SELECT f.directory, from_directory, granted FROM (SELECT DISTINCT directory FROM files) f
+  JOIN granted g ON f.directory = g.from_directory OR starts_with(f.directory, g.from_directory || '/')
+  QUALIFY row_number() OVER (PARTITION BY f.directory ORDER BY length(from_directory) DESC) = 1
+)
+SELECT f.doc_id, f.directory || '/' || f.doc_id || '.txt' AS path, own, coalesce(own, granted) AS licence,
+       CASE WHEN own IS NULL THEN from_directory END AS from_directory
+FROM files f LEFT JOIN owned o ON o.doc_id = f.doc_id LEFT JOIN near n ON n.directory = f.directory"""
+
+
+@query
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named and inherited licence of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), document_path())
+    return found.select(F.col("row.doc_id").alias("doc_id"), "path", "own", "licence", "from_directory")
