@@ -11,6 +11,8 @@ exclusive; repeated rows each get their spans; a missing id is carried along; ot
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,21 +46,21 @@ NEEDS = {"account": ("secret",), "blob": ("id", "place"), "endpoint": ("secret",
 SPAN = "struct<start:bigint,end:bigint>"
 
 
-def running_sums(amounts: Column) -> Column:
-    """The sum of all amounts before each place, in blocks so that long arrays stay cheap."""
+def _running(amounts: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes of all amounts before each place, zero at first; in blocks, so that long arrays stay cheap."""
 
     def before(values: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("seen"))
         return F.aggregate(values, start, lambda s, x: F.struct(
-            (s["sum"] + x).alias("sum"), F.array_append(s["seen"], s["sum"]).alias("seen")), lambda s: s["seen"])
+            join(s["sum"], x).alias("sum"), F.array_append(s["seen"], s["sum"]).alias("seen")), lambda s: s["seen"])
 
     def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
+        return F.aggregate(values, F.lit(0).cast("long"), join)
 
     def joined(blocks: Column) -> Column:
         return F.flatten(F.zip_with(
             F.transform(blocks, before), before(F.transform(blocks, total)),
-            lambda block, offset: F.transform(block, lambda x: x + offset),
+            lambda block, offset: F.transform(block, lambda x: join(x, offset)),
         ))
 
     starts = F.sequence(F.lit(0), F.floor((F.size(amounts) - 1) / SUM_BLOCK).cast("int"))
@@ -67,6 +69,10 @@ def running_sums(amounts: Column) -> Column:
     )
 
 
+def running_sums(amounts: Column) -> Column:
+    return _running(amounts, lambda a, b: a + b)
+
+
 def find_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """Leftmost, non-overlapping matches as spans: their lengths and those of the pieces between them, summed up."""
 
@@ -171,3 +177,31 @@ def spelled(spans: Column) -> Column:
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", F.get(kinds, s["kind"] - 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+MASK = "[SECRET]"
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every run of overlapping spans replaced by one mark; spans are in order."""
+
+    def rebuilt(x: Column) -> Column:
+        pieces = F.zip_with(x["spans"], x["seen"], lambda s, seen: F.when(
+            s["start"] >= seen, F.concat(F.substring(x["text"], seen + 1, s["start"] - seen), F.lit(MASK))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(x["text"], last + 1, F.length(x["text"])))
+
+    facts = F.struct(text.alias("text"), spans.alias("spans"), _running(
+        F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)).alias("seen"))
+    return F.when(F.size(spans) > 0, let(facts, rebuilt)).otherwise(text)
+
+
+def mask_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
+    """The rows with all reported spans masked; all columns, a missing text stays missing."""
+    found, _ = find_secrets(docs, text, scope)
+    spans = found.filter(F.size("spans") > 0).select("digest", "spans").dropDuplicates(["digest"])
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text_digest(whole_text(text)).alias("digest"))
+    joined = rows.join(spans, "digest", "left")
+    changed = F.when(F.col("spans").isNull(), F.col("row").getField(text)).otherwise(
+        masked(F.col("row").getField(text), F.col("spans")))
+    return joined.select(*[changed.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
