@@ -192,3 +192,11 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named and inherited licence of every document."""
     found = licenses.scan(table(spark, sf_dir, "documents"), document_path())
     return found.select(F.col("row.doc_id").alias("doc_id"), "path", "own", "licence", "from_directory")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
