@@ -101,6 +101,12 @@ def parse_number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double"))
 
 
+def is_whole_number(c: Column) -> Column:
+    """True for text that is an integer within 64 bits; NULL for a missing one."""
+    whole = c.rlike(r"^\s*[+-]?\d{1,19}\s*$") & c.try_cast("bigint").isNotNull()
+    return F.when(c.isNotNull(), whole)
+
+
 def is_bad_number(c: Column) -> Column:
     """True for a value that is present but not a number; NULL for a missing one."""
     return ~c.rlike(NUMBER_PATTERN)

@@ -55,35 +55,46 @@ def newlines_escaped(df: DataFrame) -> DataFrame:
 
 
 def not_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(col, mixed)``: does the text column hold any value that is not a number?
+    """``(col, mixed, whole)``: does the text column hold any value that is not a number, are all integers?
 
     A long aggregate; the shuffle carries one row per column and task.
     """
     pairs = long_text(df, columns)
     return pairs.groupBy("col").agg(
-        F.coalesce(F.bool_or(text.is_bad_number(F.col("value"))), F.lit(False)).alias("mixed")
+        F.coalesce(F.bool_or(text.is_bad_number(F.col("value"))), F.lit(False)).alias("mixed"),
+        F.coalesce(F.bool_and(text.is_whole_number(F.col("value"))), F.lit(False)).alias("whole"),
     )
 
 
-def numbers_or_categories(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Cast every text column to double whose values are all numbers.
+def numbers_or_categories(df: DataFrame, protected: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Cast every text column whose values are all numbers: to bigint if all are integers, else to double.
 
-    Returns the table and the columns that stayed text. One planning scan decides
-    for all columns; number columns are cast without looking at them.
+    Returns the table and the columns that stayed text. One planning scan decides for
+    all columns; number columns are cast without looking at them, integers to bigint.
+    A protected column never becomes a double, so that long ids keep all their digits.
     """
     texts = text_columns(df)
-    mixed: list[str] = []
+    kinds: dict[str, tuple[bool, bool]] = {}
     if 0 < len(texts) <= WIDE_LIMIT:
-        flags = [F.bool_or(text.is_bad_number(column(n))).alias(f"b{k}") for k, n in enumerate(texts)]
-        mixed = [n for n, bad in zip(texts, df.agg(*flags).first()) if bad]
+        flags = [f for k, n in enumerate(texts) for f in (
+            F.bool_or(text.is_bad_number(column(n))).alias(f"b{k}"), F.bool_and(text.is_whole_number(column(n))).alias(f"w{k}"))]
+        row = df.agg(*flags).first()
+        kinds = {n: (bool(row[2 * k]), bool(row[2 * k + 1])) for k, n in enumerate(texts)}
     elif texts:
-        rows = not_numeric(df, texts).filter("mixed").select("col").collect()
-        found = {r["col"] for r in rows}
-        mixed = [n for n in texts if n in found]
+        kinds = {r["col"]: (r["mixed"], r["whole"]) for r in not_numeric(df, texts).collect()}
+    mixed = [n for n in texts if kinds.get(n, (False, False))[0]]
+    whole = {n for n in texts if kinds.get(n, (False, False))[1]}
     parsed = set(texts) - set(mixed)
     numbers = set(numeric_columns(df))
+    integers = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
 
     def typed(name: str) -> Column:
+        if name in whole:
+            return column(name).try_cast("bigint").alias(name)
+        if name in integers:
+            return column(name).cast("bigint").alias(name)
+        if name in protected:
+            return column(name)
         if name in parsed:
             return text.parse_number(column(name)).alias(name)
         if name in numbers:

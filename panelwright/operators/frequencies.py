@@ -72,15 +72,35 @@ def sparse_columns(df: DataFrame, threshold: float, protected: Sequence[str] = (
     return [n for n in names if n in found]
 
 
-def constant_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
-    """Columns with exactly one distinct value; a scan with map-side min/max, no row shuffle."""
-    if len(names) <= WIDE_LIMIT:
+def _long_typed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(col, whole, number, text)``: each value in the one field that keeps its meaning, the others NULL."""
+    def row(name: str) -> Column:
+        kind = df.schema[name].dataType
+        whole = isinstance(kind, T.IntegralType)
+        number = isinstance(kind, (T.DoubleType, T.FloatType))
+        return F.struct(
+            F.lit(name).alias("col"), (column(name) if whole else F.lit(None)).cast("bigint").alias("whole"),
+            (column(name) if number else F.lit(None)).cast("double").alias("number"),
+            (F.lit(None) if whole or number else column(name)).cast("string").alias("text"),
+        )
+
+    return df.select(F.inline(F.array(*[row(n) for n in columns])))
+
+
+def constant_columns(df: DataFrame, names: Sequence[str], wide_limit: int = WIDE_LIMIT) -> list[str]:
+    """Columns with exactly one distinct value; a scan with map-side min/max, no row shuffle.
+
+    Values are compared in their own type in the wide and the long form, so ``0.0`` equals ``-0.0`` in both.
+    """
+    if not names:
+        return []
+    if len(names) <= wide_limit:
         same = [F.min(column(n)) == F.max(column(n)) for n in names]
         row = df.agg(*[s.alias(f"c{k}") for k, s in enumerate(same)]).first()
         return [n for n, flag in zip(names, row) if flag]
+    equal = [F.min(c) == F.max(c) for c in ("whole", "number", "text")]
     rows = (
-        long_text(df, names).groupBy("col")
-        .agg((F.min("value") == F.max("value")).alias("same"))
+        _long_typed(df, names).groupBy("col").agg(F.coalesce(*equal).alias("same"))
         .filter("same").select("col").collect()
     )
     found = {r["col"] for r in rows}
@@ -185,9 +205,12 @@ def encode_nominal(df: DataFrame, columns: Sequence[str], inline_limit: int = IN
 
     def inline(name: str) -> Column:
         listed = F.array(*[F.lit(v) for v in classes[name]])
-        return (F.array_position(listed, key(name)) - 1).alias(name)
+        return (F.array_position(listed, key(name)) - 1).cast("bigint").alias(name)
 
-    result = df.select(*[inline(n) if classes.get(n) else column(n) for n in df.columns])
+    # A column of an empty table has no classes, but its codes are numbers all the same.
+    none = F.lit(None).cast("bigint")
+    result = df.select(*[
+        column(n) if n not in classes else inline(n) if classes[n] else none.alias(n) for n in df.columns])
     codes = nominal_codes(df, many) if many else None
     for name in many:
         table = codes.filter(F.col("col") == name).select(

@@ -62,18 +62,40 @@ def star_join(
         return {}
     base = tables[base_name]
     result = {base_name: base}
-    full, joined_any = base, False
+    by_key: dict[str, list[DataFrame]] = {}
     for name, other in other_tables(tables, base_name).items():
         key = merge_key(base.columns, other.columns, keys)
         if key is None:
             continue
         result[name] = left_join(base, other, key, null_safe)
-        full, joined_any = left_join(full, other, key, null_safe), True
-    if joined_any:
+        by_key.setdefault(key, []).append(other)
+    if by_key:
+        full = base
+        for key, others in by_key.items():
+            full = left_join(full, side_by_side(others, key, null_safe), key, null_safe)
         result["full_merged"] = full
     return result
 
 
+def side_by_side(tables: Sequence[DataFrame], key: str, null_safe: bool = False) -> DataFrame:
+    """Tables with one key as one: what a left join would meet in each of them, one after the other.
+
+    The base is then shuffled once per key. With one join per exchange, adaptive execution may split a hot key;
+    it leaves it whole when a second join relies on the same exchange.
+    """
+    merged = tables[0]
+    for other in tables[1:]:
+        known = {c.lower() for c in merged.columns}
+        added = [c for c in other.columns if c.lower() not in known]
+        right = other.select(column(key).alias("__key"), *[column(c) for c in added])
+        same = column(key).eqNullSafe(F.col("__key")) if null_safe else column(key) == F.col("__key")
+        joined = merged.join(right, same, "full")
+        merged = joined.select(*[
+            F.coalesce(column(c), F.col("__key")).alias(c) if c == key else column(c) for c in merged.columns
+        ], *[column(c) for c in added])
+    return merged
+
+
 def membership(df: DataFrame, members: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Flag the rows whose key occurs in ``members``; duplicates there add no rows."""
     marks = members.select(*[column(k) for k in keys]).distinct().withColumn(name, F.lit(True))

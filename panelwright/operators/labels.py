@@ -19,14 +19,25 @@ def code_key(c):
     return strip(F.btrim(strip(c), F.lit("\"'")))
 
 
+def unique_labels(value_labels: DataFrame) -> DataFrame:
+    """``(name, code, label)`` with one label for each code, compared as text."""
+    order = [F.col("ordinal")] if "ordinal" in value_labels.columns else []
+    keyed = value_labels.select("name", code_key(F.col("code")).alias("code"), "label", *order)
+    present = keyed.filter("name IS NOT NULL AND code IS NOT NULL AND label IS NOT NULL")
+    last = F.max(F.struct(*order, F.col("label"))).getField("label")
+    return present.groupBy("name", "code").agg(last.alias("label"))
+
+
 def decode_labels(df: DataFrame, value_labels: DataFrame, inline_limit: int = INLINE_CODES) -> DataFrame:
     """Replace codes by labels; values without a label pass through as text.
 
-    ``value_labels`` is ``(name, code, label)`` with unique codes per name. Variables
-    with few codes are decoded together in one projection; the code list of a large
-    variable is joined, and Spark decides by its measured size whether to broadcast.
+    ``value_labels`` is ``(name, code, label)``, with an optional ``ordinal``. Codes that
+    are equal as text keep one label: that of the highest ordinal, or without one the
+    greatest; missing codes match nothing. Variables with few codes are decoded together
+    in one projection; the code list of a large variable is joined, and Spark decides by
+    its measured size whether to broadcast.
     """
-    table = value_labels.select("name", code_key(F.col("code")).alias("code"), "label")
+    table = unique_labels(value_labels)
     names = list(df.columns)
     sizes = {
         r["name"]: r["count"]

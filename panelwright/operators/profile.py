@@ -54,10 +54,15 @@ def _moments(value: Column) -> list[Column]:
     ]
 
 
-def numeric_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(col, present, mean, std, variance, min, max)``, one partial row per task and no row shuffle."""
-    if len(columns) > WIDE_LIMIT:
-        return long_double(df, columns).groupBy("col").agg(*_moments(F.col("value")))
+def numeric_moments(df: DataFrame, columns: Sequence[str], wide_limit: int = WIDE_LIMIT) -> DataFrame:
+    """``(col, present, mean, std, variance, min, max)``, one partial row per task and no row shuffle.
+
+    Every column has a row, also in an empty table.
+    """
+    if len(columns) > wide_limit:
+        found = long_double(df, columns).groupBy("col").agg(*_moments(F.col("value")))
+        names = df.sparkSession.createDataFrame([(n,) for n in columns], "col string")
+        return names.join(found, "col", "left").withColumn("present", F.coalesce("present", F.lit(0)))
     numbers = {n: column(n).cast("double") for n in columns}
     wide = df.agg(*[F.struct(*_moments(F.when(~F.isnan(v), v))).alias(f"m{k}") for k, v in enumerate(numbers.values())])
     rows = [F.struct(F.lit(n).alias("col"), F.col(f"m{k}.*")) for k, n in enumerate(numbers)]
@@ -105,12 +110,16 @@ def value_limits(frequencies: DataFrame) -> DataFrame:
 
 
 def histogram_counts(frequencies: DataFrame, limits: DataFrame, bins: int = BINS) -> DataFrame:
-    """``(col, lo, hi, bin, n)`` for the filled bins, ``bin`` from 0; the last bin is closed."""
+    """``(col, lo, hi, bin, n)`` for the filled bins, ``bin`` from 0; the last bin is closed.
+
+    The limits are one row per column, so the schema bounds what is broadcast; without an exchange on the
+    column, the counts of a column's bins are summed where its values lie first.
+    """
     lo, hi = _range(F.col("min"), F.col("max"))
     limits = limits.select("col", lo.alias("lo"), hi.alias("hi"))
     step = (F.col("hi") - F.col("lo")) / bins
     guess = F.least(F.floor((F.col("value") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))), F.lit(bins - 1))
-    placed = frequencies.join(limits, "col").withColumn("bin", guess)
+    placed = frequencies.join(F.broadcast(limits), "col").withColumn("bin", guess)
     # The product above may land one bin off an edge, so the edges decide.
     down = F.col("value") < F.col("bin") * step + F.col("lo")
     up = (F.col("value") >= (F.col("bin") + 1) * step + F.col("lo")) & (F.col("bin") < bins - 1)

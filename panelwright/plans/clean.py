@@ -27,13 +27,19 @@ class Cleaned(NamedTuple):
     sparse: list[str]
 
 
-def clean_cells(df: DataFrame, protected: Sequence[str] = ()) -> DataFrame:
+def clean_cells(df: DataFrame) -> DataFrame:
     """The row-wise steps in their fixed order; Catalyst folds them into one projection.
 
     Escaping of line breaks would come last, but cleaned values hold none any more.
+    Error codes go after the types are known, see :func:`typed_cells`.
     """
-    df = clean_values(clean_headers(nan_as_null(df)))
-    return sentinels_as_null(missing_labels_as_null(df), protected)
+    return missing_labels_as_null(clean_values(clean_headers(nan_as_null(df))))
+
+
+def typed_cells(df: DataFrame, protected: Sequence[str] = ()) -> DataFrame:
+    """Cleaned cells with their types; then error codes go in every number column, also in those read as text."""
+    typed, _ = numbers_or_categories(clean_cells(df), protected)
+    return sentinels_as_null(typed, protected)
 
 
 def clean(
@@ -44,19 +50,19 @@ def clean(
     correlation_threshold: float = 1.0,
     target: str | None = None,
     strict_reference: bool = False,
-    materialise: bool = False,
+    materialise: bool = True,
 ) -> Cleaned:
     """Clean a table and drop the columns the thresholds rule out.
 
     Ids and target are protected from every rule; ``strict_reference`` protects ids
     only from the sentinel rule. Each rule is one planning job that returns facts
-    per column, never rows; the result is a single projection of the input. With
-    ``materialise`` the cleaned cells are written to the shared folder first, so the
-    planning scans read typed columns instead of cleaning the text again each time.
+    per column, never rows. With ``materialise`` the typed cells are written to the
+    shared folder first, so the input is read twice (types, cells) and the planning
+    scans read typed columns instead of cleaning the text again each time.
     """
     protected = [clean_header(p) for p in protected if p]
     target = clean_header(target) if target else None
-    df, _ = numbers_or_categories(clean_cells(df, protected))
+    df = typed_cells(df, protected)
     if materialise:
         df = written_once(df, "cells")
     safe = [] if strict_reference else [*protected, *([target] if target else [])]

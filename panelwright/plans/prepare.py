@@ -33,7 +33,6 @@ def clean_stage(
         ids = [r for r in (roles.student, roles.school) if r]
         result = clean(
             df, ids, thresholds.missing, thresholds.uniform, thresholds.correlation, roles.score,
-            materialise=thresholds.correlation < 1.0,
         )
         write_stage(result.table, root, "cleaned", name)
     return list(tables)
@@ -88,18 +87,25 @@ class Labeled(NamedTuple):
 
 
 def label_folder(spark: SparkSession, root: str, country: str | None = None) -> Labeled:
-    """Labeled tables of all known files below a folder, by base name.
+    """Labeled tables of all known files below a folder, by path below it without the extension.
 
     Syntax files bring the fixed-width text they name, CSV files count as labeled.
-    A file that cannot be read is reported and does not stop the others.
+    A file that cannot be planned is reported and does not stop the others; so is a
+    file whose name another one has taken. Faults inside the data show when the
+    table is written.
     """
     done = Labeled({}, {}, {})
+    base = root.removeprefix("file:").rstrip("/") + "/"
     for row in route_files(spark, root).orderBy("path").collect():
         path, kind = row["path"], row["format"]
         folder, _, file = path.rpartition("/")
-        name = file.rpartition(".")[0]
+        below = path[path.find(base) + len(base):] if base in path else file
+        name = below.rpartition(".")[0]
         if folder.rpartition("/")[2] in STAGES or kind == "skip":
             continue
+        if name in done.tables:
+            done.failed[path] = f"another file has given the table {name}"
+            continue
         try:
             if kind == "syntax":
                 done.tables[name], done.raw[name] = load_syntax(spark, path, folder, country)

@@ -4,21 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.names import column
-from panelwright.functions.text import to_cp1252, year_of_name
+from panelwright.functions.names import column, rename_all
+from panelwright.functions.text import CP1252_BYTES, CP1252_CHARACTERS, to_cp1252, year_of_name
 from panelwright.operators.columns import drop_marked, map_columns, select_required
 from panelwright.operators.moments import text_columns
 
 STAGES = ("labeled", "cleaned", "leveled")
 
 
-def write_csv(df: DataFrame, path: str, encoding: str = "utf-8") -> str:
-    """CSV folder with header, every field quoted, quotes doubled, NULL as an empty field."""
+def _as_cp1252(df: DataFrame, errors: str) -> DataFrame:
+    """Values and names in the Latin-1 spelling of code page 1252; a character without a byte is an error or ``?``."""
+    table = str.maketrans(CP1252_CHARACTERS, CP1252_BYTES)
+    names = [n.translate(table) for n in df.columns]
+    unknown = [n for n, new in zip(df.columns, names) if max(new, default=" ") > "\xff"]
+    if unknown and errors == "strict":
+        raise ValueError(f"column names outside code page 1252: {unknown}")
+
+    def checked(c: Column) -> Column:
+        text = to_cp1252(c)
+        fault = F.raise_error(F.concat(F.lit("text outside code page 1252: "), c))
+        return F.when(text.rlike(r"[^\x00-\xff]"), fault).otherwise(text) if errors == "strict" else text
+
+    return rename_all(map_columns(df, text_columns(df), checked), names)
+
+
+def write_csv(df: DataFrame, path: str, encoding: str = "utf-8", errors: str = "strict") -> str:
+    """CSV folder with header, every field quoted, quotes doubled, NULL as an empty field.
+
+    In code page 1252 a character that it lacks is an error; ``errors="replace"`` writes ``?`` instead.
+    """
     if encoding.lower() == "cp1252":
-        df, encoding = map_columns(df, text_columns(df), to_cp1252), "iso-8859-1"
+        df, encoding = _as_cp1252(df, errors), "iso-8859-1"
     (
         df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
         .option("emptyValue", "").option("nullValue", "").option("encoding", encoding).csv(path)

@@ -42,11 +42,14 @@ def selection_indexes(file_name: Column, filters: Sequence[str] = SELECTION_FILT
     return F.array_compact(F.array(*hits))
 
 
-def parse_ranking_lines(lines: DataFrame, line: str = "line", strict_reference: bool = False) -> DataFrame:
+def parse_ranking_lines(
+    lines: DataFrame, line: str = "line", strict_reference: bool = False, rejected: bool = False
+) -> DataFrame:
     """Lines of the form ``score number name``: adds ``score, number, attribute``.
 
     Works line by line, so a large file is read by many tasks. A minus sign counts;
-    ``strict_reference`` drops it. Text that only looks like a score is no match.
+    ``strict_reference`` drops it. Text that only looks like a score is no match;
+    ``rejected`` returns these lines instead of the parsed ones.
     """
     keep = [c for c in lines.columns if c != line]
     # The outer form keeps Spark from testing the match array once more before it is exploded.
@@ -55,9 +58,15 @@ def parse_ranking_lines(lines: DataFrame, line: str = "line", strict_reference:
     parts = F.split("__match", r"\s+", 3)
     text = F.ltrim(parts[0], F.lit("-")) if strict_reference else parts[0]
     parsed = matches.select(
-        *keep, text.try_cast("double").alias("score"), parts[1].try_cast("int").alias("number"), strip(parts[2]).alias("attribute")
+        *keep, text.try_cast("double").alias("score"), parts[1].try_cast("bigint").alias("number"), strip(parts[2]).alias("attribute")
     )
-    return parsed.filter(F.col("score").isNotNull() & F.col("number").isNotNull() & (F.col("attribute") != ""))
+    whole = F.col("score").isNotNull() & F.col("number").isNotNull() & (F.col("attribute") != "")
+    return parsed.filter(~whole if rejected else whole)
+
+
+def rejected_ranking_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Lines of the ranking form whose score, number or name does not parse, to be counted or looked at."""
+    return parse_ranking_lines(lines, line, rejected=True)
 
 
 def normalise_scores(rankings: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
@@ -90,7 +99,7 @@ def parse_selection_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     named = opened.select(*keep, "block", "__ids", F.posexplode_outer("__names").alias("place", "attribute")).filter(
         F.col("attribute").isNotNull()
     )
-    attribute_id = F.coalesce(F.get("__ids", F.col("place")).try_cast("int"), F.lit(0))
+    attribute_id = F.coalesce(F.get("__ids", F.col("place")).try_cast("bigint"), F.lit(0))
     return named.select(*keep, "block", "place", "attribute", attribute_id.alias("attribute_id"))
 
 

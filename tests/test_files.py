@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from panelwright.plans.label import load_syntax, load_table, write_labeled
 from panelwright.plans.prepare import label_folder, prepare_folder
 from panelwright.sinks import writers
+from panelwright.sinks.writers import write_csv
 from panelwright.sources.codebook import decode_table, layout_of, parse_codebook, read_syntax
 from panelwright.sources.files import discover, route_files, scan_level
 from panelwright.sources.tables import (
@@ -107,7 +108,7 @@ def test_csv_reading(spark, tmp_path, rows):
     content = 'id,näme €,note,"odd,name",all\n1,"a ""q"", b","two\nlines",1.5,NA\nN/A,é,Missing,NULL,\n3,x,,2e1,nan\n'
     (tmp_path / "t.csv").write_bytes(content.encode("cp1252"))
     df = read_csv(spark, str(tmp_path / "t.csv"))
-    assert df.dtypes == [("id", "double"), ("näme €", "string"), ("note", "string"), ("odd,name", "double"), ("all", "double")]
+    assert df.dtypes == [("id", "bigint"), ("näme €", "string"), ("note", "string"), ("odd,name", "double"), ("all", "double")]
     assert rows(df) == [(None, "é", "Missing", None, None), (1.0, 'a "q", b', "two\nlines", 1.5, None), (3.0, "x", None, 20.0, None)]
     assert column_list(spark, str(tmp_path / "t.csv")) == df.columns
     assert read_column(spark, str(tmp_path / "t.csv"), "nothing") is None
@@ -223,3 +224,26 @@ PV1 "{pv}"
     final = spark.read.parquet(str(tmp_path / "leveled" / "full_merged")).orderBy("Student ID").collect()
     assert [(r["Student ID"], r["size"], r[f"{pv}_level"]) for r in final] == [(1.0, 10.0, "Level 1"), (2.0, 10.0, "Level 6"), (4.0, 20.0, "Below Level 1")]
     assert spark.read.parquet(str(tmp_path / "labeled" / "stu_unlabeled")).columns == ["CNT", "SCH", "STU", "PV1"]
+
+
+def test_code_page_headers_and_faults(spark, tmp_path):
+    df = spark.createDataFrame([("é €",)], "`Student’s – €` string")
+    write_csv(df, str(tmp_path / "page"), encoding="cp1252")
+    assert read_csv(spark, str(tmp_path / "page")).columns == ["Student’s – €"]
+    far = spark.createDataFrame([("漢",)], "a string")
+    with pytest.raises(Exception, match="outside code page 1252"):
+        write_csv(far, str(tmp_path / "far"), encoding="cp1252")
+    write_csv(far, str(tmp_path / "far"), encoding="cp1252", errors="replace")
+    assert read_csv(spark, str(tmp_path / "far")).first()["a"] == "?"
+    with pytest.raises(ValueError, match="column names"):
+        write_csv(far.withColumnRenamed("a", "漢"), str(tmp_path / "name"), encoding="cp1252")
+
+
+def test_files_of_one_name(spark, tmp_path):
+    for year in ("2018", "2022"):
+        (tmp_path / year).mkdir()
+        (tmp_path / year / "stu.csv").write_text(f"a\n{year}\n")
+    (tmp_path / "2018" / "stu.sps").write_text("a\nb\n")
+    found = label_folder(spark, str(tmp_path))
+    assert {n: df.first()["a"] for n, df in found.tables.items()} == {"2018/stu": 2018, "2022/stu": 2022}
+    assert len(found.failed) == 1

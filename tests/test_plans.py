@@ -49,7 +49,7 @@ def test_clean(spark, students, partitions):
     assert result.sparse == ["All missing"]
     assert "Student s gender self-report" in result.table.columns and PV in result.table.columns
     types = dict(result.table.dtypes)
-    assert types["Index code"] == "string" and types[STUDENT] == "double"
+    assert types["Index code"] == "string" and types[STUDENT] == "bigint"
     books = {r["Books at home"] for r in result.table.collect()}
     assert books == {None, "0-10", "11-25"}
     copied = clean(students.repartition(partitions), [STUDENT, SCHOOL], 0.9, 1.0, 0.99, PV, materialise=True)

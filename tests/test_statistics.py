@@ -179,3 +179,31 @@ def test_sketched_uniform_columns_match_exact_counts(spark, threshold):
 def to_spark_any(spark, pdf):
     df = spark.createDataFrame(pdf).repartition(5)
     return df.withColumn("gaps", F.when(~F.isnan("gaps"), F.col("gaps"))).withColumn("flag", F.col("flag").cast("boolean"))
+
+
+@pytest.mark.parametrize("limit", [0, 60])
+def test_limits_do_not_change_answers(spark, limit):
+    df = spark.createDataFrame([(0.0, 9007199254740993, "x", float("nan")), (-0.0, 9007199254740992, None, float("nan"))],
+                               "zero double, near bigint, text string, nan double")
+    assert frequencies.constant_columns(df, df.columns, limit) == ["zero", "text", "nan"]
+    assert frequencies.constant_columns(df.limit(0), df.columns, limit) == []
+    empty = profile.numeric_moments(df.limit(0), ["zero", "near"], limit).collect()
+    assert sorted((r["col"], r["present"], r["mean"]) for r in empty) == [("near", 0, None), ("zero", 0, None)]
+
+
+def test_codes_of_an_empty_table_are_numbers(spark):
+    df = spark.createDataFrame([("a",)], "c string")
+    assert frequencies.encode_nominal(df.limit(0), ["c"]).dtypes == frequencies.encode_nominal(df, ["c"]).dtypes == [("c", "bigint")]
+
+
+def test_histogram_has_no_exchange_on_the_column_alone(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbers = profile.number_frequencies(spark.range(100).selectExpr("id * 1.0D AS x"), ["x"])
+        plan = profile.histogram_counts(numbers, profile.value_limits(numbers))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    join = plan[: plan.index("BroadcastHashJoin")]
+    assert "hashpartitioning(col" in join and "SortMergeJoin" not in plan
+    assert all(", bin" in line or "lo#" in line for line in join.splitlines() if "hashpartitioning(col" in line)

@@ -81,7 +81,7 @@ def test_numeric_or_category(spark, monkeypatch, limit):
     df = spark.createDataFrame([("1", "1d", None, "1e3", True, 3), (" 3 ", "2", None, None, False, 4)], "a string, b string, c string, d string, e boolean, f int")
     typed, mixed = numbers_or_categories(df)
     assert mixed == ["b"]
-    assert dict(typed.dtypes) == {"a": "double", "b": "string", "c": "double", "d": "double", "e": "double", "f": "double"}
+    assert dict(typed.dtypes) == {"a": "bigint", "b": "string", "c": "double", "d": "double", "e": "double", "f": "bigint"}
     assert [tuple(r) for r in typed.collect()] == [(1.0, "1d", None, 1000.0, 1.0, 3.0), (3.0, "2", None, None, 0.0, 4.0)]
     assert {r["col"]: r["mixed"] for r in not_numeric(df, ["a", "b", "c"]).collect()} == {"a": False, "b": True, "c": False}
 
@@ -136,3 +136,19 @@ def test_fuzzy_names(spark):
     got = [(r["mapped_dataset_column"], r["match_type"]) for r in match_names(df, "n", columns).orderBy("k").collect()]
     assert got == [("Books at home", "exact"), (None, "none"), (columns[2], "fuzzy"), ("ab", "exact"), (None, "none"), (None, "none"), ("Books at home", "exact")]
     assert match_names(df, "n", columns, fuzzy=False).filter("match_type = 'fuzzy'").count() == 0
+
+
+def test_long_integers_keep_their_digits(spark):
+    df = spark.createDataFrame([("9007199254740993", "99999999999999999999", "1.5"), ("9007199254740992", "1", None)], "a string, b string, id string")
+    typed, mixed = numbers_or_categories(df, protected=["id"])
+    assert mixed == [] and dict(typed.dtypes) == {"a": "bigint", "b": "double", "id": "string"}
+    assert [r["a"] for r in typed.collect()] == [9007199254740993, 9007199254740992]
+
+
+def test_tables_of_one_key_are_joined_side_by_side(spark, rows):
+    base = spark.createDataFrame([(1, 2.0), (2, 3.0), (None, 4.0)], "k int, score double")
+    first = spark.createDataFrame([(1, "a"), (1, "b"), (None, "n")], "k int, c string")
+    second = spark.createDataFrame([(2, "x", "hidden"), (1, "y", "hidden")], "k int, d string, c string")
+    full = star_join({"base": base, "one": first, "two": second}, "score", ["k"])["full_merged"]
+    one_by_one = left_join(left_join(base, first, "k"), second, "k")
+    assert full.columns == one_by_one.columns and rows(full) == rows(one_by_one)

@@ -88,6 +88,22 @@ def label_decode_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_labels(items, labels, inline_limit=0)
 
 
+@query("label_decode_duplicates", """
+SELECT 'listed' AS way, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open still' ELSE o_orderstatus END AS o_orderstatus
+FROM orders UNION ALL
+SELECT 'joined', o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open still' ELSE o_orderstatus END FROM orders
+""")
+def label_decode_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that are equal as text, and missing codes, give one row and the same label on both paths."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    labels = spark.createDataFrame([
+        ("o_orderstatus", "O", "Open", 1), ("o_orderstatus", ' "O" ', "Open still", 2), ("o_orderstatus", "F", "Finished", 3),
+        ("o_orderstatus", None, "Nothing", 4), (None, "P", "Nobody", 5), ("o_orderstatus", "P", None, 6),
+    ], "name string, code string, label string, ordinal int")
+    listed, joined = decode_labels(orders, labels), decode_labels(orders, labels, inline_limit=0)
+    return listed.withColumn("way", F.lit("listed")).unionByName(joined.withColumn("way", F.lit("joined")))
+
+
 @query("value_clean", r"""
 SELECT doc_id, trim(translate(translate(text, chr(39)||chr(10)||chr(13)||chr(9), '    '), ',"\', ''),
                     ' '||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(160)||chr(8195)||chr(8201)||chr(12288)) AS text
@@ -168,7 +184,8 @@ _PART_TEXTS = {
 
 
 @query("numeric_or_category", union_sql([
-    f"SELECT '{n}' AS col, coalesce(bool_or(v IS NOT NULL AND NOT regexp_matches(v, {NUMBER_SQL})), false) AS mixed "
+    f"SELECT '{n}' AS col, coalesce(bool_or(v IS NOT NULL AND NOT regexp_matches(v, {NUMBER_SQL})), false) AS mixed, "
+    f"coalesce(bool_and(regexp_full_match(trim(v), '[+-]?[0-9]{{1,19}}') AND try_cast(trim(v) AS BIGINT) IS NOT NULL) FILTER (WHERE v IS NOT NULL), false) AS whole "
     f"FROM (SELECT {e} AS v FROM part)" for n, e in _PART_TEXTS.items()
 ]))
 def numeric_or_category(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,9 +193,9 @@ def numeric_or_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("typed_columns", """
-SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, p_name, p_brand, CAST(p_size AS DOUBLE) AS p_size,
+SELECT p_partkey, p_name, p_brand, CAST(p_size AS BIGINT) AS p_size,
        p_size||'d' AS p_suffix, CAST(p_size AS DOUBLE) * 100 AS p_power,
-       CASE WHEN p_size > 25 THEN CAST(p_size AS DOUBLE) END AS p_gaps, CAST(NULL AS DOUBLE) AS p_none
+       CASE WHEN p_size > 25 THEN CAST(p_size AS BIGINT) END AS p_gaps, CAST(NULL AS DOUBLE) AS p_none
 FROM part
 """)
 def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ rankings AS (SELECT *, CAST(cents AS DOUBLE) / 100 AS score, (CAST(cents AS DOUB
 
 @query("parse_rankings", f"""
 WITH {RANKINGS_SQL}
-SELECT result_name, file, method, score, CAST(p_partkey AS INTEGER) AS number, attribute, round(norm_score, 8) AS norm_score FROM rankings
+SELECT result_name, file, method, score, p_partkey AS number, attribute, round(norm_score, 8) AS norm_score FROM rankings
 """)
 def parse_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_scores(_rankings(spark, sf_dir)).drop("line_no").withColumn("norm_score", F.round("norm_score", 8))
@@ -94,7 +94,7 @@ def _selections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SELECTIONS_SQL = """
 selections AS (
-SELECT p_brand AS result_name, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS filter_idx, 'attr '||p_partkey AS attribute, CAST(p_partkey AS INTEGER) AS attribute_id FROM part
+SELECT p_brand AS result_name, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS filter_idx, 'attr '||p_partkey AS attribute, p_partkey AS attribute_id FROM part
 UNION ALL
 SELECT p_brand, CASE WHEN p_size > 25 THEN 1 ELSE 0 END, 'attr '||(p_partkey + 1), 0 FROM part WHERE p_type = 'ECONOMY')
 """

@@ -27,3 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def union_sql(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
+
+
+def named_file(spark: SparkSession, folder: str, path: str) -> str:
+    """Move the one part file that Spark wrote to a folder to a path of its own."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source = hadoop.Path(folder)
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [s.getPath() for s in system.listStatus(source) if s.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{folder} holds {len(parts)} part files")
+    target = hadoop.Path(path)
+    system.mkdirs(target.getParent())
+    system.rename(parts[0], target)
+    return path

@@ -14,12 +14,12 @@ LINE_NUMBERS = [
 ]
 PART_TEXTS = ["p_name", "p_brand", "p_type"]
 ORDER_TEXTS = ["o_orderstatus", "o_orderpriority"]
-JOINED_DOCS = "(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
-JOINED_COLUMNS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+JOINED_DOCS = "(SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+JOINED_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").drop("text")
+    docs = table(spark, sf_dir, "documents")
     return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(*JOINED_COLUMNS)
 
 
@@ -45,7 +45,7 @@ def missing_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratios.withColumn("ratio", F.round("ratio", 6))
 
 
-@query("drop_sparse", f"SELECT doc_id, lang, source, n_chars FROM {JOINED_DOCS}")
+@query("drop_sparse", f"SELECT doc_id, text, lang, source, n_chars FROM {JOINED_DOCS}")
 def drop_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequencies.drop_sparse(labelled_documents(spark, sf_dir), 0.5)[0]
 
@@ -201,7 +201,7 @@ def drop_correlated_untargeted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("profile_common", union_sql([
     f"SELECT '{c}' AS name, '{t}' AS dtype, count(*) AS total_count, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_count, "
     f"round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100, 6) AS missing_percentage, count({c}) AS non_missing_count FROM {JOINED_DOCS}"
-    for c, t in zip(JOINED_COLUMNS, ["bigint", "string", "string", "bigint", "int", "int"])
+    for c, t in zip(JOINED_COLUMNS, ["bigint", "string", "string", "string", "bigint", "int", "int"])
 ]))
 def profile_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = profile.common_profile(labelled_documents(spark, sf_dir))
@@ -229,9 +229,9 @@ def _rounded_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-@query("profile_numeric", _numeric_sql({c: f"CAST({c} AS DOUBLE)" for c in LINE_NUMBERS[3:]}, "lineitem"))
+@query("profile_numeric", _numeric_sql({c: f"CAST({c} AS DOUBLE)" for c in LINE_NUMBERS}, "lineitem"))
 def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_profile(table(spark, sf_dir, "lineitem"), LINE_NUMBERS[3:])
+    return _rounded_profile(table(spark, sf_dir, "lineitem"), LINE_NUMBERS)
 
 
 @query("profile_numeric_gaps", _numeric_sql(
@@ -286,3 +286,20 @@ def profile_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = profile.profile(table(spark, sf_dir, "part"))
     return result.select("name", "type", "total_count", "unique_count", F.round("mean", 6).alias("mean"))
+
+
+@query("constant_columns", """
+SELECT tab, col FROM (VALUES ('items', 'zero'), ('items', 'flag'), ('items', 'far')) AS t(tab, col) CROSS JOIN (SELECT 1 FROM lineitem LIMIT 1)
+""")
+def constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed zeros are one value, neighbouring long integers are two, in the wide form and in the long one; an
+    empty table has no constant column. A column that only one form finds would show as a difference."""
+    sign = F.when(F.col("l_linenumber") == 1, 0.0).otherwise(-0.0)
+    far = F.lit(9007199254740992)
+    items = table(spark, sf_dir, "lineitem").select(
+        sign.alias("zero"), F.lit("x").alias("flag"), far.alias("far"), (far + F.col("l_linenumber") % 2).alias("near"), "l_quantity")
+    found = []
+    for name, df in (("items", items), ("empty", items.filter("1 = 0"))):
+        wide, long = (set(frequencies.constant_columns(df, df.columns, limit)) for limit in (60, 0))
+        found += [(name, c) for c in sorted(wide & long)] + [(name, f"{c} differs") for c in sorted(wide ^ long)]
+    return spark.createDataFrame(found, "tab string, col string")

@@ -11,7 +11,7 @@ from panelwright.operators.joins import left_join, membership, star_join
 from panelwright.operators.roles import Roles, best_roles, detect_roles
 from panelwright.plans.clean import clean
 from panelwright.plans.label import label_table
-from panelwright.plans.prepare import Thresholds, prepare
+from panelwright.plans.prepare import Thresholds, label_folder, prepare
 from panelwright.plans.transform import transform
 from panelwright.session import work_folder
 from panelwright.sinks.writers import (
@@ -28,7 +28,7 @@ from panelwright.sources.files import file_format, wanted_paths
 from panelwright.sources.fixed_width import cut_lines
 from panelwright.sources.codebook import Layout
 from panelwright.sources.tables import column_list, read_column, read_csv
-from workloads.registry import query, table, union_sql
+from workloads.registry import named_file, query, table, union_sql
 from workloads.statistics import JOINED_DOCS, labelled_documents
 
 SCORE = "Plausible Value 1 in Mathematics"
@@ -230,7 +230,7 @@ def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("csv_round_trip", """
-SELECT CAST(conv_id AS DOUBLE) AS conv_id, CAST(turn AS DOUBLE) AS turn, role, text FROM conversations
+SELECT conv_id, turn, role, text FROM conversations
 """)
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with line breaks, quotes and accents through a quoted CSV folder and back."""
@@ -239,15 +239,15 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("csv_code_page", """
-SELECT CAST(p_partkey AS DOUBLE) AS "Schlüssel €", p_name||' – “é€”' AS name, CAST(nullif(p_size, 7) AS DOUBLE) AS size FROM part
+SELECT p_partkey AS "Schlüssel ’ €", p_name||' – “é€”' AS name, CAST(nullif(p_size, 7) AS BIGINT) AS size FROM part
 """)
 def csv_code_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code page 1252 written and read, with characters outside Latin-1 and missing values."""
     part = table(spark, sf_dir, "part").select(
-        "p_partkey", F.concat("p_name", F.lit(" – “é€”")).alias("name"), F.nullif("p_size", F.lit(7)).alias("size")
+        F.col("p_partkey").alias("Schlüssel ’ €"), F.concat("p_name", F.lit(" – “é€”")).alias("name"), F.nullif("p_size", F.lit(7)).alias("size")
     )
     path = write_csv(part, work_folder(spark, "cp1252"), encoding="cp1252")
-    return read_csv(spark, path).withColumnRenamed("p_partkey", "Schlüssel €")
+    return read_csv(spark, path)
 
 
 @query("csv_single_column", "SELECT p_name, 'p_partkey p_name p_brand p_type p_size p_retailprice' AS header FROM part")
@@ -273,29 +273,35 @@ def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("top_by_year", """
-SELECT 'top' AS part, '2018' AS year, count(*) AS n FROM (SELECT * FROM part ORDER BY p_retailprice DESC LIMIT 5)
-UNION ALL SELECT 'ids', '2018', count(*) FROM part
+SELECT 'top' AS part, '2018' AS year, p_partkey, -CAST(round(p_retailprice * 100) AS BIGINT) * 1000000 - p_partkey AS place, NULL AS p_size
+FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 5)
+UNION ALL SELECT 'ids', '2018', p_partkey, NULL, p_size FROM part
 """)
 def top_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    overall = part.select((-F.col("p_retailprice")).alias("Rank"), "p_partkey")
+    # The place is a total order, so that the first five rows are the same everywhere.
+    place = -F.round(F.col("p_retailprice") * 100).cast("bigint") * 1000000 - F.col("p_partkey")
+    overall = part.select(place.alias("Rank"), "p_partkey")
     paths = write_top_by_year(overall, part, work_folder(spark, "years"), 5, "STU_2018", ["p_partkey"], ["p_size"])
-    counts = [
-        spark.read.parquet(path).groupBy(F.col("year").cast("string").alias("year")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(name))
-        for name, path in paths.items()
-    ]
-    return counts[0].unionByName(counts[1])
+    year = F.col("year").cast("string").alias("year")
+    top = spark.read.parquet(paths["top"]).select(
+        F.lit("top").alias("part"), year, "p_partkey", F.col("Rank").alias("place"), F.lit(None).cast("int").alias("p_size"))
+    ids = spark.read.parquet(paths["ids"]).select(
+        F.lit("ids").alias("part"), year, "p_partkey", F.lit(None).cast("bigint").alias("place"), "p_size")
+    return top.unionByName(ids)
 
 
 @query("clean_table", f"""
-SELECT CAST(doc_id AS DOUBLE) AS doc_id, lang, CASE WHEN n_chars > 9990 THEN NULL ELSE CAST(n_chars AS DOUBLE) END AS "Size s",
-       CAST(quality AS DOUBLE) AS quality, CASE WHEN source = 'src1' THEN NULL ELSE source END AS source
+SELECT doc_id, lang, CASE WHEN n_chars > 9990 THEN NULL ELSE n_chars END AS "Size s", CAST(quality AS BIGINT) AS quality,
+       CASE WHEN source = 'src1' THEN NULL ELSE source END AS source,
+       trim(translate(text, chr(39) || chr(10) || chr(13) || chr(9) || ',"' || chr(92), '    '),
+            ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31)) AS text
 FROM {JOINED_DOCS}
 """)
 def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cleaning steps: the doubled size, the uniform flag, the constant and the sparse column go."""
     docs = labelled_documents(spark, sf_dir).select(
-        "doc_id", "lang", (F.col("n_chars") * 2).alias("twice"), F.col("n_chars").alias("Size's"),
+        "doc_id", "lang", "text", (F.col("n_chars") * 2).alias("twice"), F.col("n_chars").alias("Size's"),
         "quality", F.col("toxic").cast("string").alias("toxic"),
         F.when(F.col("source") == "src1", "Missing").otherwise(F.col("source")).alias("source"),
         F.lit("x").alias("constant"), F.when(F.col("n_chars") < 100, 1).alias("rare"),
@@ -305,6 +311,41 @@ def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(docs, protected=["doc_id"], missing_threshold=0.7, uniform_threshold=0.86, correlation_threshold=0.98).table
 
 
+@query("clean_long_ids", """
+SELECT o_orderkey + 9007199254740992 AS "Student", round(o_totalprice) AS "As number", round(o_totalprice) AS "As text", c_mktsegment
+FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 9990 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders)
+LEFT JOIN customer ON o_custkey = c_custkey
+""")
+def clean_long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids beyond 2 ** 53 keep their digits through cleaning and a join; error codes go from numbers and from text."""
+    far = F.lit(9007199254740992)
+    orders = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") + far).cast("string").alias("Student"), (F.col("o_custkey") + far).alias("School"),
+        F.when(F.col("o_totalprice") <= 9990, F.round("o_totalprice")).otherwise(9997.0).alias("As number"),
+        F.when(F.col("o_totalprice") <= 9990, F.round("o_totalprice").cast("string")).otherwise("9997").alias("As text"),
+    )
+    schools = table(spark, sf_dir, "customer").select((F.col("c_custkey") + far).cast("string").alias("School"), "c_mktsegment")
+    # Two equal columns would be redundant, so nothing is dropped here.
+    ids = ["Student", "School"]
+    students, schools = clean(orders, ids).table, clean(schools, ids).table
+    return left_join(students, schools, "School").select("Student", F.col("As number"), F.col("As text").cast("double"), "c_mktsegment")
+
+
+@query("prepare_same_names", """
+SELECT '2018/stu' AS tab, p_partkey AS id, p_name FROM part UNION ALL SELECT '2022/stu', p_partkey + 1000000, p_name FROM part
+""")
+def prepare_same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one name in two folders stay two tables."""
+    root = work_folder(spark, "same-names")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    for year, add in (("2018", 0), ("2022", 1_000_000)):
+        write_csv(part.withColumn("id", F.col("id") + add).coalesce(1), f"{root}/raw{year}")
+        named_file(spark, f"{root}/raw{year}", f"{root}/in/{year}/stu.csv")
+    found = label_folder(spark, f"{root}/in").tables
+    tables = [df.withColumn("tab", F.lit(name)) for name, df in found.items()]
+    return tables[0].unionByName(tables[1])
+
+
 @query("transform_tables", f"""
 SELECT o_custkey AS "{SCHOOL}", o_orderkey AS "{STUDENT}", o_orderstatus AS "Student ID kind", c_mktsegment AS "School type", c_acctbal AS "School size",
        round(o_totalprice / 50000) AS "Plausible Value 2 in Mathematics", o_totalprice / 500 AS "{SCORE}", {level_sql('o_totalprice / 500')} AS "{SCORE}_level"
@@ -360,20 +401,21 @@ FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority <>
 @query("load_fixed_width", f"""
 SELECT 'MEX' AS "Country", CAST(o_custkey AS VARCHAR) AS "{SCHOOL}", CAST(o_orderkey AS VARCHAR) AS "{STUDENT}",
        CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE 'Missing' END AS "Status",
-       '1.0' AS "Final student weight"
+       '1.0' AS "Final student weight", CAST(CAST(o_totalprice AS DECIMAL(14, 2)) AS VARCHAR) AS "{SCORE}"
 FROM orders WHERE o_orderpriority <> '1-URGENT'
 """)
 def load_fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     codebook, layout = _survey_codebook(spark)
     raw = cut_lines(_survey_lines(spark, sf_dir), layout, "MEX")
-    return label_table(raw, codebook, "s").drop(SCORE)
+    return label_table(raw, codebook, "s")
 
 
 @query("prepare_survey", f"""
-SELECT CAST(o_custkey AS DOUBLE) AS "{SCHOOL}", CAST(o_orderkey AS DOUBLE) AS "{STUDENT}",
+SELECT o_custkey AS "{SCHOOL}", o_orderkey AS "{STUDENT}",
        CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' END AS "Status",
        c_mktsegment AS "School type", CASE WHEN c_acctbal > 9990 THEN NULL ELSE c_acctbal END AS "School size",
-       o_totalprice AS "{SCORE}", {level_sql('o_totalprice', LARGE_CUTS)} AS "{SCORE}_level"
+       CASE WHEN o_totalprice > 9990 THEN NULL ELSE o_totalprice END AS "{SCORE}",
+       {level_sql('CASE WHEN o_totalprice > 9990 THEN NULL ELSE o_totalprice END', LARGE_CUTS)} AS "{SCORE}_level"
 {PREPARED}
 """)
 def prepare_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
