@@ -89,30 +89,30 @@ def cover_samples(n: int, width: int, period: int, members: tuple[int, ...]) ->
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of bounded bytes whose texts are numbered without a gap."""
+    """Pieces of bounded bytes whose numbers, counted from the first, need two bytes."""
     for batch in row_pieces(batches, column, PIECE_BYTES):
         numbers = batch.column(0).to_numpy()
-        breaks = [0, *(np.flatnonzero(np.diff(numbers) != 1) + 1).tolist(), len(numbers)]
-        for a, b in zip(breaks, breaks[1:]):
-            for start in range(a, b, PIECE_ROWS):
-                yield batch.slice(start, min(PIECE_ROWS, b - start))
+        start = 0
+        while start < len(numbers):
+            away = (numbers[start:] < numbers[start]) | (numbers[start:] >= numbers[start] + PIECE_ROWS)
+            end = start + int(away.argmax()) if away.any() else len(numbers)
+            yield batch.slice(start, end - start)
+            start = end
 
 
 PACKED = "bucket int, piece bigint, texts binary, places binary, names binary"
 NAMES = ["bucket", "piece", "texts", "places", "names"]
 
 
-def _row(bucket: int, piece: int, texts: np.ndarray, places: np.ndarray, names: np.ndarray, width: int) -> pa.RecordBatch:
+def _row(bucket: int, piece: int, texts: np.ndarray, places: np.ndarray, names: np.ndarray, width: int) -> tuple:
     # The upper bytes of sorted names, one plane after another, compress best.
     planes = names.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() if len(names) else b""
-    values = [bucket, piece, texts.astype("<u2").tobytes(), places.astype("<u4").tobytes(), planes]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=NAMES)
+    return bucket, piece, texts.astype("<u2").tobytes(), places.astype("<u4").tobytes(), planes
 
 
 def packed_rows(
     piece: int, texts: np.ndarray, places: np.ndarray, names: np.ndarray, buckets: np.ndarray, n_buckets: int, width: int,
-) -> Iterator[pa.RecordBatch]:
+) -> pa.RecordBatch:
     """Entries by bucket; those that the piece settles itself have no names."""
     order = np.lexsort((names, buckets))
     texts, places, names, buckets = texts[order], places[order], names[order], buckets[order]
@@ -120,15 +120,18 @@ def packed_rows(
     follows = np.concatenate([[False], same])
     leads = np.concatenate([same, [False]])
     settled = follows | leads
+    rows = []
     if settled.any():
-        yield _row(piece % n_buckets, piece, texts[settled], places[settled], names[:0], width)
+        rows.append(_row(piece % n_buckets, piece, texts[settled], places[settled], names[:0], width))
     # A name that the piece holds twice is sent twice, so that a single one elsewhere meets it.
     sent = np.repeat(np.flatnonzero(~follows), np.where(leads[~follows], 2, 1))
     texts, places, names, buckets = texts[sent], places[sent], names[sent], buckets[sent]
     edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
     for a, b in zip(edges, edges[1:]):
         if b > a:
-            yield _row(int(buckets[a]), piece, texts[a:b], places[a:b], names[a:b], width)
+            rows.append(_row(int(buckets[a]), piece, texts[a:b], places[a:b], names[a:b], width))
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=NAMES)
 
 
 def _names(planes: bytes, n: int) -> np.ndarray:
@@ -203,7 +206,8 @@ def sample_entries(texts: DataFrame, length: int, n_buckets: int) -> DataFrame:
             places = np.concatenate(where)
             names = fingerprints(data, offsets[owner] + places, width, SAMPLE_BASE)
             buckets = ((names >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-            yield from packed_rows(batch.column(0)[0].as_py(), owner, places, names, buckets, n_buckets, 6)
+            numbers = batch.column(0).to_numpy()
+            yield packed_rows(int(numbers[0]), numbers[owner] - numbers[0], places, names, buckets, n_buckets, 6)
 
     return texts.select("no", "text").mapInArrow(run, PACKED)
 
@@ -235,7 +239,8 @@ def suffix_entries(open_texts: DataFrame, length: int, n_buckets: int, block: in
                 continue
             buckets = ((spread[mine] >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
             names = fingerprints(data, starts[mine], length, SUFFIX_BASE)
-            yield from packed_rows(batch.column(0)[0].as_py(), owner[mine], places[mine], names, buckets, n_buckets, 8)
+            numbers = batch.column(0).to_numpy()
+            yield packed_rows(int(numbers[0]), numbers[owner[mine]] - numbers[0], places[mine], names, buckets, n_buckets, 8)
 
     return open_texts.select("no", "text", "marks").mapInArrow(run, PACKED)
 

@@ -201,15 +201,13 @@ def links(found: DataFrame, radius: int = RADIUS, blocks: int | None = None, mem
     sizes = keyed.groupBy("key").count().filter("count > 1")
     crowded = Stage(keyed.join(sizes, "key").select("fp", "key", F.ceil(F.col("count") / members).cast("int").alias("pieces")),
                     "simhash-shards")
-    rows = crowded.read()
     # A probe meets every piece of its shard; a member of the tree belongs to one piece. A shard of one piece needs
     # no probes of its own: its members are both.
     piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
-    trees = rows.select("key", piece.alias("piece"), "fp", F.lit(0).alias("probe"))
-    groups = F.floor(F.xxhash64("fp") / 2.0**50).cast("int")
-    probes = rows.filter("pieces > 1").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "fp", groups.alias("part"))
-    small = trees.join(rows.filter("pieces > 1").select("key").distinct(), "key", "left_anti")
+    trees = crowded.read().select("key", piece.alias("piece"), "fp", "pieces")
+    small, big = trees.filter("pieces = 1"), trees.filter("pieces > 1").drop("pieces")
+    probes = crowded.read().filter("pieces > 1").select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "fp")
 
     def near_pieces(pdf_key, left: pa.Table, right: pa.Table) -> pa.Table:
         tree = sorted(v & 0xFFFFFFFFFFFFFFFF for v in left.column("fp").to_pylist())
@@ -240,8 +238,7 @@ def links(found: DataFrame, radius: int = RADIUS, blocks: int | None = None, mem
     in_order = small.select("key.choice", "key.bits", "fp").repartition(tasks, "choice", "bits").sortWithinPartitions(
         "choice", "bits", "fp")
     result = in_order.mapInArrow(run, "a bigint, b bigint")
-    big = trees.join(rows.filter("pieces > 1").select("key").distinct(), "key", "left_semi")
-    if rows.filter("pieces > 1").limit(1).count():
+    if big.limit(1).count():
         result = result.unionByName(
             big.groupBy("key", "piece").cogroup(probes.groupBy("key", "piece")).applyInArrow(near_pieces, "a bigint, b bigint"))
     return result.distinct()
