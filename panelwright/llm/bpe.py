@@ -28,8 +28,8 @@ from tokenizers import Tokenizer
 from panelwright.llm.common import row_pieces
 
 # Word forms a task remembers before it starts anew, and bytes of text it codes at once; bounds on memory only.
-REMEMBERED_FORMS = 300_000
-PIECE_BYTES = 8 << 20
+REMEMBERED_FORMS = 150_000
+PIECE_BYTES = 3 << 20
 # Forms of these letters are the same in NFC, have lower case by the letter, and hold no white space.
 LATIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
 # Byte-level vocabularies spell a byte by its own Latin-1 letter if that can be printed, else by one from 256 on.
