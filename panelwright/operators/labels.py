@@ -12,6 +12,8 @@ from panelwright.functions.text import strip
 
 # Variables with at most this many codes are decoded from a literal map.
 INLINE_CODES = 64
+# Code lists of at most this many rows are small enough to broadcast.
+BROADCAST_CODES = 50_000
 
 
 def code_key(c):
@@ -34,8 +36,8 @@ def decode_labels(df: DataFrame, value_labels: DataFrame, inline_limit: int = IN
     ``value_labels`` is ``(name, code, label)``, with an optional ``ordinal``. Codes that
     are equal as text keep one label: that of the highest ordinal, or without one the
     greatest; missing codes match nothing. Variables with few codes are decoded together
-    in one projection; the code list of a large variable is joined, and Spark decides by
-    its measured size whether to broadcast.
+    in one projection; the code list of a large variable is joined, and broadcast if its
+    counted rows are few.
     """
     table = unique_labels(value_labels)
     names = list(df.columns)
@@ -59,6 +61,8 @@ def decode_labels(df: DataFrame, value_labels: DataFrame, inline_limit: int = IN
         codes = table.filter(F.col("name") == name).select(
             F.col("code").alias("__code"), F.col("label").alias("__label")
         )
+        if sizes[name] <= BROADCAST_CODES:
+            codes = F.broadcast(codes)
         value = column(name).cast("string")
         decoded = F.coalesce("__label", value).alias(name)
         kept = [decoded if c == name else column(c) for c in names]

@@ -86,13 +86,14 @@ class Labeled(NamedTuple):
     failed: dict[str, str]
 
 
-def label_folder(spark: SparkSession, root: str, country: str | None = None) -> Labeled:
+def label_folder(spark: SparkSession, root: str, country: str | None = None, multi_line: bool = True) -> Labeled:
     """Labeled tables of all known files below a folder, by path below it without the extension.
 
     Syntax files bring the fixed-width text they name, CSV files count as labeled.
     A file that cannot be planned is reported and does not stop the others; so is a
     file whose name another one has taken. Faults inside the data show when the
-    table is written.
+    table is written. ``multi_line=False`` splits large CSV files whose fields hold
+    no line breaks.
     """
     done = Labeled({}, {}, {})
     base = root.removeprefix("file:").rstrip("/") + "/"
@@ -110,7 +111,7 @@ def label_folder(spark: SparkSession, root: str, country: str | None = None) ->
             if kind == "syntax":
                 done.tables[name], done.raw[name] = load_syntax(spark, path, folder, country)
             elif kind == "csv":
-                done.tables[name] = read_csv(spark, path)
+                done.tables[name] = read_csv(spark, path, multi_line=multi_line)
             else:
                 done.failed[path] = "binary survey files need a table and a codebook"
         except Exception as error:  # one bad file must not stop the run
@@ -126,9 +127,10 @@ def prepare_folder(
     given: Roles = Roles(),
     split_ranges: Sequence[tuple[int, int]] | None = None,
     save_unlabeled: bool = False,
+    multi_line: bool = True,
 ) -> tuple[list[str], dict[str, str]]:
     """Label, clean and transform all files below a folder; returns (tables written, failures)."""
-    labeled = label_folder(spark, root, country)
+    labeled = label_folder(spark, root, country, multi_line)
     target = stage_root(root)
     if save_unlabeled:
         for name, df in labeled.raw.items():
