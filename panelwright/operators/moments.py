@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from panelwright.functions.names import column
 from panelwright.operators.frequencies import WIDE_LIMIT, encode_nominal, long_double
+from panelwright.session import written_once
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 _SUM_SCHEMA = "i int, j int, " + ", ".join(f"{s} double" for s in SUMS)
@@ -170,20 +171,17 @@ def redundant_columns(
     frame = df.select(*[column(n) for n in names], *([column(target)] if guided else []))
     encoded = encode_nominal(frame, texts) if texts else frame
     corr = correlations(encoded, names + ([target] if guided else []))
-    # Only pairs above the threshold and one row per column reach the driver.
     last = len(names)
     wanted = (F.col("i") < last) & (F.abs("r") > threshold) | (F.col("i") == last)
-    rows = corr.filter(wanted).select("i", "j", F.abs("r").alias("r")).collect()
-    to_target = {r["j"]: r["r"] for r in rows if r["i"] == last}
-    dropped = set()
-    for row in rows:
-        later, earlier = row["i"], row["j"]
-        if later == last:
-            continue
-        a, b = to_target.get(later), to_target.get(earlier)
-        weaker_later = a is not None and b is not None and a < b
-        dropped.add(later if weaker_later else earlier)
-    return [names[k] for k in sorted(dropped)]
+    strong = written_once(corr.filter(wanted).select("i", "j", F.abs("r").alias("r")), "correlations")
+    # One row per column and its correlation with the target: the schema bounds what is broadcast.
+    to_target = strong.filter(F.col("i") == last)
+    later, earlier = (to_target.select(F.col("j").alias(k), F.col("r").alias(f"{k}_r")) for k in ("i", "j"))
+    pairs = strong.filter(F.col("i") < last).select("i", "j")
+    judged = pairs.join(F.broadcast(later), "i", "left").join(F.broadcast(earlier), "j", "left")
+    weaker = F.when(F.col("i_r") < F.col("j_r"), F.col("i")).otherwise(F.col("j"))
+    # Only the columns to drop reach the driver.
+    return [names[r["k"]] for r in judged.select(weaker.alias("k")).distinct().orderBy("k").collect()]
 
 
 def drop_correlated(

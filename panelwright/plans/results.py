@@ -17,6 +17,7 @@ from panelwright.operators import ranking
 from panelwright.operators.columns import select_existing
 from panelwright.operators.matching import match_names
 from panelwright.operators.roles import essential_columns
+from panelwright.session import written_once
 from panelwright.sinks.writers import write_results
 from panelwright.sources.model_output import (
     RANKING_FILTERS,
@@ -111,7 +112,8 @@ def save_top_selection(
 ) -> dict[str, str]:
     """Write per context the mapped summary and the data set reduced to mapped + essential columns."""
     dataset = clean_attribute_headers(dataset)
-    mapped = mapped_summary(summary.filter(F.col("Rank") <= top), dataset)
+    # Written once, then split by context.
+    mapped = written_once(mapped_summary(summary.filter(F.col("Rank") <= top), dataset), "mapped")
     kept = essential_columns(dataset, ids)
     rows = mapped.select(ranking.CONTEXT, "Rank", "mapped_dataset_column").orderBy(ranking.CONTEXT, "Rank").collect()
     columns: dict[str, list[str]] = {}
