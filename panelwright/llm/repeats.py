@@ -32,6 +32,8 @@ LENGTH = 400
 PIECE_BYTES, PIECE_ROWS = 8 << 20, 65_000
 # Samples or suffixes of one bucket, and of one block.
 BUCKET_ROWS = 2_000_000
+# Bits of a text's number inside the partition that gave it.
+NUMBER_BITS = 33
 BLOCK_SUFFIXES = 40_000_000
 SAMPLE_BASE, SUFFIX_BASE, BUCKET_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
 PART = 1 << 20
@@ -291,7 +293,9 @@ def find_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
         n_buckets = max(partitions, n_bytes * len(members) // period // BUCKET_ROWS + 1)
         marks = Stage(by_text(ties(sample_entries(texts, length, n_buckets))), "repeat-marks")
         marked = marks.read().withColumnRenamed("places", "marks")
-        opened = Stage(texts.join(marked, "no").sortWithinPartitions("no"), "repeat-open")
+        # Texts that were numbered together come together again, so that pieces are large.
+        block = F.shiftright("no", NUMBER_BITS)
+        opened = Stage(texts.join(marked, "no").repartition(partitions, block).sortWithinPartitions("no"), "repeat-open")
         stage.drop()
         # A mark opens at most one period of suffixes, and a text no more than its bytes.
         most = opened.read().agg(F.sum(F.least(F.octet_length("text"), F.octet_length("marks") / 4 * period))).first()[0] or 0
