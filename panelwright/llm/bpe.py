@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from panelwright.llm.common import row_pieces
+from panelwright.llm.common import give_back, row_pieces
 
 # Word forms a task remembers before it starts anew, and bytes of text it codes at once; bounds on memory only.
-REMEMBERED_FORMS = 150_000
-PIECE_BYTES = 3 << 20
+REMEMBERED_FORMS = 100_000
+PIECE_BYTES = 2 << 20
 # Forms of these letters are the same in NFC, have lower case by the letter, and hold no white space.
 LATIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
 # Byte-level vocabularies spell a byte by its own Latin-1 letter if that can be printed, else by one from 256 on.
@@ -254,6 +254,7 @@ def _mapped(df: DataFrame, source: str, targets: dict[str, tuple[T.DataType, pa.
             made = change(batch.column(len(kept)).to_pylist())
             columns = [*batch.columns[:-1], *(pa.array(x, kind) for x, kind in zip(made, arrow))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *targets])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -72,6 +73,14 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps a task's Python process for the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def binary_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The joined bytes of a binary or string array and its offsets, without a copy."""
     column = column.cast(pa.large_binary())

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import binary_buffers, row_pieces, whole_text
+from panelwright.llm.common import binary_buffers, give_back, row_pieces, whole_text
 from panelwright.llm.words import Words, words_of
 
 WINDOW = 10
 SAMPLE = 8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 # Text bytes of the benchmark items that are searched together.
 BLOCK_BYTES = 1 << 20
 
@@ -280,6 +280,7 @@ def _pass(rows: DataFrame, block: list[tuple[str, bytes]], window: int) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
                  pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+        give_back()
 
     return rows.mapInArrow(run, rows.schema)
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import Stage, whole_text
+from panelwright.llm.common import Stage, give_back, whole_text
 
 SEED = 42
 WORDS = 4
@@ -345,6 +345,7 @@ def similar_links(prints: DataFrame) -> DataFrame:
         close()
         if out:
             yield from _link_table(out).to_batches()
+        give_back()
 
     tasks = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     rows = prints.mapInArrow(keyed, "key bigint, fp bigint, wide binary")
@@ -363,6 +364,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for batch in batches:
             wide = [wide_fingerprint((x or "").encode(), SIMILAR_WORDS, SIMILAR_ROUNDS) for x in batch.column(0).field(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["row", "wide"])
+        give_back()
 
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     printed = rows.mapInArrow(run, rows.select("row", F.lit(None).cast("binary").alias("wide")).schema)
