@@ -67,9 +67,10 @@ class Stage:
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def drop(self) -> None:
+    def drop(self, part: str = "") -> None:
+        """Remove the table, or one folder of it."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}" if part else self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -312,6 +312,41 @@ def test_model_learns_and_scores_alike_in_any_company(spark):
     assert found[1000]["score"] < 1.5 * found[0]["score"]
 
 
+def test_unrelated_training_texts_leave_a_score_alone(spark):
+    """More contexts than any fixed table has slots, none of them in the held-out text: nothing of it is shared."""
+    deal = random.Random(5)
+    held = next(k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 10 == 0)
+    mine = [(k, "#" * 8 + "".join(c for c in prose(k, 150) if "a" <= c <= "z")) for k in (1, 2, 3, held)]
+    other = [(1000 + k, "#" * 8 + "".join(deal.choices("0123456789!$%&/()=?*+<>|{}[]^~", k=60_000))) for k in range(8)]
+    few, many = (
+        {r["row"]["doc_id"]: r["score"] for r in lm_scoring.score_texts(spark.createDataFrame(t, "doc_id int, text string")).collect()}
+        for t in (mine, mine + other))
+    assert abs(few[held] - many[held]) < 2.0
+
+
+def test_pairs_give_the_log_odds_of_every_node():
+    text = (prose(6, 300) + " ab ac ab ac").encode()
+    lengths, nodes, bits = lm_scoring.code_table()
+    first = np.cumsum(lengths) - lengths
+    _, short, long, _ = lm_scoring.contexts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(short) + len(long) == 4
+    seen = collections.defaultdict(lambda: [0, 0])
+    pairs = lm_scoring.Pairs()
+    for keys in long:
+        pairs.add(keys, np.ones(len(keys)))
+        for key in keys.tolist():
+            for at in range(first[key & 255], first[key & 255] + lengths[key & 255]):
+                seen[key >> 8, nodes[at]][bits[at]] += 1
+    keys, counts = pairs.summed()
+    want = []
+    for key in keys.tolist():
+        for at in range(first[key & 255], first[key & 255] + lengths[key & 255]):
+            zeros, ones = seen[key >> 8, nodes[at]]
+            want.append(round(math.log((ones + lm_scoring.PRIOR) / (zeros + lm_scoring.PRIOR)) * lm_scoring.SCALE) or 1)
+    assert lm_scoring.pair_odds(keys, counts).tolist() == want
+    assert not lm_scoring.pair_odds(keys, np.zeros(len(keys))).any()
+
+
 def test_walks_are_a_code():
     lengths, nodes, bits = lm_scoring.code_table()
     assert sum(2.0 ** -int(n) for n in lengths) == 1.0 and len(nodes) == len(bits) == lengths.sum()
