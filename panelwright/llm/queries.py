@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import bpe, decontamination, licenses, lm_scoring, quality, repeats, secrets, sharding, simhash, warc
+from panelwright.llm import (
+    bpe, decontamination, filter_audit, licenses, lm_scoring, negatives, pieces, quality, repeats, secrets, sharding, simhash, warc,
+)
 from panelwright.llm.common import whole_text
 from workloads.registry import Query, table
 
@@ -194,6 +196,97 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "path", "own", "licence", "from_directory")
 
 
+ORACLES["op11_filter_audit"] = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), facts AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(w) < {filter_audit.LEAST_WORDS}, 100 * len(list_distinct(w)) < 50 * len(w),
+          100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+          coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)] AS f
+  FROM texts t LEFT JOIN facts ON facts.doc_id = t.doc_id
+), tally AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, f
+), orders AS (
+  SELECT '' AS o UNION ALL SELECT o || x FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS t(x) WHERE NOT contains(o, x)
+), steps AS (
+  SELECT o, k AS step, list_transform(string_split(o[:k-1], ''), lambda x: ascii(x) - 64) AS before, ascii(o[k]) - 64 AS here
+  FROM orders, range(1, 6) AS r(k) WHERE length(o) = 5
+), counted AS (
+  SELECT part, o, step, here,
+         n, good, toxic, f[here] AS fails, len(list_filter(before, lambda k: k > 0 AND f[k])) > 0 AS gone,
+         len(list_filter(f, lambda x: x)) = 1 AS alone
+  FROM tally, steps
+), summed AS (
+  SELECT part, o AS filter_order, step::INTEGER AS step, here,
+         coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails AND alone), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM counted GROUP BY part, o, step, here
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, here))::BIGINT AS shapley
+FROM summed"""
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of all orders of the five filters, per language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM (SELECT * FROM valid WHERE vec_id % 100 = 0) a JOIN valid b ON a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives just below the best rows of every anchor's own label."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with begin and end ids, and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.round_trip(docs, piece_model()).select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
