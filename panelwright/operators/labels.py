@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.names import column, rename_all
-from panelwright.functions.text import strip
+from panelwright.functions.text import strip, strip_once
 
 # Variables with at most this many codes are decoded from a literal map.
 INLINE_CODES = 64
@@ -21,10 +21,15 @@ def code_key(c):
     return strip(F.btrim(strip(c), F.lit("\"'")))
 
 
+def listed_code_key(c):
+    """:func:`code_key` for the rows of a code list."""
+    return strip_once(F.btrim(strip_once(c), F.lit("\"'")))
+
+
 def unique_labels(value_labels: DataFrame) -> DataFrame:
     """``(name, code, label)`` with one label for each code, compared as text."""
     order = [F.col("ordinal")] if "ordinal" in value_labels.columns else []
-    keyed = value_labels.select("name", code_key(F.col("code")).alias("code"), "label", *order)
+    keyed = value_labels.select("name", listed_code_key(F.col("code")).alias("code"), "label", *order)
     present = keyed.filter("name IS NOT NULL AND code IS NOT NULL AND label IS NOT NULL")
     last = F.max(F.struct(*order, F.col("label"))).getField("label")
     return present.groupBy("name", "code").agg(last.alias("label"))

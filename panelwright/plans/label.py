@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.labels import decode_labels, label_headers
 from panelwright.sinks.writers import write_stage
-from panelwright.sources.codebook import Codebook, decode_table, layout_of, parse_codebook, read_syntax
+from panelwright.sources.codebook import Codebook, decode_table, layout_of, read_codebook
 from panelwright.sources.fixed_width import read_fixed_width
 from panelwright.sources.tables import COUNTRY_COLUMN, rows_of_country
 
@@ -23,7 +23,7 @@ def load_syntax(
     spark: SparkSession, syntax_path: str, data_folder: str, country: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(labeled, raw) tables of one syntax file and the fixed-width text it names."""
-    codebook = parse_codebook(read_syntax(spark, syntax_path))
+    codebook = read_codebook(spark, syntax_path)
     head = codebook.data_files.first()
     if head is None or head["data_file"] is None:
         raise ValueError(f"no data file named in {syntax_path}")

@@ -1,9 +1,12 @@
-"""File discovery by listing; file contents are never read."""
+"""File discovery by listing, and the first bytes of files."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,13 +96,38 @@ def file_format(path: Column, text: Column | None = None) -> Column:
     )
 
 
+def file_heads(paths: DataFrame, characters: int = SNIFF_CHARACTERS, path: str = "path") -> DataFrame:
+    """``(path, head)``: the first characters of each file, decoded from UTF-8, odd bytes replaced.
+
+    Tasks open the listed files themselves and read the first bytes only, so the size of a file does not count;
+    the paths are dealt over the tasks. The file systems must be ones that pyarrow reaches.
+    """
+    size = 4 * characters  # a character has at most four bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for uri in batch.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(full_uri(uri))
+                with system.open_input_stream(name, compression=None, buffer_size=None) as source:
+                    heads.append(source.read(size).decode("utf-8", "replace")[:characters])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.string())], names=["path", "head"])
+
+    tasks = paths.sparkSession.sparkContext.defaultParallelism
+    return paths.select(F.col(path).alias("path")).repartition(tasks, "path").mapInArrow(run, "path string, head string")
+
+
+def full_uri(path: str) -> str:
+    """A listed path, which is not escaped, as an address; local ones come as ``file:/name``."""
+    scheme, _, rest = path.rpartition("://") if "://" in path else ("file", "", path.removeprefix("file:"))
+    return f"{scheme}://{quote(rest)}"
+
+
 def route_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, format)`` of all known files; only ``.txt`` files are opened."""
+    """``(path, format)`` of all known files; of ``.txt`` files the first characters are read."""
     paths = discover(spark, root)
-    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[tT][xX][tT]")
-    sniffed = texts.select(
-        F.col("_metadata.file_path").alias("__path"), looks_like_syntax(F.col("value")).alias("__syntax")
-    )
+    texts = file_heads(paths.filter(has_extension(F.col("path"), (".txt",))))
+    sniffed = texts.select(F.col("path").alias("__path"), looks_like_syntax(F.col("head")).alias("__syntax"))
     routed = paths.join(sniffed, F.col("path") == F.col("__path"), "left")
     kind = F.when(F.col("__syntax"), "syntax").otherwise(file_format(F.col("path")))
     return routed.select("path", kind.alias("format"))

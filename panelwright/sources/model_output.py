@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.text import array_from, strip
+from panelwright.functions.text import WHITESPACE, array_from, strip
+from panelwright.sources.splits import apply_states, split_lines, split_states, split_summaries
 
 # --- fixed values: formats of the output text ----------------------------------
 RANKING_LINE = r"-?[\d.]+\s+\d+\s+.+"
@@ -21,6 +24,12 @@ def _stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
+def name_of_file(path: Column) -> Column:
+    """The plain name of a file from its address, in which odd characters are escaped."""
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+
+
 def ranking_method(file_name: Column, filters: Sequence[str] = RANKING_FILTERS) -> Column:
     """The first ranking filter that ends the file name, with or without extension."""
     name = F.upper(file_name)
@@ -115,7 +124,7 @@ def read_rankings(
     The file name conditions prune files before they are opened. ``line_no`` orders
     the lines of a file (start of the split, then place in the split).
     """
-    name = F.col("_metadata.file_name")
+    name = name_of_file(F.col("_metadata.file_path"))
     lines = (
         spark.read.text(folder)
         .filter(ranking_method(name, filters).isNotNull() & (F.size(contexts_of(name, contexts)) > 0))
@@ -131,24 +140,118 @@ def read_rankings(
     return scored.select(F.explode("__contexts").alias("result_name"), *columns)
 
 
+class InBlock(NamedTuple):
+    """Where a line of selector output stands: blocks opened so far, whether one is open, names of the last one."""
+
+    blocks: int = 0
+    open: bool = False
+    names: int = 0
+
+
+class _BlockLines:
+    """Walks selector lines; the first line of a block has no place, its names are numbered from 0."""
+
+    def __init__(self, state: InBlock):
+        self.blocks, self.open, self.names = state
+        self.head = (self.open, self.names)  # as the lines before the first mark leave it
+
+    def walk(self, lines: pa.Array) -> list[tuple[int, int | None, str]]:
+        found: list[tuple[int, int | None, str]] = []
+        for line in lines.to_pylist():
+            if not self.open and SELECTION_START.encode() not in line:
+                continue
+            rest, *opened = line.decode("utf-8", "replace").split(SELECTION_START)
+            if self.open:
+                name = rest.strip(WHITESPACE)
+                if name:
+                    found.append((self.blocks - 1, self.names, name))
+                    self.names += 1
+                elif not rest and not opened:
+                    self.open = False
+            if not self.blocks:
+                self.head = (self.open, self.names)
+            for first_line in opened:
+                self.blocks, self.open, self.names = self.blocks + 1, True, 0
+                found.append((self.blocks - 1, None, first_line))
+        return found
+
+
+class _BlockSummary(_BlockLines):
+    """What a split does when it starts inside a block."""
+
+    def __init__(self):
+        super().__init__(InBlock(0, True, 0))
+
+    def add(self, lines: pa.Array) -> None:
+        self.walk(lines)
+
+    def row(self) -> tuple:
+        return (self.blocks, *self.head, self.open, self.names)
+
+
+class _BlockRows(_BlockLines):
+    def add(self, lines: pa.Array) -> Iterator[list[pa.Array]]:
+        found = self.walk(lines)
+        if found:
+            yield [pa.array(c, kind) for c, kind in zip(zip(*found), (pa.int32(), pa.int32(), pa.string()))]
+
+    def finish(self) -> Iterator[list[pa.Array]]:
+        return iter(())
+
+
+class SelectionScan:
+    """Blocks of selector output over the splits of a file: ``(block, place, text)``."""
+
+    summary_schema = "blocks int, head_open boolean, head_names int, end_open boolean, names int"
+    row_schema = "block int, place int, text string"
+
+    def first(self) -> InBlock:
+        return InBlock()
+
+    def summary(self) -> _BlockSummary:
+        return _BlockSummary()
+
+    def after(self, state: InBlock, start: int, row: tuple) -> InBlock:
+        blocks, head_open, head_names, end_open, names = row
+        if blocks:
+            return InBlock(state.blocks + blocks, end_open, names)
+        return InBlock(state.blocks, head_open, state.names + head_names) if state.open else state
+
+    def applier(self, start: int, state: InBlock) -> _BlockRows:
+        return _BlockRows(state)
+
+
+def selection_rows(lines: DataFrame) -> DataFrame:
+    """``(file, block, place, attribute, attribute_id)`` of the lines of selector files, whatever splits they come in.
+
+    Blocks and names are numbered over the splits; the ids of a block's first line then meet its names by
+    place, so neither a file nor a block is ever one value.
+    """
+    scan = SelectionScan()
+    rows = apply_states(lines, scan, split_states(split_summaries(lines, scan), scan))
+    ids = rows.filter("place IS NULL").select(
+        "file", "block", F.posexplode(F.regexp_extract_all("text", F.lit(r"\d+"), 0)).alias("place", "number"))
+    names = rows.filter("place IS NOT NULL")
+    return names.join(ids, ["file", "block", "place"], "left").select(
+        "file", "block", "place", F.col("text").alias("attribute"),
+        F.coalesce(F.col("number").try_cast("bigint"), F.lit(0)).alias("attribute_id"))
+
+
 def read_selections(
     spark: SparkSession,
     folder: str,
     contexts: Sequence[str],
     filters: Sequence[str] = SELECTION_FILTERS,
 ) -> DataFrame:
-    """``(result_name, file, filter, filter_idx, block, place, attribute, attribute_id)``."""
-    name = F.col("_metadata.file_name")
-    texts = (
-        spark.read.text(folder, wholetext=True)
-        .filter((F.size(selection_indexes(name, filters)) > 0) & (F.size(contexts_of(name, contexts)) > 0))
-        .select(
-            name.alias("file"), contexts_of(name, contexts).alias("__contexts"),
-            selection_indexes(name, filters).alias("__filters"), F.col("value").alias("text"),
-        )
-    )
-    found = parse_selection_texts(texts).withColumn("result_name", F.explode("__contexts"))
-    indexed = found.withColumn("filter_idx", F.explode("__filters"))
+    """``(result_name, file, filter, filter_idx, block, place, attribute, attribute_id)``.
+
+    The file name conditions prune files before they are opened; a large file is read by many tasks.
+    """
+    name = name_of_file(F.col("file"))
+    wanted = (F.size(selection_indexes(name, filters)) > 0) & (F.size(contexts_of(name, contexts)) > 0)
+    found = selection_rows(split_lines(spark, folder).filter(wanted)).withColumn("file", name)
+    placed = found.withColumn("result_name", F.explode(contexts_of(F.col("file"), contexts)))
+    indexed = placed.withColumn("filter_idx", F.explode(selection_indexes(F.col("file"), filters)))
     filter_name = F.get(F.array(*[F.lit(f) for f in filters]), F.col("filter_idx"))
     return indexed.select(
         "result_name", "file", filter_name.alias("filter"), "filter_idx", "block", "place", "attribute", "attribute_id"

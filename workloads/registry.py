@@ -29,15 +29,23 @@ def union_sql(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def named_file(spark: SparkSession, folder: str, path: str) -> str:
-    """Move the one part file that Spark wrote to a folder to a path of its own."""
+def named_files(spark: SparkSession, folder: str, root: str, name: Callable[[str, int], str]) -> list[str]:
+    """Move the part files that Spark wrote below a folder: ``name(sub-folder, number)`` gives the path below the root."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     source = hadoop.Path(folder)
     system = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = [s.getPath() for s in system.listStatus(source) if s.getPath().getName().startswith("part-")]
-    if len(parts) != 1:
-        raise ValueError(f"{folder} holds {len(parts)} part files")
-    target = hadoop.Path(path)
-    system.mkdirs(target.getParent())
-    system.rename(parts[0], target)
-    return path
+    files = system.listFiles(source, True)
+    parts = []
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName().startswith("part-"):
+            parts.append(path)
+    moved = []
+    for number, path in enumerate(sorted(parts, key=lambda p: p.toString())):
+        inner = path.getParent().getName() if path.getParent().getName() != source.getName() else ""
+        target = hadoop.Path(root.rstrip("/") + "/" + name(inner, number))
+        system.mkdirs(target.getParent())
+        if not system.rename(path, target):
+            raise OSError(f"{path} could not be moved to {target}")
+        moved.append(target.toString())
+    return moved

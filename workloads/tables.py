@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from panelwright.sources.files import file_format, wanted_paths
 from panelwright.sources.fixed_width import cut_lines
 from panelwright.sources.codebook import Layout
 from panelwright.sources.tables import column_list, read_column, read_csv
-from workloads.registry import named_file, query, table, union_sql
+from workloads.registry import named_files, query, table, union_sql
 from workloads.statistics import JOINED_DOCS, labelled_documents
 
 SCORE = "Plausible Value 1 in Mathematics"
@@ -339,11 +341,11 @@ def prepare_same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark, "same-names")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
     for year, add in (("2018", 0), ("2022", 1_000_000)):
-        write_csv(part.withColumn("id", F.col("id") + add).coalesce(1), f"{root}/raw{year}")
-        named_file(spark, f"{root}/raw{year}", f"{root}/in/{year}/stu.csv")
+        write_csv(part.withColumn("id", F.col("id") + add).repartition(3), f"{root}/raw{year}")
+        named_files(spark, f"{root}/raw{year}", f"{root}/in/{year}", lambda _, k: f"stu_{k}.csv")
     found = label_folder(spark, f"{root}/in").tables
-    tables = [df.withColumn("tab", F.lit(name)) for name, df in found.items()]
-    return tables[0].unionByName(tables[1])
+    tables = [df.withColumn("tab", F.regexp_replace(F.lit(name), r"_\d+", "")) for name, df in found.items()]
+    return reduce(DataFrame.unionByName, tables)
 
 
 @query("transform_tables", f"""
