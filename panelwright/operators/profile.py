@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.names import column
 from panelwright.operators.frequencies import WIDE_LIMIT, categorical_profile, long_double
 from panelwright.operators.moments import numeric_columns
-from panelwright.operators.positions import ROWS, range_totals, rows_at_places, sorted_table
+from panelwright.operators.selection import selected_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 BINS = 30
@@ -69,25 +69,11 @@ def numeric_moments(df: DataFrame, columns: Sequence[str], wide_limit: int = WID
     return wide.select(F.inline(F.array(*rows)))
 
 
-def exact_quantiles(ranges: DataFrame, totals: DataFrame, probabilities: Sequence[float] = QUARTILES) -> DataFrame:
-    """``(col, quantiles array<double>)`` with linear interpolation.
-
-    Works on the sorted ``(col, value, n)`` table and its range totals: each quantile
-    lies between the values at two places, and only the ranges that hold such a place are read again.
-    No task holds all values of a column.
-    """
-    wanted = [(F.col("total") - 1) * F.lit(float(p)) for p in probabilities]
-    places = F.array_distinct(F.array(*[edge(w).cast("long") for w in wanted for edge in (F.floor, F.ceil)]))
-    found = rows_at_places(ranges, totals, "col", "n", places).groupBy("col", "total").agg(
-        F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("at")
-    )
-
-    def between(place: Column) -> Column:
-        low = F.try_element_at("at", F.floor(place).cast("long"))
-        high = F.try_element_at("at", F.ceil(place).cast("long"))
-        return low + (high - low) * (place - F.floor(place))
-
-    return found.select("col", F.array(*[between(w) for w in wanted]).alias("quantiles"))
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUARTILES) -> DataFrame:
+    """``(col, quantiles array<double>)`` with linear interpolation, by selection; a column without values has no row."""
+    found = zip(columns, selected_quantiles(df, columns, probabilities))
+    return df.sparkSession.createDataFrame(
+        [(n, q) for n, q in found if q is not None], "col string, quantiles array<double>")
 
 
 def approximate_quantiles(
@@ -140,26 +126,28 @@ def histograms(frequencies: DataFrame, limits: DataFrame, bins: int = BINS) -> D
     return filled.select("col", packed.alias("histogram"))
 
 
+def distinct_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(col, unique_count)``; values go through the shuffle with the number of their column."""
+    cells = F.array(*[F.struct(F.lit(k).alias("place"), column(n).cast("double").alias("value")) for k, n in enumerate(columns)])
+    values = df.select(F.inline(cells)).filter("value IS NOT NULL AND NOT isnan(value)").distinct()
+    names = F.array(*[F.lit(n) for n in columns])
+    return values.groupBy("place").agg(F.count(F.lit(1)).alias("unique_count")).select(F.get(names, F.col("place")).alias("col"), "unique_count")
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str], bins: int = BINS, exact: bool = True) -> DataFrame:
     """One row per column: moments, range, quartiles, distinct count, histogram.
 
-    A column without values keeps NULLs, a distinct count of 0 and no histogram.
-    ``exact=False`` takes the quartiles from a sketch and spares the sort.
+    A column without values keeps NULLs, a distinct count of 0 and no histogram. Nothing is sorted or
+    written: quartiles are selected by counting, histogram bins are counted where the rows lie.
+    ``exact=False`` takes the quartiles from a sketch and spares the scans of the selection.
     """
     columns = list(columns)
     moments = numeric_moments(df, columns)
-    frequencies = number_frequencies(df, columns)
-    if exact:
-        ranges = sorted_table(frequencies, ["col"], [F.col("value")])
-        totals = range_totals(ranges, ["col"], F.col("n"))
-        frequencies, quantiles = ranges.select("col", "value", "n"), exact_quantiles(ranges, totals)
-        distinct = totals.groupBy("col").agg(F.sum(ROWS).alias("unique_count"))
-    else:
-        quantiles = approximate_quantiles(df, columns)
-        distinct = frequencies.groupBy("col").agg(F.count(F.lit(1)).alias("unique_count"))
+    quantiles = exact_quantiles(df, columns) if exact else approximate_quantiles(df, columns)
+    rows = long_double(df, columns).filter(F.col("value").isNotNull()).withColumn("n", F.lit(1))
     joined = (
-        moments.join(quantiles, "col", "left").join(distinct, "col", "left")
-        .join(histograms(frequencies, moments, bins), "col", "left")
+        moments.join(quantiles, "col", "left").join(distinct_numbers(df, columns), "col", "left")
+        .join(histograms(rows, moments, bins), "col", "left")
     )
     return joined.select(
         F.col("col").alias("name"), "mean", "std", "variance", "min", "max",

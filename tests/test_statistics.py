@@ -1,8 +1,12 @@
 import math
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
+
+from panelwright.session import shared_folder
 from pyspark.sql import functions as F
 
 from panelwright.operators import frequencies, moments, profile
@@ -207,3 +211,40 @@ def test_histogram_has_no_exchange_on_the_column_alone(spark):
     join = plan[: plan.index("BroadcastHashJoin")]
     assert "hashpartitioning(col" in join and "SortMergeJoin" not in plan
     assert all(", bin" in line or "lo#" in line for line in join.splitlines() if "hashpartitioning(col" in line)
+
+
+def test_selection_finds_values_at_places(spark, monkeypatch):
+    from panelwright.operators import selection
+
+    deal = np.random.default_rng(11)
+    n = 3000
+    table = {
+        "normal": deal.normal(size=n), "wide": deal.choice([-1.0, 1.0], n) * 2.0 ** deal.integers(-1070, 1020, n),
+        "few": deal.integers(0, 3, n).astype(float), "near": 1e15 + deal.integers(0, 9, n), "zeros": np.where(deal.random(n) < 0.9, 0.0, -5e-324),
+        "ends": np.where(deal.random(n) < 0.5, np.inf, -np.inf), "gaps": np.where(deal.random(n) < 0.7, np.nan, deal.random(n)),
+        "none": np.full(n, np.nan), "one": np.where(np.arange(n) == 5, 7.0, np.nan), "ids": np.arange(n) * 3.0,
+    }
+    df = spark.createDataFrame([tuple(None if np.isnan(x) and k % 2 else float(x) for x in row) for k, row in enumerate(zip(*table.values()))],
+                               ", ".join(f"`{c}` double" for c in table)).repartition(5)
+    places_of = lambda total: [p for p in {0, 1, total // 4, total // 2, total // 2 + 1, total - 1} if 0 <= p < total]
+    for few, bins in ((selection.FEW_ROWS, selection.BINS), (3, 4)):
+        monkeypatch.setattr(selection, "FEW_ROWS", few)
+        monkeypatch.setattr(selection, "BINS", bins)
+        monkeypatch.setattr(selection, "COLUMNS_AT_ONCE", 4)
+        names = list(table) if few > 3 else ["normal", "wide", "near", "gaps"]
+        for name, (total, at) in zip(names, selection.values_at_places(df, names, places_of)):
+            values = np.sort(table[name][~np.isnan(table[name])])
+            assert total == len(values) and at == {p: values[p] for p in places_of(total)}
+    quantiles = selection.selected_quantiles(df, ["normal", "none", "one"], [0.25, 0.5])
+    assert quantiles[1] is None and quantiles[2] == [7.0, 7.0]
+    assert quantiles[0] == pytest.approx(np.quantile(table["normal"], [0.25, 0.5]).tolist(), rel=1e-12)
+    assert selection.selected_quantiles(df.limit(0), ["normal"], [0.5]) == [None]
+
+
+def test_numeric_profile_neither_sorts_nor_writes(spark, tmp_path):
+    before = set(Path(shared_folder(spark)).rglob("*.parquet")) if Path(shared_folder(spark)).exists() else set()
+    df = spark.range(5000).selectExpr("id * 1.0D AS x", "id % 7 AS y")
+    plan = profile.numeric_profile(df, ["x", "y"])
+    assert "rangepartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r["name"]: r["median"] for r in plan.collect()} == {"x": 2499.5, "y": 3.0}
+    assert set(Path(shared_folder(spark)).rglob("*.parquet")) == before

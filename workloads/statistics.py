@@ -241,6 +241,24 @@ def profile_numeric_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_profile(docs, ["quality", "toxic", "n_chars", "nothing"])
 
 
+@query("profile_sketch", """
+SELECT c AS name, p AS probability, true AS within FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_orderkey')) a(c), (VALUES (0.25), (0.5), (0.75)) b(p)
+""")
+def profile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles from the sketch: the share of rows at or below each lies within a thousandth of its probability, ties aside."""
+    names = ["l_quantity", "l_extendedprice", "l_orderkey"]
+    items = table(spark, sf_dir, "lineitem")
+    found = profile.numeric_profile(items, names, exact=False)
+    quartiles = found.select("name", F.inline(F.array(*[
+        F.struct(F.lit(p).cast("decimal(3,2)").alias("probability"), F.col(c).alias("quartile")) for p, c in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])))
+    rows = profile.number_frequencies(items, names).withColumnRenamed("col", "name")
+    shares = rows.join(F.broadcast(quartiles), "name").groupBy("name", "probability").agg(*[
+        (F.sum(F.when(test, F.col("n")).otherwise(0)) / F.sum("n")).alias(c)
+        for c, test in (("below", F.col("value") < F.col("quartile")), ("upto", F.col("value") <= F.col("quartile")))])
+    near = (F.col("below") <= F.col("probability") + 0.001) & (F.col("upto") >= F.col("probability") - 0.001)
+    return shares.select("name", "probability", near.alias("within"))
+
+
 @query("histogram_30", """
 WITH v AS (SELECT 'l_extendedprice' AS col, l_extendedprice AS x FROM lineitem
            UNION ALL SELECT 'l_tax', l_tax FROM lineitem
