@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.functions.names import column
+from panelwright.operators.dictionary import dictionary_rows, look_up
 from panelwright.operators.positions import top_per_group, with_row_number
 
 OTHER = "__OTHER__"
@@ -183,22 +184,34 @@ def nominal_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return numbered.withColumn("code", F.col("code") - 1)
 
 
+def _listed_classes(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, list[str]]:
+    """The classes of the columns that have at most ``limit``, in order.
+
+    A cardinality sketch first rules out the columns that are clearly beyond it, so that their values are never shuffled.
+    """
+    classes: dict[str, list[str]] = {}
+    for start in range(0, len(columns), SKETCH_COLUMNS):
+        part = columns[start : start + SKETCH_COLUMNS]
+        row = df.agg(*[F.approx_count_distinct(column(n).cast("string")).alias(f"n{k}") for k, n in enumerate(part)]).first()
+        classes |= {n: [] for n, estimate in zip(part, row) if estimate <= 2 * limit}
+    if not classes:
+        return {}
+    first = top_per_group(_classes(df, list(classes)), ["col"], [F.col("value")], limit + 1, "place")
+    for row in first.orderBy("col", "place").collect():
+        classes[row["col"]].append(row["value"])
+    return {n: values for n, values in classes.items() if len(values) <= limit}
+
+
 def encode_nominal(df: DataFrame, columns: Sequence[str], inline_limit: int = INLINE_CLASSES) -> DataFrame:
     """Replace each named column by its code.
 
     Columns with few classes look their code up in a literal list, all in one
-    ``select``. One job finds them: it returns at most ``inline_limit`` + 1 classes
-    per column. The other columns join their code table one by one: its keys are
-    unique, so the row count stays, and Spark broadcasts it only when its measured
-    size is below the broadcast limit.
+    ``select``. The distinct texts of all others are sorted once, and all their cells
+    get their codes in one exchange by digest, see :func:`look_up`.
     """
     columns = list(columns)
-    first = top_per_group(_classes(df, columns), ["col"], [F.col("value")], inline_limit + 1, "place")
-    classes: dict[str, list[str]] = {n: [] for n in columns}
-    for row in first.orderBy("col", "place").collect():
-        classes[row["col"]].append(row["value"])
-    many = [n for n in columns if len(classes[n]) > inline_limit]
-    classes = {n: c for n, c in classes.items() if n not in many}
+    classes = _listed_classes(df, columns, inline_limit)
+    many = [n for n in columns if n not in classes]
 
     def key(name: str) -> Column:
         return F.coalesce(column(name).cast("string"), F.lit("nan"))
@@ -209,16 +222,18 @@ def encode_nominal(df: DataFrame, columns: Sequence[str], inline_limit: int = IN
 
     # A column of an empty table has no classes, but its codes are numbers all the same.
     none = F.lit(None).cast("bigint")
-    result = df.select(*[
-        column(n) if n not in classes else inline(n) if classes[n] else none.alias(n) for n in df.columns])
-    codes = nominal_codes(df, many) if many else None
-    for name in many:
-        table = codes.filter(F.col("col") == name).select(
-            F.col("value").alias("__value"), F.col("code").alias("__code")
-        )
-        kept = [F.col("__code").alias(c) if c == name else column(c) for c in result.columns]
-        result = result.join(table, key(name) == F.col("__value"), "left").select(*kept)
-    return result
+    done = [column(n) if n not in classes else inline(n) if classes[n] else none.alias(n) for n in df.columns]
+    if not many:
+        return df.select(*done)
+    codes = nominal_codes(df, many)
+    place = F.array_position(F.array(*[F.lit(n) for n in many]), F.col("col")) - 1
+    dictionary = codes.select(*dictionary_rows(place, F.col("value"), F.col("code")))
+    # The texts stay behind: only their digests are written with the row.
+    texts = [f"__text{k}" for k in range(len(many))]
+    rows = df.select(*[d for d, n in zip(done, df.columns) if n not in many], *[key(n).alias(t) for n, t in zip(many, texts)])
+    found, values = look_up(rows, [F.col(t) for t in texts], dictionary, drop=texts)
+    code = dict(zip(many, values))
+    return found.select(*[code[n].alias(n) if n in code else column(n) for n in df.columns])
 
 
 def categorical_profile(df: DataFrame, columns: Sequence[str], top: int = 20) -> DataFrame:

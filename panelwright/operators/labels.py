@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.names import column, rename_all
 from panelwright.functions.text import strip, strip_once
+from panelwright.operators.dictionary import dictionary_rows, look_up
 
 # Variables with at most this many codes are decoded from a literal map.
 INLINE_CODES = 64
 # Code lists of at most this many rows are small enough to broadcast.
 BROADCAST_CODES = 50_000
+# So many of them are joined one by one; more share one look-up.
+BROADCAST_LISTS = 3
 
 
 def code_key(c):
@@ -41,8 +44,8 @@ def decode_labels(df: DataFrame, value_labels: DataFrame, inline_limit: int = IN
     ``value_labels`` is ``(name, code, label)``, with an optional ``ordinal``. Codes that
     are equal as text keep one label: that of the highest ordinal, or without one the
     greatest; missing codes match nothing. Variables with few codes are decoded together
-    in one projection; the code list of a large variable is joined, and broadcast if its
-    counted rows are few.
+    in one projection. A few variables with code lists that are small enough join a broadcast
+    list each; otherwise all large variables are looked up in one exchange.
     """
     table = unique_labels(value_labels)
     names = list(df.columns)
@@ -62,16 +65,21 @@ def decode_labels(df: DataFrame, value_labels: DataFrame, inline_limit: int = IN
         return F.coalesce(F.try_element_at(pairs, code_key(value)), value).alias(name)
 
     result = df.select(*[inline(n) if n in maps else column(n) for n in names])
-    for name in (n for n in names if sizes.get(n, 0) > inline_limit):
+    large = [n for n in names if sizes.get(n, 0) > inline_limit]
+    if len(large) > BROADCAST_LISTS or any(sizes[n] > BROADCAST_CODES for n in large):
+        place = F.array_position(F.array(*[F.lit(n) for n in large]), F.col("name")) - 1
+        listed = table.filter(F.col("name").isin(large)).select(*dictionary_rows(place, F.col("code"), F.col("label")))
+        found, labels = look_up(result, [code_key(column(n).cast("string")) for n in large], listed)
+        decoded = {n: F.coalesce(label, column(n).cast("string")).alias(n) for n, label in zip(large, labels)}
+        return found.select(*[decoded.get(n, column(n)) for n in names])
+    for name in large:
         codes = table.filter(F.col("name") == name).select(
             F.col("code").alias("__code"), F.col("label").alias("__label")
         )
-        if sizes[name] <= BROADCAST_CODES:
-            codes = F.broadcast(codes)
         value = column(name).cast("string")
         decoded = F.coalesce("__label", value).alias(name)
         kept = [decoded if c == name else column(c) for c in names]
-        result = result.join(codes, code_key(value) == F.col("__code"), "left").select(*kept)
+        result = result.join(F.broadcast(codes), code_key(value) == F.col("__code"), "left").select(*kept)
     return result
 
 

@@ -169,7 +169,8 @@ def redundant_columns(
         return []
     guided = bool(target) and not strict_reference and target in numeric_columns(df)
     frame = df.select(*[column(n) for n in names], *([column(target)] if guided else []))
-    encoded = encode_nominal(frame, texts) if texts else frame
+    # Means and sums each read the codes; they are narrow, the look-ups behind them are not.
+    encoded = written_once(encode_nominal(frame, texts), "codes") if texts else frame
     corr = correlations(encoded, names + ([target] if guided else []))
     last = len(names)
     wanted = (F.col("i") < last) & (F.abs("r") > threshold) | (F.col("i") == last)

@@ -14,7 +14,7 @@ from panelwright.operators.columns import (
     sentinels_as_null,
     split_columns,
 )
-from panelwright.operators.joins import find_score_table, left_join, membership, other_tables, star_join
+from panelwright.operators.joins import find_score_table, left_join, membership, other_tables, side_by_side, star_join
 from panelwright.operators.labels import decode_labels, label_headers
 from panelwright.operators.matching import match_names
 from panelwright.operators.roles import Roles, best_roles, detect_roles, essential_columns
@@ -152,3 +152,75 @@ def test_tables_of_one_key_are_joined_side_by_side(spark, rows):
     full = star_join({"base": base, "one": first, "two": second}, "score", ["k"])["full_merged"]
     one_by_one = left_join(left_join(base, first, "k"), second, "k")
     assert full.columns == one_by_one.columns and rows(full) == rows(one_by_one)
+
+
+def spread(df):
+    """Rows per task behind the last exchange, most and median."""
+    counts = sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    return counts[-1], counts[len(counts) // 2]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_hot_keys_are_spread_over_tasks(spark, no_broadcast, rows, null_safe):
+    hot = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 97 + 100).cast("long").alias("key")
+    base = spark.range(4000).select("id", hot, F.col("id").cast("double").alias("score"))
+    a = spark.range(160).select(hot, F.col("id").alias("a"))
+    b = spark.range(12).select(F.when(F.col("id") < 4, 7).when(F.col("id") == 4, F.lit(None)).otherwise(F.col("id") + 100).cast("long").alias("key"), F.col("id").alias("b"))
+    done = star_join({"base": base, "a": a, "b": b}, "score", ["key"], null_safe)
+    base.createOrReplaceTempView("t_base"), a.createOrReplaceTempView("t_a"), b.createOrReplaceTempView("t_b")
+    on = "<=>" if null_safe else "="
+    for name, sql in (
+        ("a", f"SELECT t_base.*, a FROM t_base LEFT JOIN t_a ON t_base.key {on} t_a.key"),
+        ("b", f"SELECT t_base.*, b FROM t_base LEFT JOIN t_b ON t_base.key {on} t_b.key"),
+        ("full_merged", f"SELECT t_base.*, a, b FROM t_base LEFT JOIN t_a ON t_base.key {on} t_a.key LEFT JOIN t_b ON t_base.key {on} t_b.key"),
+    ):
+        columns = ["id", "key", "score", *[c for c in ("a", "b") if c in done[name].columns]]
+        expected = spark.sql(sql).select(*columns)
+        mine = done[name].select(*columns)
+        assert mine.count() == expected.count() and mine.exceptAll(expected).isEmpty()
+    most, median = spread(done["full_merged"])
+    assert most <= 4 * median
+    plain = base.join(a, "key", "left").join(b, "key", "left")
+    assert spread(plain)[0] > 20 * max(spread(plain)[1], 1)
+
+
+def test_sides_with_keys_of_their_own(spark, rows):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "n")], "k int, a string")
+    b = spark.createDataFrame([(2, 5, "late"), (3, 6, "late"), (2, 7, "late"), (None, 8, "late")], "k int, b int, a string")
+    assert rows(side_by_side([a, b], "k"), "k", "a", "b") == rows(spark.createDataFrame(
+        [(1, "x", None), (2, "y", 5), (2, "y", 7), (None, "n", None), (3, None, 6), (None, None, 8)], "k int, a string, b int"))
+    assert rows(side_by_side([a, b], "k", null_safe=True), "k", "a", "b") == rows(spark.createDataFrame(
+        [(1, "x", None), (2, "y", 5), (2, "y", 7), (None, "n", 8), (3, None, 6)], "k int, a string, b int"))
+
+
+def test_many_columns_share_one_look_up(spark, rows):
+    from panelwright.operators.frequencies import encode_nominal
+    from panelwright.operators.labels import decode_labels
+
+    names = [f"c{k}" for k in range(10)]
+    df = spark.range(400).select("id", *[F.when(F.col("id") % 31 != k, F.concat(F.lit("v"), (F.col("id") * (k + 3) % 157).cast("string"))).alias(n) for k, n in enumerate(names)])
+    coded = encode_nominal(df, names)
+    expected = df.toPandas()
+    for n in names:
+        values = sorted({"nan" if v is None else v for v in expected[n]})
+        expected[n] = [values.index("nan" if v is None else v) for v in expected[n]]
+    assert [tuple(r) for r in coded.orderBy("id").collect()] == [tuple(r) for r in expected.itertuples(index=False)]
+    labels = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("code"), F.concat(F.lit(n), F.col(n)).alias("label")) for n in names])))
+    decoded = decode_labels(df, labels.distinct())
+    assert decoded.columns == df.columns
+    for r, d in zip(decoded.orderBy("id").collect(), df.orderBy("id").collect()):
+        assert all(r[n] == (None if d[n] is None else n + d[n]) for n in names)
+    plans = [decode_labels(df, labels.distinct().filter(F.col("name").isin(names[:k])), inline_limit=1)._jdf.queryExecution().executedPlan().toString()
+             for k in (4, 10)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange") and "BroadcastHashJoin" not in plans[1].split("Scan")[0]
