@@ -224,3 +224,25 @@ def test_many_columns_share_one_look_up(spark, rows):
     plans = [decode_labels(df, labels.distinct().filter(F.col("name").isin(names[:k])), inline_limit=1)._jdf.queryExecution().executedPlan().toString()
              for k in (4, 10)]
     assert plans[0].count("Exchange") == plans[1].count("Exchange") and "BroadcastHashJoin" not in plans[1].split("Scan")[0]
+
+
+def test_clear_ties_are_broken_by_sketches(spark, monkeypatch):
+    from panelwright.operators import roles as module
+
+    df = spark.range(3000).selectExpr("id % 20 AS `School ID old`", "id AS `School ID`", "id % 3 AS `Student ID`")
+    other = spark.range(500).selectExpr("id AS `School ID`", "1 AS x")
+    counted = []
+    exact = module.distinct_counts
+    monkeypatch.setattr(module, "distinct_counts", lambda df, columns: counted.extend(columns) or exact(df, columns))
+    assert detect_roles(df).school == "School ID" and counted == []
+    assert best_roles({"a": other, "b": df}).school == "School ID" and counted == []
+    near = spark.range(3000).selectExpr("id % 2990 AS `School ID old`", "id AS `School ID`", "id % 5 AS `School ID new`")
+    assert detect_roles(near).school == "School ID" and set(counted) == {"School ID", "School ID old"}
+    same = spark.range(300).selectExpr("id AS `School ID b`", "id AS `School ID a`")
+    assert detect_roles(same).school == exact_first(same)
+
+
+def exact_first(df):
+    from panelwright.functions.names import SCHOOL_WORDS, role_candidates
+
+    return role_candidates(df.columns, SCHOOL_WORDS)[0]
