@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.functions.names import column
-from panelwright.operators.dictionary import dictionary_rows, look_up
+from panelwright.operators.dictionary import FOUND, KEY, PLACE, dictionary_rows, look_up
 from panelwright.operators.positions import top_per_group, with_row_number
 
 OTHER = "__OTHER__"
@@ -225,9 +225,11 @@ def encode_nominal(df: DataFrame, columns: Sequence[str], inline_limit: int = IN
     done = [column(n) if n not in classes else inline(n) if classes[n] else none.alias(n) for n in df.columns]
     if not many:
         return df.select(*done)
-    codes = nominal_codes(df, many)
+    # The texts are sorted, but only their digests are written in that order.
     place = F.array_position(F.array(*[F.lit(n) for n in many]), F.col("col")) - 1
-    dictionary = codes.select(*dictionary_rows(place, F.col("value"), F.col("code")))
+    texts_of = _classes(df, many).select("value", *dictionary_rows(place, F.col("value"), F.lit(None))[:2])
+    numbered = with_row_number(texts_of, [PLACE], [F.col("value")], FOUND, [PLACE, KEY])
+    dictionary = numbered.withColumn(FOUND, F.col(FOUND) - 1)
     # The texts stay behind: only their digests are written with the row.
     texts = [f"__text{k}" for k in range(len(many))]
     rows = df.select(*[d for d, n in zip(done, df.columns) if n not in many], *[key(n).alias(t) for n, t in zip(many, texts)])

@@ -20,15 +20,15 @@ RANGE, SEQUENCE, FIRST = "__range", "__sequence", "__first"
 ROWS, INSIDE, BEFORE = "__rows", "__inside", "__before"
 
 
-def sorted_table(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The rows with the number of their sorted range and their sequence, written once.
+def sorted_table(df: DataFrame, group: Sequence[str], order: Sequence[Column], kept: Sequence[str] | None = None) -> DataFrame:
+    """The rows with the number of their sorted range and their sequence, written once, with the ``kept`` columns only.
 
     Range bounds are sampled, so they may differ between two runs of one plan. The
     table in the shared folder makes all later reads see the same ranges.
     """
     ranges = df.orderBy(*[column(g) for g in group], *order)
     return written_once(ranges.select(
-        "*", F.spark_partition_id().alias(RANGE), F.monotonically_increasing_id().alias(SEQUENCE)
+        *[column(c) for c in kept or df.columns], F.spark_partition_id().alias(RANGE), F.monotonically_increasing_id().alias(SEQUENCE)
     ), "sorted")
 
 
@@ -47,19 +47,23 @@ def range_totals(ranges: DataFrame, group: Sequence[str], weight: Column) -> Dat
     return sums.withColumn(BEFORE, F.coalesce(F.sum(INSIDE).over(earlier), F.lit(0)))
 
 
-def with_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def with_row_number(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, kept: Sequence[str] | None = None
+) -> DataFrame:
     """Add the 1-based position inside each group; ``order`` must be a total order.
 
+    With ``kept`` (the group among them) only those columns are written and returned.
+
     Sequence numbers count up inside a range, so the place in the range is a
     difference and no window over the rows is needed.
     """
-    ranges = sorted_table(df, group, order)
+    ranges = sorted_table(df, group, order, kept)
     left, right = ranges.alias("l"), range_totals(ranges, group, F.lit(1)).alias("r")
     same = F.col(f"l.{RANGE}") == F.col(f"r.{RANGE}")
     for g in group:
         same = same & F.col(f"l.{quoted(g)}").eqNullSafe(F.col(f"r.{quoted(g)}"))
     number = F.col(f"l.{SEQUENCE}") - F.col(f"r.{FIRST}") + 1 + F.col(f"r.{BEFORE}")
-    return left.join(right, same).select(*[F.col(f"l.{quoted(c)}") for c in df.columns], number.alias(name))
+    return left.join(right, same).select(*[F.col(f"l.{quoted(c)}") for c in kept or df.columns], number.alias(name))
 
 
 def rows_at_places(ranges: DataFrame, totals: DataFrame, group: str, weight: str, places: Column) -> DataFrame:
