@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import Stage, give_back, whole_text
+from panelwright.llm.common import Stage, whole_text
 
 SEED = 42
 WORDS = 4
@@ -65,19 +65,6 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * bits > len(hashes)).tolist()))
 
 
-def wide_fingerprint(text: bytes, words: int, rounds: int) -> bytes:
-    """``rounds`` fingerprints of 64 bits side by side, from remixed shingle hashes."""
-    hashes = shingle_hashes(text, words)
-    bits = np.zeros((rounds, 64), np.int64)
-    for start in range(0, len(hashes), 1 << 15):
-        part = hashes[start : start + (1 << 15)]
-        for k in range(rounds):
-            bits[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            part = (part ^ (part >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            part ^= part >> np.uint64(32)
-    return np.packbits(2 * bits > len(hashes), axis=1).tobytes()
-
-
 def fingerprints(docs: DataFrame, text: str = "text", row: str = "row", words: int = WORDS) -> DataFrame:
     """``(row, fp)``: the input row without its text, and the fingerprint as a signed 64-bit number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,92 +276,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(by_print, "fp").select("row", "fp", "component_id")
 
 
-# Similarity groups: five-word shingles, and wide fingerprints that differ in at most so many bits. The share of
-# differing bits follows from the angle between two texts' shingle sets; at a similarity of 0.8 it is 0.15, with a
-# deviation of 0.022, and the radius lies one and a half deviations above.
-SIMILAR_WORDS, SIMILAR_ROUNDS, SIMILAR_RADIUS = 5, 4, 46
-SIMILAR_KEYS, SIMILAR_KEY_BITS = 48, 16
-
-
-def similar_keys() -> list[list[int]]:
-    """Bit places of each shard key, dealt by a fixed seed."""
-    deal = np.random.default_rng(SEED)
-    return [deal.choice(64 * SIMILAR_ROUNDS, SIMILAR_KEY_BITS, replace=False).tolist() for _ in range(SIMILAR_KEYS)]
-
-
-def similar_links(prints: DataFrame) -> DataFrame:
-    """``(a, b)``: links between the numbers of distinct wide fingerprints; ``prints`` is ``(fp, wide)``.
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component of ``near_duplicates``: that with the smallest id stays.
 
-    Two similar texts agree in some key of ``SIMILAR_KEYS`` with high probability: 0.97 at a similarity of 0.8, and
-    0.999 from 0.87 on. In a shard they meet in a BK-tree over the whole fingerprints.
+    Rows without an id come last; of repeated rows one stays. Texts without words share fingerprint zero, so they
+    are one group. All columns are kept, whatever their names.
     """
-    places = np.array(similar_keys())
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4000):
-                part = batch.slice(start, 4000)
-                n = part.num_rows
-                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1)
-                bits = np.unpackbits(wide, axis=1)
-                keys = (bits[:, places] << np.arange(SIMILAR_KEY_BITS, dtype=np.int64)).sum(axis=2)
-                keys += np.arange(SIMILAR_KEYS) << SIMILAR_KEY_BITS
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), SIMILAR_KEYS)),
-                     part.column(1).take(pa.array(np.repeat(np.arange(n), SIMILAR_KEYS)))], names=["key", "fp", "wide"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held, names = None, [], {}
-        out: list[tuple[int, int]] = []
-
-        def close() -> None:
-            if len(held) > 1:
-                out.extend((names[a], names[b]) for a, b in shard_links(held, SIMILAR_RADIUS))
-
-        for batch in batches:
-            for key, name, wide in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if key != held_key:
-                    close()
-                    held_key, held, names = key, [], {}
-                value = int.from_bytes(wide, "big")
-                held.append(value)
-                names[value] = name & 0xFFFFFFFFFFFFFFFF
-            if len(out) > 50_000:
-                yield from _link_table(out).to_batches()
-                out.clear()
-        close()
-        if out:
-            yield from _link_table(out).to_batches()
-        give_back()
-
-    tasks = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    rows = prints.mapInArrow(keyed, "key bigint, fp bigint, wide binary")
-    in_order = rows.repartition(tasks, "key").sortWithinPartitions("key", "fp")
-    return in_order.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of similar texts: that with the smallest id stays.
-
-    Rows without an id come last; of repeated rows one stays. Texts without words form one group.
-    """
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wide = [wide_fingerprint((x or "").encode(), SIMILAR_WORDS, SIMILAR_ROUNDS) for x in batch.column(0).field(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["row", "wide"])
-        give_back()
-
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    printed = rows.mapInArrow(run, rows.select("row", F.lit(None).cast("binary").alias("wide")).schema)
-    stage = Stage(printed.withColumn("no", F.monotonically_increasing_id()), "similar-rows")
-    listed = stage.read()
-    prints = Stage(listed.groupBy("wide").agg(F.xxhash64("wide").alias("fp"), F.min(F.struct(
-        F.col("row").getField(doc_id).isNull().alias("none"), F.col("row").getField(doc_id).alias("id"), "no")).alias("first")),
-        "similar-prints").read()
-    labels = components(prints.select("fp"), similar_links(prints.select("fp", "wide")))
-    grouped = prints.join(labels, "fp", "left").select(F.coalesce("label", "fp").alias("label"), "first")
-    kept = grouped.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.no").alias("no"))
-    dropped = listed.select("no").join(kept, "no", "left_anti")
-    return listed.join(dropped, "no", "left_anti").select("row.*")
+    # The place of a row in its component is its id for the operator, so that the smallest one names the row that stays.
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("no"))
+    rows = Stage(numbered, "near-copies").read()
+    own = F.col("row").getField(doc_id)
+    placed = rows.select(F.struct(own.isNull().alias("none"), own.alias("id"), "no").alias("place"),
+                         F.col("row").getField(text).alias("text"))
+    found = near_duplicates(placed, "place", "text", radius)
+    dropped = found.select(F.col("row.place.no").alias("no"), F.col("component_id.no").alias("stays")).filter("no <> stays")
+    return rows.join(dropped.select("no"), "no", "left_anti").select("row.*")
