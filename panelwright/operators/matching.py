@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.names import clean_attribute_name, column
-from panelwright.functions.similarity import CUTOFF, closest_column
+from panelwright.functions.similarity import CUTOFF, closest_columns
 from panelwright.functions.text import clean_attribute
 
 
@@ -18,17 +18,21 @@ def match_names(
     """Add ``mapped_dataset_column`` and ``match_type`` (exact, fuzzy, none) to the rows.
 
     Each distinct name is matched once. The column list is a header and stays on the
-    executors as a literal; names that are not in it go through the similarity
-    function, so no pairs of rows are ever formed.
+    executors as a literal; names that are not in it meet the columns that share enough
+    of their characters, and only such pairs are scored.
     """
     known = list(dict.fromkeys(clean_attribute_name(c) for c in columns))
     distinct = names.select(column(attribute).alias("__name")).distinct()
     cleaned = distinct.withColumn("__clean", clean_attribute(F.col("__name")))
     exact = F.col("__clean").isin(known) & (F.col("__clean") != "")
     marked = cleaned.withColumn("__exact", F.coalesce(exact, F.lit(False)))
-    open_name = F.when(~F.col("__exact") & (F.col("__clean") != ""), F.col("__clean"))
-    guess = closest_column(open_name, known, cutoff) if fuzzy else F.lit(None).cast("string")
-    matched = marked.withColumn("__guess", guess).select(
+    if fuzzy:
+        open_names = marked.filter(~F.col("__exact") & (F.col("__clean") != "")).select(F.col("__clean").alias("name")).distinct()
+        guesses = closest_columns(open_names, known, cutoff).select(F.col("name").alias("__clean"), F.col("closest").alias("__guess"))
+        guessed = marked.join(guesses, "__clean", "left")
+    else:
+        guessed = marked.withColumn("__guess", F.lit(None).cast("string"))
+    matched = guessed.select(
         "__name",
         F.when(F.col("__exact"), F.col("__clean")).otherwise(F.col("__guess")).alias("mapped_dataset_column"),
         F.when(F.col("__exact"), "exact").when(F.col("__guess").isNotNull(), "fuzzy").otherwise("none").alias("match_type"),
