@@ -1,4 +1,4 @@
-"""CSV, stage, version and result writers."""
+"""CSV, stage and result writers."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.names import column, rename_all
 from panelwright.functions.text import CP1252_BYTES, CP1252_CHARACTERS, to_cp1252, year_of_name
-from panelwright.operators.columns import drop_marked, map_columns, select_required
+from panelwright.operators.columns import map_columns, select_required
 from panelwright.operators.moments import text_columns
 
 STAGES = ("labeled", "cleaned", "leveled")
@@ -78,31 +78,6 @@ def read_stage(spark: SparkSession, root: str, stage: str, table: str) -> DataFr
     return spark.read.parquet(stage_path(root, stage, table))
 
 
-def _version_path(path: str, version: int) -> str:
-    return f"{path.rstrip('/')}/v={version}"
-
-
-def write_version(df: DataFrame, path: str, version: int = 0) -> int:
-    """Write a table as an immutable version; an existing one is never overwritten."""
-    df.write.mode("errorifexists").parquet(_version_path(path, version))
-    return version
-
-
-def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(_version_path(path, version))
-
-
-def drop_columns_versioned(spark: SparkSession, path: str, version: int, marks: Sequence[str]) -> int:
-    """Write version + 1 without the marked columns; the old version is the restore point."""
-    reduced = drop_marked(read_version(spark, path, version), marks)
-    return write_version(reduced, path, version + 1)
-
-
-def restore_version(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """The table as it was before later drops."""
-    return read_version(spark, path, version)
-
-
 def write_results(
     summaries: Mapping[str, DataFrame], subsets: Mapping[str, DataFrame], root: str, csv: bool = False
 ) -> dict[str, str]:

@@ -165,16 +165,6 @@ def test_listing_reads_no_content(spark, tmp_path):
     assert "ReadSchema: struct<path:string>" in plan
 
 
-def test_versions(spark, tmp_path):
-    path = str(tmp_path / "table")
-    assert writers.write_version(spark.createDataFrame([(1, 2)], "a int, b int"), path) == 0
-    assert writers.drop_columns_versioned(spark, path, 0, ["b", "zz"]) == 1
-    assert writers.read_version(spark, path, 1).columns == ["a"]
-    assert writers.restore_version(spark, path, 0).columns == ["a", "b"]
-    with pytest.raises(Exception, match="(?i)exists"):
-        writers.write_version(spark.range(1), path, 1)
-
-
 def test_stage_paths(spark, tmp_path):
     assert writers.stage_root("/x/labeled/") == "/x" and writers.stage_root("/x/other") == "/x/other"
     path = writers.write_stage(spark.range(2).select(F.col("id").cast("string")), str(tmp_path), "cleaned", "t", csv=True)

@@ -16,15 +16,8 @@ from panelwright.plans.label import label_table
 from panelwright.plans.prepare import Thresholds, label_folder, prepare
 from panelwright.plans.transform import transform
 from panelwright.session import work_folder
-from panelwright.sinks.writers import (
-    drop_columns_versioned,
-    read_stage,
-    read_version,
-    restore_version,
-    write_csv,
-    write_top_by_year,
-    write_version,
-)
+from panelwright.sinks.versions import commit_restored, drop_columns_versioned, read_version, write_version
+from panelwright.sinks.writers import read_stage, write_csv, write_top_by_year
 from panelwright.sources.codebook import Codebook
 from panelwright.sources.files import file_format, wanted_paths
 from panelwright.sources.fixed_width import cut_lines
@@ -265,7 +258,7 @@ def restore_version_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_version(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
     latest = drop_columns_versioned(spark, path, 0, ["c_acctbal", "absent"])
     dropped = read_version(spark, path, latest).withColumn("c_acctbal", F.lit(None).cast("double"))
-    restored = restore_version(spark, path, 0)
+    restored = read_version(spark, path, commit_restored(spark, path, 0))
     return dropped.withColumn("state", F.lit("dropped")).unionByName(restored.withColumn("state", F.lit("restored")))
 
 
