@@ -17,6 +17,8 @@ from panelwright.operators.columns import (
     sentinels_as_null,
 )
 from panelwright.operators.labels import decode_labels, label_headers
+from panelwright.session import work_folder
+from panelwright.sinks.layout import scan_country, write_by_country
 from panelwright.sinks.writers import nan_marked
 from panelwright.sources.codebook import Layout, decode_table, parse_codebook
 from panelwright.sources.fixed_width import cut_lines
@@ -37,6 +39,17 @@ def country_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of_country(table(spark, sf_dir, "orders"), "f", "o_orderstatus").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+@query("country_layout", """
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE upper(o_orderstatus) = 'F'
+UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE upper(o_orderstatus) = 'P'
+""")
+def country_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labeled rows laid out by country, and two countries read back from their own files."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = write_by_country(orders, work_folder(spark, "by-country"), "o_orderstatus", ["o_orderkey"])
+    return scan_country(spark, path, "f", "o_orderstatus").unionByName(scan_country(spark, path, "P", "o_orderstatus"))
+
+
 @query("line_prefix_filter", "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'ECO')")
 def line_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
