@@ -86,6 +86,36 @@ class Labeled(NamedTuple):
     failed: dict[str, str]
 
 
+class RawFile(NamedTuple):
+    table: str
+    path: str
+    kind: str
+
+
+def raw_files(spark: SparkSession, root: str) -> list[RawFile]:
+    """The known files below a folder in order of their paths, stage folders left out, and the table each would give."""
+    found = []
+    base = root.removeprefix("file:").rstrip("/") + "/"
+    for row in route_files(spark, root).orderBy("path").collect():
+        path, kind = row["path"], row["format"]
+        folder, _, file = path.rpartition("/")
+        below = path[path.find(base) + len(base):] if base in path else file
+        if folder.rpartition("/")[2] not in STAGES and kind != "skip":
+            found.append(RawFile(below.rpartition(".")[0], path, kind))
+    return found
+
+
+def label_file(
+    spark: SparkSession, file: RawFile, country: str | None = None, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame | None]:
+    """(labeled, raw) tables of one file; a CSV file has no raw one."""
+    if file.kind == "syntax":
+        return load_syntax(spark, file.path, file.path.rpartition("/")[0], country)
+    if file.kind == "csv":
+        return read_csv(spark, file.path, multi_line=multi_line), None
+    raise ValueError("binary survey files need a table and a codebook")
+
+
 def label_folder(spark: SparkSession, root: str, country: str | None = None, multi_line: bool = True) -> Labeled:
     """Labeled tables of all known files below a folder, by path below it without the extension.
 
@@ -96,26 +126,18 @@ def label_folder(spark: SparkSession, root: str, country: str | None = None, mul
     no line breaks.
     """
     done = Labeled({}, {}, {})
-    base = root.removeprefix("file:").rstrip("/") + "/"
-    for row in route_files(spark, root).orderBy("path").collect():
-        path, kind = row["path"], row["format"]
-        folder, _, file = path.rpartition("/")
-        below = path[path.find(base) + len(base):] if base in path else file
-        name = below.rpartition(".")[0]
-        if folder.rpartition("/")[2] in STAGES or kind == "skip":
-            continue
-        if name in done.tables:
-            done.failed[path] = f"another file has given the table {name}"
+    for file in raw_files(spark, root):
+        if file.table in done.tables:
+            done.failed[file.path] = f"another file has given the table {file.table}"
             continue
         try:
-            if kind == "syntax":
-                done.tables[name], done.raw[name] = load_syntax(spark, path, folder, country)
-            elif kind == "csv":
-                done.tables[name] = read_csv(spark, path, multi_line=multi_line)
-            else:
-                done.failed[path] = "binary survey files need a table and a codebook"
+            labeled, raw = label_file(spark, file, country, multi_line)
         except Exception as error:  # one bad file must not stop the run
-            done.failed[path] = str(error)
+            done.failed[file.path] = str(error)
+            continue
+        done.tables[file.table] = labeled
+        if raw is not None:
+            done.raw[file.table] = raw
     return done
 
 

@@ -7,6 +7,7 @@ of one version one wins and the other gets ``FileExistsError``; data without a m
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import uuid
@@ -57,6 +58,18 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def file_state(spark: SparkSession, path: str) -> list[Any] | None:
+    """Length and time of a file, the same of all files of a folder with a digest of their names; None where nothing is."""
+    system, where = _hadoop(spark, path)
+    if not system.exists(where):
+        return None
+    status = system.getFileStatus(where)
+    if not status.isDirectory():
+        return [status.getLen(), status.getModificationTime()]
+    files = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in system.listStatus(where))
+    return [len(files), hashlib.sha256(json.dumps(files).encode()).hexdigest()]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     system, where = _hadoop(spark, path)
     system.delete(where, True)

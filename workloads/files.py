@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.functions.names import column
+from panelwright.plans.changed import prepare_changed
 from panelwright.plans.label import load_syntax
 from panelwright.plans.prepare import prepare_folder
 from panelwright.plans.results import process_results
@@ -200,6 +202,19 @@ def prepare_survey_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_stage(spark, root, "leveled", written[0])
 
 
+@query("prepare_changed_folder", f"""
+SELECT CAST(4 AS INT) AS first_run, CAST(0 AS INT) AS second_run, o_custkey AS "{SCHOOL}", o_orderkey AS "{STUDENT}",
+       CASE WHEN o_totalprice > 9990 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(14, 2))::DOUBLE END AS "{SCORE}"
+FROM orders WHERE o_orderpriority <> '1-URGENT'
+""")
+def prepare_changed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of a folder twice: the second run finds nothing to write and leaves the tables of the first."""
+    root = _survey_files(spark, sf_dir)
+    first, second = (prepare_changed(spark, root, "MEX", save_unlabeled=True) for _ in range(2))
+    leveled = read_stage(spark, root, "leveled", second.tables[0])
+    return leveled.select(F.lit(len(first.written)).alias("first_run"), F.lit(len(second.written)).alias("second_run"), *[column(c) for c in (SCHOOL, STUDENT, SCORE)])
+
+
 @query("unlabeled_side_output", """
 SELECT 'MEX' AS "CNT", CAST(o_custkey AS VARCHAR) AS "SCHOOLID", CAST(o_orderkey AS VARCHAR) AS "STUDENTID",
        CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN '2' ELSE '9' END AS "ST01", '1.0' AS "W_FSTUWT",
