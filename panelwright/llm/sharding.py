@@ -1,20 +1,24 @@
 """K-d tree partitioning: shards of nearly equal bytes, cut at weighted medians of metadata.
 
-Equal texts form a group with the sum of their sizes as weight, so that copies stay together; only a group that is
+The dimensions are the size's logarithm and the metadata, numbers by value and texts by the order of their bytes, each
+scaled by the range of its values. Equal texts form a group with the sum of their sizes as weight, so that copies stay together; only a group that is
 too heavy for even shards is cut up by id. A node is cut at the weighted median of its widest dimension. Every
 median comes from a few counting passes: the sums of at most ``BINS`` bins per node reach the driver, and the next
 pass looks into the bin that holds the median, first by coordinate and then by the group's hash, so ties are cut
 evenly too.
 
-Defined results: a missing text has size one and equals other missing or empty texts; missing metadata lies at
-coordinate zero; rows without id or repeated rows are rows of their group like any other; an empty table has no
+Defined results: a missing text has size one and equals other missing or empty texts; missing metadata and
+numbers that are not finite lie at coordinate zero; of a group's metadata the least place counts; rows without id or repeated rows are rows of their group like any other; an empty table has no
 shards. Other columns are carried along in ``row``.
 """
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.llm.common import Stage, whole_text
 from panelwright.operators.positions import with_row_number
@@ -27,25 +31,47 @@ PLACE_DIGITS, HASH_DIGITS = 2, 4
 SPLIT_SHARE = 0.04
 # A bin lighter than this share of a shard is not looked into.
 EVEN_SHARE = 0.002
+# The greatest coordinate, and the bytes of a text that make its coordinate.
+BELOW_ONE = 1 - 2.0**-30
+TEXT_BYTES = 6
+
+
+def _kind_of(docs: DataFrame, name: str) -> str:
+    return "double" if isinstance(docs.schema[name].dataType, (T.NumericType, T.BooleanType)) else "string"
+
 
+def _finite(value: Column) -> Column:
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
-def _unit_hash(value: Column) -> Column:
-    """A text as a place in [0, 1); missing is zero."""
-    return F.coalesce(F.shiftrightunsigned(F.xxhash64(value), 11) / float(1 << 53), F.lit(0.0))
 
+def _scaled(value: Column, low: float, high: float) -> Column:
+    """A number as a place in [0, 1) of its dimension's range; missing is zero."""
+    if not high > low:
+        return F.lit(0.0)
+    return F.when(value.isNull(), 0.0).otherwise(F.least((value - low) / F.lit(high - low), F.lit(BELOW_ONE)))
 
-def _metadata(names: tuple[str, ...]) -> list[Column]:
-    return [F.min(F.when(F.col(n).isNotNull(), _unit_hash(F.col(n).cast("string")))).alias(f"m{k}")
-            for k, n in enumerate(names)]
+
+def _place(value: Column, low: float | str | None, high: float | str | None) -> Column:
+    """A number, or a text by the order of its bytes, as a place in the range of all values.
+
+    Of texts the bytes behind the prefix that the least and the greatest share count, so all share it.
+    """
+    if low is None or high is None:
+        return F.lit(0.0)
+    if not isinstance(low, str):
+        return _scaled(value, low, high)
+    ends = [low.encode(), high.encode()]
+    shared = len(commonprefix(ends))
+    first, last = (float(int.from_bytes(end[shared : shared + TEXT_BYTES].ljust(TEXT_BYTES, b"\0"), "big")) for end in ends)
+    behind = F.hex(F.substring(value.cast("binary"), shared + 1, TEXT_BYTES))
+    return _scaled(F.conv(F.rpad(behind, 2 * TEXT_BYTES, "0"), 16, 10).cast("double"), first, last)
 
 
-def _units(rows: DataFrame, target: float, dims: tuple[str, ...]) -> DataFrame:
-    """Groups of equal texts, heavy ones cut into parts: key, part, weight, coordinates in [0, 1) and the hash."""
-    groups = rows.groupBy("key").agg(
-        F.sum("size").alias("weight"), F.max("size").alias("most"), *_metadata(dims)
-    ).withColumn("parts", F.ceil(F.col("weight") / F.lit(max(1.0, SPLIT_SHARE * target))).cast("int"))
-    return groups.select("key", "parts", F.least(F.log2("most") / 64, F.lit(0.999999)).alias("c0"), *[
-        F.coalesce(F.col(f"m{k}"), F.lit(0.0)).alias(f"c{k + 1}") for k in range(len(dims))])
+def _units(rows: DataFrame, target: float, places: list[Column]) -> DataFrame:
+    """Groups of equal texts and how many parts heavy ones are cut into: key, parts, coordinates in [0, 1)."""
+    groups = rows.groupBy("key").agg(F.sum("size").alias("weight"), *[F.min(c).alias(f"c{k}") for k, c in enumerate(places)])
+    parts = F.ceil(F.col("weight") / F.lit(max(1.0, SPLIT_SHARE * target))).cast("int").alias("parts")
+    return groups.select("key", parts, *[f"c{k}" for k in range(len(places))])
 
 
 def shards(
@@ -58,18 +84,22 @@ def shards(
     """
     content = whole_text(text)
     size = F.octet_length(content).cast("long") + 1
+    kinds = [_kind_of(docs, n) for n in metadata]
     listed = docs.select(
         F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"), size.alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
         F.struct(size.alias("size"), F.crc32(content.cast("binary")).alias("crc"), F.xxhash64(content).alias("hash")).alias("key"),
-        F.xxhash64(F.col(doc_id).cast("string")).alias("id_hash"), *[F.col(n).cast("string").alias(f"meta{k}") for k, n in enumerate(metadata)],
+        F.xxhash64(F.col(doc_id).cast("string")).alias("id_hash"), *[
+            (_finite(F.col(n).cast("double")) if kind == "double" else F.col(n).cast("string")).alias(f"meta{k}")
+            for k, (n, kind) in enumerate(zip(metadata, kinds))],
     )
     stage = Stage(listed, "shard-rows")
     rows = stage.read()
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    target = total / 2**levels
-    metas = tuple(f"meta{k}" for k in range(len(metadata)))
-    units = _units(rows, target, metas)
+    # Dimensions: the size's logarithm and the metadata, each with the range of its values.
+    dims = [F.log2("size"), *[F.col(f"meta{k}") for k in range(len(metadata))]]
+    total, *ends = rows.agg(F.sum("size"), *[end(d) for d in dims for end in (F.min, F.max)]).first()
+    target = (total or 0) / 2**levels
+    units = _units(rows, target, [_place(d, *ends[2 * k : 2 * k + 2]) for k, d in enumerate(dims)])
     part = F.when(F.col("parts") > 1, F.pmod(F.col("id_hash"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
     # The weight of a part is the sum over its own rows.
     parted = rows.join(units.filter("parts > 1").select("key", "parts"), "key", "left").withColumn(
@@ -78,9 +108,9 @@ def shards(
     parted = parted_stage.read()
     weights = parted.groupBy("key", "part").agg(F.sum("size").alias("weight"))
     nodes = Stage(weights.join(units.drop("parts"), "key").select(
-        "key", "part", "weight", F.xxhash64("key", "part").alias("order"), *[f"c{k}" for k in range(len(metas) + 1)],
+        "key", "part", "weight", F.xxhash64("key", "part").alias("order"), *[f"c{k}" for k in range(len(dims))],
     ), "shard-units")
-    node = cut_nodes(nodes.read(), levels, len(metas) + 1, EVEN_SHARE * target)
+    node = cut_nodes(nodes.read(), levels, len(dims), EVEN_SHARE * target)
     placed = parted.join(nodes.read().select("key", "part", node.alias("shard")), ["key", "part"])
     numbered = with_row_number(
         placed.select("row", "size", "text_crc32", "shard", "id_hash", F.col("key.hash").alias("h")),

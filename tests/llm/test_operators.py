@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import zlib
@@ -386,6 +387,49 @@ def test_shards_are_even_with_a_hot_group(spark):
     assert len(weights) == 8 and max(weights.values()) < 1.06 * mean and min(weights.values()) > 0.94 * mean
 
 
+def test_shards_are_a_tree_of_medians(spark):
+    """Every node is cut along its widest dimension, near the weighted median, by plain recomputation."""
+    deal = random.Random(3)
+    rows = [(k, f"{k} " + "ab " * int(2 ** deal.uniform(0, 9)), f"site-{deal.choice('aabcdxyz')}{deal.randrange(40)}", deal.choice([None, "de", "en", "fr"]),
+             None if k % 50 == 0 else float("nan") if k % 70 == 0 else deal.uniform(-5, 1000)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string, score double")
+    found = {r["row"]["doc_id"]: r for r in sharding.shards(docs, metadata=("source", "lang", "score")).collect()}
+
+    def scaled(values):
+        known = [v for v in values if v is not None]
+        low, high = min(known), max(known)
+        return [0.0 if v is None else (v - low) / (high - low) for v in values]
+
+    def ordered(values):
+        known = [v.encode() for v in values if v is not None]
+        shared = len(os.path.commonprefix(known))
+        return scaled([None if v is None else int.from_bytes(v.encode()[shared:][:6].ljust(6, b"\0"), "big") for v in values])
+
+    sizes = [len(r[1]) + 1 for r in rows]
+    places = list(zip(scaled([math.log2(n) for n in sizes]), ordered([r[2] for r in rows]), ordered([r[3] for r in rows]),
+                      scaled([None if r[4] is None or math.isnan(r[4]) else r[4] for r in rows])))
+    used = set()
+    for level in range(3):
+        for node in range(2**level):
+            sides = [[k for k, r in enumerate(rows) if found[r[0]]["shard"] >> (2 - level) == 2 * node + side] for side in (0, 1)]
+            both = sides[0] + sides[1]
+            widths = [max(places[k][d] for k in both) - min(places[k][d] for k in both) for d in range(4)]
+            apart = [d for d in range(4) if max(places[k][d] for k in sides[0]) <= min(places[k][d] for k in sides[1]) + 2**-22]
+            wide = [d for d in apart if widths[d] >= max(widths) - 2**-20]
+            assert wide, (level, node, widths, apart)
+            used.add(wide[0])
+            weights = [sum(sizes[k] for k in side) for side in sides]
+            assert abs(weights[0] - weights[1]) <= 2 * max(sizes) + 0.01 * sum(weights)
+    assert len(used) > 1
+
+
+def test_shards_with_missing_or_equal_metadata(spark):
+    rows = [(k, f"text {k}", None, "en", None) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, lang string, score double")
+    found = sharding.shards(docs, metadata=("source", "lang", "score")).collect()
+    assert len(found) == 40 and len({r["shard"] for r in found}) == 8
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ b", "<p>x</p>"), (5, None, "<p>x</p>"), (3, "u", "<p>x</p>"), (5, "again", "<p>x</p>"), (2, "v", None),
              (4, "w", ""), (None, "n", "<p>x</p>"), (None, "m", "alone"), (9, "long", "é" * 300_000)]
