@@ -1,6 +1,7 @@
 """Queries with reference SQL, and the pipeline's stages, each judged on its own input."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,30 @@ def test_stages(spark, tmp_path):
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] or 0 for r in last.collect()) == ids[4]
     assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"]
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def written(spark, root, rows, items):
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(root / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(root / "benchmark.parquet"))
+    return corpus_pipeline.run(spark, str(root)).collect()
+
+
+def test_empty_tables(spark, tmp_path):
+    assert written(spark, tmp_path, [], []) == []
+
+
+def test_very_long_texts_and_missing_columns(spark, tmp_path):
+    """Megabytes of text, a copy of it with one word changed, and rows without any value."""
+    deal = random.Random(8)
+    words = ["the" if deal.random() < 0.1 else f"word{deal.randrange(90_000)}" for _ in range(250_000)]
+    long = " ".join(words)
+    passage = " ".join(words[1000:1012])
+    near = long.replace(words[70_001], "changed", 1)
+    rows = [(1, long, None, None, None), (2, near, "en", "s", 1), (None, None, None, None, None), (3, " ".join(words[5:400]), None, "s", 0)]
+    found = written(spark, tmp_path, rows, [(1, passage), (2, None), (3, "")])
+    assert sorted(r["doc_id"] for r in found) == [1, 3]
+    first = next(r for r in found if r["doc_id"] == 1)
+    assert len(first["decoded"]) > 1_500_000 and passage not in first["decoded"] and len(first["ids"]) == 4 * first["n_tokens"]
