@@ -2,7 +2,8 @@
 
 Lines that speak of a licence are compared with every template as sparse TF-IDF vectors; equal lines are compared
 once, but count as often as they occur in the document frequencies. A text has the licence of its best line, if that
-reaches the threshold. A directory has the licence that most of its own licensed files name; a file without one takes
+reaches the threshold; a line names a licence only if it holds the words that tell the licence and its version, and is
+not a denial. A directory has the licence that most of its own licensed files name; a file without one takes
 that of its nearest ancestor directory, found by joining the paths' prefixes.
 
 Defined results: a missing or empty text has no line; a missing path lies in no directory and inherits nothing;
@@ -19,20 +20,31 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import Stage, text_digest, whole_text
 
-# Names of licences and the notices they are known by.
+# Names of licences, the notices they are known by, and words a line must hold to name that one.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", "general public 3"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+                     "provided that the following conditions are met", "redistribution"),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0.", "cc by 3"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by 4"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0.", "cc by 4"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", "cc by 4"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", "cc by 4"),
+    ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0.", "cc by 3"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by 4"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "general public 2"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "general public 3"),
+    ("ISC", "Released under the ISC License.", "isc"),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1.", "general public 2 1"),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3.", "general public 3"),
+    ("MIT", "Released under the MIT License.", "mit"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "permission charge"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2"),
 )
+# Words that a line and its template hold both or neither; no template holds the negations.
+MARKS = ("affero", "lesser", "nc", "nd", "no", "not", "sa")
 SPEAKS = "licen[sc]|copyright|permission is hereby|redistribution and use|source code form"
 WORD = "[a-z0-9]+"
 THRESHOLD = 0.6
@@ -52,11 +64,10 @@ def _weights(words: DataFrame, idf: DataFrame, keys: Sequence[str]) -> DataFrame
     return weighted.join(norms, list(keys))
 
 
-def line_licences(lines: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+def line_licences(lines: DataFrame, templates: Sequence[tuple[str, str, str]], threshold: float) -> DataFrame:
     """``(line, licence)`` of the distinct lines that are near enough to a template; ``lines`` is ``(line, n)``."""
     spark = lines.sparkSession
-    known = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)],
-                                  "template int, licence string, text string")
+    known = spark.createDataFrame([(k, *row) for k, row in enumerate(templates)], "template int, licence string, text string, needs string")
     words = lines.select("line", "n", F.explode(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("word"))
     template_words = known.select(
         "template", "licence", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
@@ -71,13 +82,22 @@ def line_licences(lines: DataFrame, templates: Sequence[tuple[str, str]], thresh
         "template", "licence", "word", F.col("weight").alias("other"), F.col("norm").alias("other_norm"))
     dots = left.join(right, "word").groupBy("line", "template", "licence").agg(
         (F.sum(F.col("weight") * F.col("other")) / (F.max("norm") * F.max("other_norm"))).alias("cosine"))
-    best = dots.groupBy("line").agg(
+    # The line must hold the words that tell this licence and version from others, and no other version's marks.
+    def words_of(text: Column) -> Column:
+        return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+    marks = F.array(*[F.lit(m) for m in MARKS])
+    rules = known.select("template", F.split("needs", " ").alias("needs"), F.array_intersect(marks, words_of(F.col("text"))).alias("marks"))
+    heard = words_of(F.col("line"))
+    agreeing = dots.join(rules, "template").filter(
+        (F.size(F.array_except("needs", heard)) == 0) & (F.array_intersect(marks, heard) == F.col("marks")))
+    best = agreeing.groupBy("line").agg(
         F.min(F.struct((-F.round("cosine", 9)).alias("far"), F.col("licence").alias("licence"))).alias("best"))
     return best.filter(F.col("best.far") <= -threshold).select(
         "line", F.col("best.licence").alias("licence"), F.col("best.far").alias("far"))
 
 
-def own_licences(rows: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+def own_licences(rows: DataFrame, templates: Sequence[tuple[str, str, str]], threshold: float) -> DataFrame:
     """``(digest, licence)`` of texts with a licence line; ``rows`` is ``(digest, lines)``."""
     lines = rows.select("digest", F.explode("lines").alias("line"))
     named = line_licences(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), templates, threshold)
@@ -108,7 +128,7 @@ def inherited(licensed: DataFrame, directories: DataFrame) -> DataFrame:
 
 def scan(
     docs: DataFrame, path: Column, text: str = "text",
-    templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
+    templates: Sequence[tuple[str, str, str]] = TEMPLATES, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``(row, path, own, licence, from_directory)``: the licence a file names, the one that holds, and the directory
     it came from if inherited; ``row`` is the input row without its text."""

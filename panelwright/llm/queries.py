@@ -144,9 +144,9 @@ def document_path() -> Column:
         F.when(depth > 2, F.expr("doc_id div 50")), F.concat("doc_id", F.lit(".txt")))
 
 
-_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}', '{needs}')" for k, (name, text, needs) in enumerate(licenses.TEMPLATES))
 ORACLES["op4_licence_scan"] = rf"""
-WITH templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS t(template, licence, text)),
+WITH templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS t(template, licence, text, needs)),
 files AS (
   SELECT doc_id, concat_ws('/', source, CASE WHEN doc_id % 10 > 0 THEN lang END, CASE WHEN doc_id % 10 > 1 THEN (doc_id // 1000)::VARCHAR END,
                    CASE WHEN doc_id % 10 > 2 THEN (doc_id // 50)::VARCHAR END) AS directory,
@@ -167,10 +167,14 @@ tw AS (SELECT template, licence, word, count(*) * any_value(idf) AS w FROM templ
 ln_ AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY line),
 tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
 dots AS (
-  SELECT line, licence, round(sum(lw.w * tw.w) / (any_value(ln_.norm) * any_value(tn.norm)), 9) AS cosine
+  SELECT line, template, licence, round(sum(lw.w * tw.w) / (any_value(ln_.norm) * any_value(tn.norm)), 9) AS cosine
   FROM lw JOIN tw USING (word) JOIN ln_ USING (line) JOIN tn USING (template) GROUP BY line, template, licence
 ), named AS (
-  SELECT line, licence, cosine FROM dots WHERE cosine >= {licenses.THRESHOLD}
+  SELECT line, licence, cosine FROM (
+    SELECT d.*, string_split(needs, ' ') AS needs, regexp_extract_all(lower(text), '{licenses.WORD}') AS said, regexp_extract_all(line, '{licenses.WORD}') AS heard
+    FROM dots d JOIN (SELECT template, text, needs FROM templates) USING (template))
+  WHERE cosine >= {licenses.THRESHOLD} AND list_has_all(heard, needs)
+    AND len(list_filter({list(licenses.MARKS)!r}, lambda m: list_contains(heard, m) <> list_contains(said, m))) = 0
   QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) = 1
 ), owned AS (
   SELECT doc_id, licence AS own FROM lines JOIN named USING (line)

@@ -1,4 +1,4 @@
-"""Repeated substrings by blockwise suffix sorting with a difference cover.
+"""Repeated substrings by fingerprint grouping, block by block, with the samples of a difference cover as a prefilter.
 
 Bytes are removed that lie in a string of ``length`` bytes which also starts anywhere else. Of any two suffixes, one
 offset below the cover's period puts both on cover positions, so two equal strings share a cover sample of

@@ -516,6 +516,21 @@ def test_warc_faults():
         list(warc.read_records(io.BytesIO(torn)))
 
 
+def test_licences_agree_in_version_and_marks(spark):
+    lines = {
+        "Licensed under CC BY 3.0.": "CC-BY-3.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY 2.0.": None,
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "This work is licensed under the GNU General Public License, version 1.": None,
+        "NOT released under the MIT License.": None, "Released under the MIT License.": "MIT", "Released under the ISC License.": "ISC",
+        "Released under the Other License.": None, "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Licensed under the Apache License, Version 1.1.": None, "Licensed under the Other License, Version 2.0.": None,
+    }
+    docs = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "doc_id int, text string")
+    found = {r["row"]["doc_id"]: r["own"] for r in licenses.scan(docs, F.concat("doc_id", F.lit("/x.txt"))).collect()}
+    assert {line: found[k] for k, line in enumerate(lines)} == lines
+
+
 def test_licences(spark, empty):
     files = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/x.txt", "nothing"), ("a/b/c/y.txt", None), ("d/z.txt", ""),
