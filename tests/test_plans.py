@@ -15,6 +15,7 @@ from panelwright.sources.model_output import (
     read_rankings,
     read_selections,
 )
+from workloads import cells, registry
 
 PV = "Plausible Value 1 in Mathematics"
 SCHOOL, STUDENT = "Intl. School ID", "Intl. Student ID"
@@ -185,3 +186,22 @@ def test_weights_repeat_the_last_one(spark):
 
 def test_context_from_a_path():
     assert context_of_path("/data/STU2015.csv") == "STU2015" and context_of_path("/data/STU2015/") == "STU2015"
+
+
+@pytest.fixture(scope="module")
+def dense_parts(spark, tmp_path_factory):
+    """A part table of many rows in one small file; some rows come twice, some keys are missing."""
+    root = str(tmp_path_factory.mktemp("dense"))
+    rows = spark.range(250_000).select(
+        F.when(F.col("id") % 1000 != 7, F.col("id") % 240_000).alias("p_partkey"), F.lit("name").alias("p_name"),
+        F.concat(F.lit("Brand#"), (F.col("id") % 3).cast("string")).alias("p_brand"), F.lit("ECONOMY").alias("p_type"),
+        (F.col("id") % 50).cast("int").alias("p_size"), F.lit(9.5).alias("p_retailprice"))
+    rows.coalesce(1).write.parquet(f"{root}/part.parquet")
+    return root
+
+
+def test_dense_syntax_texts_are_dealt_over_tasks(spark, dense_parts):
+    texts = cells._syntax_texts(spark, dense_parts)
+    assert texts.rdd.getNumPartitions() == 3 and texts.count() == 250_000
+    small = spark.range(5).coalesce(1)
+    assert registry.spread(small) is small

@@ -23,7 +23,7 @@ from panelwright.sinks.writers import nan_marked
 from panelwright.sources.codebook import Layout, decode_table, parse_codebook
 from panelwright.sources.fixed_width import cut_lines
 from panelwright.sources.tables import preview, rows_of_country
-from workloads.registry import query, table, union_sql
+from workloads.registry import query, spread, table, union_sql
 
 NUMBER_SQL = r"'^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$'"
 
@@ -251,7 +251,7 @@ def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _syntax_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One syntax file per part: three variables, labels, missing codes, value labels."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     lines = [
         F.lit("* header line."),
         F.concat(F.lit('DATA LIST FILE "C:\\data\\part'), F.col("p_partkey").cast("string"), F.lit('.txt"')),
