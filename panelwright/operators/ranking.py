@@ -23,13 +23,14 @@ def mean_rankings(rankings: DataFrame) -> DataFrame:
     """``(result_name, attribute, mean_score, low_id, high_id, files)``.
 
     Scores are divided by the best score of their file; inside a file the last line
-    of an attribute counts. The lines are aggregated to (file, attribute) first: the
-    best scores and the means both start from that shuffle, so the text is parsed once.
+    of an attribute counts. The lines are aggregated to (file, attribute) first and
+    written: the best scores and the means both start from that table, so the text
+    is parsed once.
     """
-    per_file = rankings.groupBy(CONTEXT, "file", "attribute").agg(
+    per_file = written_once(rankings.groupBy(CONTEXT, "file", "attribute").agg(
         F.max_by("score", "line_no").alias("score"), F.max("score").alias("high_score"),
         F.min("number").alias("low"), F.max("number").alias("high"),
-    )
+    ), "file-scores")
     best = per_file.groupBy(CONTEXT, "file").agg(F.max("high_score").alias("best"))
     share = F.coalesce(F.try_divide("score", "best"), F.lit(0.0))
     return per_file.join(best, [CONTEXT, "file"]).groupBy(CONTEXT, "attribute").agg(

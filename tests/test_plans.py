@@ -15,7 +15,7 @@ from panelwright.sources.model_output import (
     read_rankings,
     read_selections,
 )
-from workloads import cells, registry
+from workloads import cells, rankings, registry
 
 PV = "Plausible Value 1 in Mathematics"
 SCHOOL, STUDENT = "Intl. School ID", "Intl. Student ID"
@@ -205,3 +205,13 @@ def test_dense_syntax_texts_are_dealt_over_tasks(spark, dense_parts):
     assert texts.rdd.getNumPartitions() == 3 and texts.count() == 250_000
     small = spark.range(5).coalesce(1)
     assert registry.spread(small) is small
+
+
+def test_dense_ranking_lines_are_dealt_over_tasks_and_parsed_once(spark, dense_parts):
+    assert rankings._ranking_lines(spark, dense_parts).rdd.getNumPartitions() == 3
+    assert rankings._selections(spark, dense_parts).rdd.getNumPartitions() == 3
+    lines = spark.createDataFrame([("c", "c_CORR", "CORR", 1, "2.0 1 a"), ("c", "c_CORR", "CORR", 2, "1.0 2 b")],
+                                  "result_name string, file string, method string, line_no int, line string")
+    means = ranking.mean_rankings(parse_ranking_lines(lines))
+    assert "regexp" not in means._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["attribute"], r["mean_score"]) for r in means.collect()) == [("a", 1.0), ("b", 0.5)]
