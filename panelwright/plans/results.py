@@ -88,7 +88,8 @@ def merge_results(
     top: int = ranking.TOP_N,
 ) -> Results:
     scores = score_attributes(rankings, selections, filters, weights)
-    summary = ranking.summary_table(ranking.top_ranking(scores, top), top)
+    # Written once: its names are looked at here, and its rows are read again.
+    summary = written_once(ranking.summary_table(ranking.top_ranking(scores, top), top), "summary")
     subsets = {
         context: reduce_dataset(dataset, names, (essentials or {}).get(context, ()))
         for context, names in selected_names(summary).items()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.text import WHITESPACE, array_from, strip
+from panelwright.session import written_once
 from panelwright.sources.splits import apply_states, split_lines, split_states, split_summaries
 
 # --- fixed values: formats of the output text ----------------------------------
@@ -112,6 +113,23 @@ def parse_selection_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     return named.select(*keep, "block", "place", "attribute", attribute_id.alias("attribute_id"))
 
 
+def _named_files(spark: SparkSession, folder: str, contexts: Sequence[str], **facts: Column) -> tuple[DataFrame, list[str]]:
+    """``(path, file, contexts, ...)`` of the files that have a context and all ``facts`` of their ``file``, and their paths.
+
+    What a file name says is found once per file; a line only carries the path.
+    """
+    path = F.col("_metadata.file_path")
+    files = spark.read.format("binaryFile").load(folder).select(path.alias("path")).distinct()
+    named = files.withColumn("file", name_of_file(F.col("path"))).select(
+        "path", "file", contexts_of(F.col("file"), contexts).alias("__contexts"), *[c.alias(k) for k, c in facts.items()])
+    known = F.size("__contexts") > 0
+    for fact, kind in named.dtypes[3:]:
+        known = known & (F.size(fact) > 0 if kind.startswith("array") else F.col(fact).isNotNull())
+    wanted = named.filter(known)
+    rows = wanted.collect()
+    return spark.createDataFrame(rows, wanted.schema), [r["path"] for r in rows]
+
+
 def read_rankings(
     spark: SparkSession,
     folder: str,
@@ -124,18 +142,12 @@ def read_rankings(
     The file name conditions prune files before they are opened. ``line_no`` orders
     the lines of a file (start of the split, then place in the split).
     """
-    name = name_of_file(F.col("_metadata.file_path"))
-    lines = (
-        spark.read.text(folder)
-        .filter(ranking_method(name, filters).isNotNull() & (F.size(contexts_of(name, contexts)) > 0))
-        .select(
-            name.alias("file"), ranking_method(name, filters).alias("method"),
-            contexts_of(name, contexts).alias("__contexts"),
-            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_no"),
-            F.col("value").alias("line"),
-        )
-    )
-    scored = parse_ranking_lines(lines, "line", strict_reference)
+    files, paths = _named_files(spark, folder, contexts, method=ranking_method(F.col("file"), filters))
+    path = F.col("_metadata.file_path")
+    lines = spark.read.text(folder).filter(path.isin(paths)).select(
+        path.alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_no"),
+        F.col("value").alias("line"))
+    scored = parse_ranking_lines(lines, "line", strict_reference).join(F.broadcast(files), "path")
     columns = ["file", "method", "line_no", "score", "number", "attribute"]
     return scored.select(F.explode("__contexts").alias("result_name"), *columns)
 
@@ -225,10 +237,11 @@ def selection_rows(lines: DataFrame) -> DataFrame:
     """``(file, block, place, attribute, attribute_id)`` of the lines of selector files, whatever splits they come in.
 
     Blocks and names are numbered over the splits; the ids of a block's first line then meet its names by
-    place, so neither a file nor a block is ever one value.
+    place, so neither a file nor a block is ever one value. The numbered lines are written once, because the ids
+    and the names both start from them.
     """
     scan = SelectionScan()
-    rows = apply_states(lines, scan, split_states(split_summaries(lines, scan), scan))
+    rows = written_once(apply_states(lines, scan, split_states(split_summaries(lines, scan), scan)), "selection-lines")
     ids = rows.filter("place IS NULL").select(
         "file", "block", F.posexplode(F.regexp_extract_all("text", F.lit(r"\d+"), 0)).alias("place", "number"))
     names = rows.filter("place IS NOT NULL")
@@ -247,11 +260,11 @@ def read_selections(
 
     The file name conditions prune files before they are opened; a large file is read by many tasks.
     """
-    name = name_of_file(F.col("file"))
-    wanted = (F.size(selection_indexes(name, filters)) > 0) & (F.size(contexts_of(name, contexts)) > 0)
-    found = selection_rows(split_lines(spark, folder).filter(wanted)).withColumn("file", name)
-    placed = found.withColumn("result_name", F.explode(contexts_of(F.col("file"), contexts)))
-    indexed = placed.withColumn("filter_idx", F.explode(selection_indexes(F.col("file"), filters)))
+    files, paths = _named_files(spark, folder, contexts, __indexes=selection_indexes(F.col("file"), filters))
+    found = selection_rows(split_lines(spark, folder).filter(F.col("file").isin(paths)))
+    named = found.withColumnRenamed("file", "path").join(F.broadcast(files), "path")
+    placed = named.withColumn("result_name", F.explode("__contexts"))
+    indexed = placed.withColumn("filter_idx", F.explode("__indexes"))
     filter_name = F.get(F.array(*[F.lit(f) for f in filters]), F.col("filter_idx"))
     return indexed.select(
         "result_name", "file", filter_name.alias("filter"), "filter_idx", "block", "place", "attribute", "attribute_id"

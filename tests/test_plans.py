@@ -215,3 +215,20 @@ def test_dense_ranking_lines_are_dealt_over_tasks_and_parsed_once(spark, dense_p
     means = ranking.mean_rankings(parse_ranking_lines(lines))
     assert "regexp" not in means._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["attribute"], r["mean_score"]) for r in means.collect()) == [("a", 1.0), ("b", 0.5)]
+
+
+def test_file_names_are_read_once_per_file(spark, tmp_path):
+    """Odd characters in names, files of several contexts; a line carries its path only and is walked once."""
+    (tmp_path / "A#1+B 2%_CORR.txt").write_text("2.0 1 a\n1.0 2 b\n")
+    (tmp_path / "other_CORR.txt").write_text("9.0 1 z\n")
+    (tmp_path / "A#1_wrapper_subset.txt").write_text("Selected attributes: 4 : 1\n  a\n")
+    scored = read_rankings(spark, str(tmp_path), ["a#1", "B 2", "none"])
+    assert sorted((r["result_name"], r["file"], r["method"], r["score"]) for r in scored.collect()) == sorted(
+        (c, "A#1+B 2%_CORR.txt", "CORR", x) for c in ("a#1", "B 2") for x in (1.0, 2.0))
+    chosen = read_selections(spark, str(tmp_path), ["A#1"])
+    assert sorted((r["file"], r["filter"], r["attribute"], r["attribute_id"]) for r in chosen.collect()) == [
+        ("A#1_wrapper_subset.txt", kind, "a", 4) for kind in ("subset", "wrapper")]
+    for df in (scored, chosen):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "url_decode" not in plan.lower() and "UrlCodec" not in plan and "MapInArrow" not in plan
+    assert read_rankings(spark, str(tmp_path), ["none"]).count() == 0 == read_selections(spark, str(tmp_path), ["none"]).count()

@@ -22,7 +22,7 @@ from panelwright.sources.quoted_csv import parsed_records, quoted_records
 from panelwright.sources.tables import column_list, read_csv, read_csv_folder
 from workloads.cells import _customer_lines
 from workloads.rankings import FILTERS, METHODS, SCORES_SQL, _ranking_lines
-from workloads.registry import named_files, query, table, union_sql
+from workloads.registry import named_files, query, spread, table, union_sql
 from workloads.tables import SCHOOL, SCORE, STUDENT, _survey_lines, level_sql
 
 TABLES = ("supplier", "part")
@@ -242,7 +242,7 @@ def process_result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("\r\n   attr "), (F.col("p_partkey") + 1).cast("string"))).otherwise(""),
         F.lit("\n\n not a name\n"))
     kind = F.when(F.col("p_size") > 25, "Wrapper").otherwise("subset")
-    selected = part.select(F.concat("p_brand", F.lit("_"), kind, F.lit(".txt")).alias("file"), block.alias("value"))
+    selected = spread(part).select(F.concat("p_brand", F.lit("_"), kind, F.lit(".txt")).alias("file"), block.alias("value"))
     ranked = _ranking_lines(spark, sf_dir).select("file", F.col("line").alias("value"))
     # A ranker's scores are set against the best of their file, so a file is written by one task, and all files side by side.
     ranked.unionByName(selected).repartition("file").write.partitionBy("file").text(lines)
