@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import Stage, binary_buffers, row_pieces, shuffle_cleanup, text_digest, whole_text
+from panelwright.llm.common import Stage, binary_buffers, give_back, row_pieces, shuffle_cleanup, text_digest, whole_text
 
 LENGTH = 400
 PIECE_BYTES, PIECE_ROWS = 8 << 20, 65_000
+# Every byte of a piece may start an open suffix, which takes some ninety bytes of a task while the piece is packed.
+OPEN_BYTES = 2 << 20
 # Samples or suffixes of one bucket, and of one block.
 BUCKET_ROWS = 2_000_000
 # Bits of a text's number inside the partition that gave it.
@@ -90,9 +92,9 @@ def cover_samples(n: int, width: int, period: int, members: tuple[int, ...]) ->
     return places[places <= n - width]
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Pieces of bounded bytes whose numbers, counted from the first, need two bytes."""
-    for batch in row_pieces(batches, column, PIECE_BYTES):
+    for batch in row_pieces(batches, column, most_bytes):
         numbers = batch.column(0).to_numpy()
         start = 0
         while start < len(numbers):
@@ -165,6 +167,7 @@ def tied(table: pa.Table) -> pa.Table:
             out.append((r["piece"], np.frombuffer(r["texts"], "<u2")[keep].tobytes(),
                         np.frombuffer(r["places"], "<u4")[keep].tobytes()))
     columns = list(zip(*out)) or [[], [], []]
+    give_back()
     return pa.table({"piece": pa.array(columns[0], pa.int64()), "texts": pa.array(columns[1], pa.binary()),
                      "places": pa.array(columns[2], pa.binary())})
 
@@ -227,7 +230,8 @@ def suffix_entries(open_texts: DataFrame, length: int, n_buckets: int, block: in
     period, _ = difference_cover(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, 1):
+        for batch in pieces_of(batches, 1, OPEN_BYTES):
+            give_back()
             data, offsets = binary_buffers(batch.column(1))
             where = [open_suffixes(int(n), np.frombuffer(m, "<u4").astype(np.int64), length, period)
                      for n, m in zip(np.diff(offsets), batch.column(2).to_pylist())]

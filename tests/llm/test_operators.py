@@ -12,6 +12,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -301,6 +302,23 @@ def test_links_are_whole(spark, blocks, members):
     assert {v: find_mine(v) for v in values} == {v: find(v) for v in values}
 
 
+def test_open_suffixes_are_packed_in_bounded_pieces(spark, monkeypatch):
+    """Near copies open every suffix: a task packs few bytes of them at once, and a passage spans the pieces."""
+    body = bytes(random.Random(8).choices(range(97, 123), k=3000)).decode()
+    rows = [(k, f"{k:05d}{body}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    asked = []
+    pieces = repeats.pieces_of
+    assert repeats.OPEN_BYTES < repeats.PIECE_BYTES
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([b"x" * 10_000] * 1000)], names=["no", "text"])
+    for piece in pieces(iter([batch]), 1, repeats.OPEN_BYTES):
+        asked.append(piece.num_rows)
+    assert sum(asked) == 1000 and max(asked) * 10_000 <= repeats.OPEN_BYTES
+    monkeypatch.setattr(repeats, "OPEN_BYTES", 10_000)
+    found = repeats.removals(docs).collect()
+    assert {(r["n_removed"], r["n_spans"]) for r in found} <= {(3000, 1), (3001, 1), (3002, 1), (3003, 1), (3004, 1)} and len(found) == 40
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
     found = simhash.components(spark.range(61).selectExpr("id AS fp"), edges).collect()
