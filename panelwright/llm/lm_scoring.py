@@ -367,11 +367,13 @@ def context_tables(parts: DataFrame, tasks: int) -> np.ndarray:
         salted = slots.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(tasks)))
         slots = Stage(salted.select("key", "a", "b", "salt").groupBy("key", "salt").applyInArrow(
             _partly, "key bigint, a binary, b binary"), "lm-slots").read()
-    done = slots.groupBy("key").applyInArrow(_finally, "key bigint, odds binary")
+    # Written before it is iterated: an iterator's query counts as ended, and its shuffle is cleaned, before its jobs run.
+    done = Stage(slots.groupBy("key").applyInArrow(_finally, "key bigint, odds binary"), "lm-tables")
     tables = np.zeros((len(ORDERS), 1 << SLOT_BITS), np.int16)
-    for r in done.toLocalIterator():
+    for r in done.read().toLocalIterator():
         part = r["key"] & 0xFFFF
         tables[r["key"] >> 16, part << RANGE_BITS : (part + 1) << RANGE_BITS] = np.frombuffer(r["odds"], "<i2")
+    done.drop()
     return tables
 
 

@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import io
+import itertools
 import math
 import os
 import random
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from panelwright.llm import bpe, decontamination, licenses, lm_scoring, quality, repeats, secrets, sharding, simhash, warc
+from panelwright.llm.common import shuffle_cleanup
 from panelwright.llm.queries import word_vocabulary
 
 WORDS = "the and of élan que der lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod".split()
@@ -436,6 +438,23 @@ def test_slots_are_summed_in_rounds(spark):
     assert (odds[1, : 2 << lm_scoring.RANGE_BITS] == lm_scoring.log_odds(part)).all() and not odds[0].any()
 
 
+def test_no_shuffle_is_iterated_after_its_query_has_ended(spark, monkeypatch):
+    """The query of a local iterator ends, and its shuffles may be cleaned, before the jobs of the iterator run."""
+    kind, plans = type(spark.range(1)), []
+    iterate = kind.toLocalIterator
+
+    def watched(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return iterate(df, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "toLocalIterator", watched)
+    table = np.arange(2 << lm_scoring.SLOT_BITS, dtype=np.uint32) % 5
+    rows = [("slots", key, 0, a, b, None) for key, a, b in itertools.islice(lm_scoring.used_slots(1, table), 3)]
+    with shuffle_cleanup(spark):
+        odds = lm_scoring.context_tables(spark.createDataFrame(rows, lm_scoring.PARTS), 3)
+    assert odds[1].any() and not any("Exchange" in plan for plan in plans)
+
+
 def test_shards(docs, empty, texts, spark):
     rows = sharding.shards(docs).collect()
     assert len(rows) == len(texts) and {r["shard"] for r in rows} <= set(range(8))
