@@ -4,8 +4,8 @@ A text is its lower-case bytes and an end symbol; a byte is a walk down a fixed
 predictor has a context (the last byte, the last two or four, or the word so far) and counts the zeros and ones seen
 at each node there in the training texts. Every predictor gives the log odds of a one; gates, open where a long context
 is known, add their own weights to those that mix them. Inside a text the weights are refined online:
-after every run of bits they move along the gradient of the coding cost, so a text's score depends on the counts and
-on the text alone, not on how texts are dealt to tasks.
+after every bit they move along the gradient of its coding cost, so a text's score depends on the counts and
+on the text alone, not on how texts are dealt to tasks. The texts of a chunk are walked side by side, bit by bit.
 
 Distinct texts are dealt to chunks by digest. One- and two-byte contexts have a bounded number of nodes, so each node
 has a slot of its own in a table that is broadcast. Four-byte and word contexts grow with the corpus and are never
@@ -44,11 +44,13 @@ ORDERS = ("one", "two")
 LONG_ORDERS = ("four", "word")
 # Weights at a text's start, and what an open gate (four bytes known, word known) adds.
 FIRST_WEIGHTS = ((0.2, 0.4, 0.4, 0.4), (0.0, -0.2, 0.1, 0.0), (0.0, -0.1, 0.0, 0.1))
-RATE = 1.0
+RATE = 0.08
 MOST = 14.0  # log odds of a bit
 PRIOR = 0.4
 SCALE = 256  # of log odds in the tables
-RUNS = (1024, 2048, 4096, 8192)
+RUNS = (1,)  # bits after which the weights move
+# Texts that are walked side by side, their bits, and the bits that they go on together.
+SIDE_TEXTS, SIDE_BITS, STEPS = 256, 3 << 20, 128
 PIECE_BYTES = 1 << 16
 # Bytes of text whose distinct contexts are asked for together.
 CHUNK_BYTES = 16 << 20
@@ -377,36 +379,80 @@ def context_tables(parts: DataFrame, tasks: int) -> np.ndarray:
     return tables
 
 
-def mixed_score(sign: np.ndarray, odds: np.ndarray, gates: np.ndarray) -> float:
-    """The log2 probability of one text's bits; the gated weights move after every run of bits.
+def mixed_scores(texts: Iterator[np.ndarray], scale: float) -> list[float]:
+    """The log2 probabilities of texts in their order; the weights of a text move after every bit.
 
-    The weights of a bit are the first row, plus the rows of the gates that are open there.
+    A text is (predictor, bit), the log odds of what came; the gate of a long context is open where they are not zero.
+    The weights of a bit are the first row, plus the rows of the gates that are open there. Texts are walked side by side
+    and never touch each other; when one has ended, the next takes its place.
     """
-    weights = np.array(FIRST_WEIGHTS, np.float32)
-    total, at, run = 0.0, 0, 0
-    n = len(sign)
-    while at < n:
-        size = RUNS[min(run, len(RUNS) - 1)]
-        x, s, g = odds[:, at : at + size], sign[at : at + size], gates[:, at : at + size]
-        dot = weights @ x
-        z = dot[0]
-        z += dot[1] * g[0]
-        z += dot[2] * g[1]
-        # The probability of what came; its cost and the step of the weights follow from it.
-        z *= -s
-        np.clip(z, -MOST, MOST, out=z)
-        np.exp(z, out=z)
-        z += 1
-        total -= float(np.log2(z).sum(dtype=np.float64))
-        error = np.empty((3, len(s)), np.float32)
-        np.divide(-1.0, z, out=error[0])
-        error[0] += 1
-        error[0] *= s
-        np.multiply(error[0], g, out=error[1:])
-        weights += RATE / (len(s) + 256) * (error @ x.T)
-        np.clip(weights, -0.5, 2.0, out=weights)
-        at, run = at + size, run + 1
-    return total
+    # Half the log odds give a chance by the hyperbolic tangent. The terms are scaled by the root of the step, the
+    # weights by its inverse, so that what a term adds to its weight is the term times the chance of a miss.
+    root = math.sqrt(RATE / (RUNS[-1] + 256) / 4)
+    first = (np.array(FIRST_WEIGHTS).reshape(-1, 1) / (2 * root)).astype(np.float32)
+    n_odds, n_rows = len(FIRST_WEIGHTS[0]), len(first)
+    low, high, one = np.float32(-0.25 / root), np.float32(1.0 / root), np.float32(1)
+    found: list[float] = []
+    side: list[tuple[int, np.ndarray]] = []
+    at, weights = np.empty(0, np.int64), np.empty((n_rows, 0), np.float32)
+    coming = next(texts, None)
+    while side or coming is not None:
+        held = sum(bits.shape[1] for _, bits in side)
+        n_before = len(side)
+        while coming is not None and len(side) < SIDE_TEXTS and (not side or held + coming.shape[1] <= SIDE_BITS):
+            side.append((len(found), coming))
+            found.append(0.0)
+            held += coming.shape[1]
+            coming = next(texts, None)
+        at = np.append(at, np.zeros(len(side) - n_before, np.int64))
+        left = np.array([bits.shape[1] for _, bits in side]) - at
+        steps = min(STEPS, int(left.max()))
+        # One text alone gets an empty lane beside it: sums are then taken in the same order in any company.
+        n = max(len(side), 2)
+        weights = np.concatenate([weights[:, :n_before], np.repeat(first, n - n_before, axis=1)], axis=1)
+        rows = np.zeros((n_odds, n, steps), side[0][1].dtype)
+        for k, (start, (_, bits)) in enumerate(zip(at.tolist(), side)):
+            part = bits[:, start : start + steps]
+            rows[:, k, : part.shape[1]] = part
+        rows = np.ascontiguousarray(rows.transpose(2, 0, 1))
+        terms = np.empty((steps, len(FIRST_WEIGHTS), n_odds, n), np.float32)
+        np.multiply(rows, np.float32(scale * root), out=terms[:, 0])
+        for k in range(1, len(FIRST_WEIGHTS)):
+            np.multiply(terms[:, 0], rows[:, None, len(ORDERS) + k - 1] != 0, out=terms[:, k])
+        # No weight moves further than this, so most blocks stay clear of the bounds.
+        reach = 2 * steps * max(float(terms[:, 0].max()), -float(terms[:, 0].min()))
+        terms = terms.reshape(steps, n_rows, n)
+        bounded = float(weights.min()) - reach < low or float(weights.max()) + reach > high
+        sums, miss, step = np.empty((steps, n), np.float32), np.empty(n, np.float32), np.empty((n_rows, n), np.float32)
+        for term, z in zip(terms, sums):
+            np.multiply(weights, term, out=step)
+            np.add.reduce(step, axis=0, out=z)
+            np.tanh(z, out=miss)
+            np.subtract(one, miss, out=miss)
+            np.multiply(term, miss, out=step)
+            np.add(weights, step, out=weights)
+            if bounded:
+                np.minimum(weights, high, out=weights)
+                np.maximum(weights, low, out=weights)
+        sums *= -2
+        np.clip(sums, -MOST, MOST, out=sums)
+        np.exp(sums, out=sums)
+        sums += one
+        # A bit behind the end costs one.
+        cost = np.log2(sums).sum(axis=0, dtype=np.float64)[: len(side)] - np.maximum(steps - left, 0)
+        for (number, _), bits in zip(side, cost.tolist()):
+            found[number] -= bits
+        at += steps
+        stay = np.flatnonzero(left > steps)
+        if len(stay) < len(side):
+            side, at, weights = [side[k] for k in stay], at[stay], weights[:, stay]
+    return found
+
+
+def mixed_score(sign: np.ndarray, odds: np.ndarray, gates: np.ndarray) -> float:
+    """The log2 probability of one text's bits; behind a closed gate the log odds are zero."""
+    odds = np.concatenate([odds[: len(ORDERS)], odds[len(ORDERS) :] * gates])
+    return mixed_scores(iter([odds * sign]), 1.0)[0]
 
 
 def pair_odds(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -452,7 +498,7 @@ class LongOdds:
     def __init__(self, keys: np.ndarray, odds: np.ndarray):
         self.keys, self.odds = keys, odds
         n = code_table()[0][(keys & np.uint64(0xFF)).astype(np.uint8)]
-        self.first = np.cumsum(n) - n
+        self.first = (np.cumsum(n) - n).astype(np.uint32 if len(odds) < 1 << 32 else np.int64)
 
     def begins(self, keys: np.ndarray) -> np.ndarray:
         coded = pa.array(keys).dictionary_encode()
@@ -463,40 +509,54 @@ class LongOdds:
         return begins.take(coded.indices.to_numpy())
 
 
-def scores(joined: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray], known: LongOdds) -> list[float]:
-    """log10 probabilities of the texts: their long contexts are looked up together, their bits mixed piece by piece."""
-    symbols, short, long, starts = contexts(joined, offsets)
-    begins = [known.begins(keys) for keys in long]
-    edges = np.append(starts, len(symbols))
-    found: list[float] = []
-    while len(found) < len(starts):
-        first = len(found)
-        last = max(int(np.searchsorted(edges, edges[first] + PIECE_BYTES, side="right")) - 1, first + 1)
-        a, b = edges[first], edges[last]
-        found += _piece_scores(
-            symbols[a:b], [c[a:b] for c in short], [c[a:b] for c in begins], edges[first : last + 1] - a, tables, known)
-    return found
-
-
-def _piece_scores(
-    symbols: np.ndarray, short: list[np.ndarray], begins: list[np.ndarray], edges: np.ndarray, tables: list[np.ndarray], known: LongOdds
-) -> list[float]:
+def scores(texts: pa.RecordBatch, tables: list[np.ndarray], known: LongOdds) -> np.ndarray:
+    """log10 probabilities of the texts of the first column."""
+    sizes = pa.compute.binary_length(texts.column(0)).to_numpy() + 1
+    # Texts come in any order, but for the long ones, which begin early enough not to be walked alone at the end.
+    most = max(int(sizes.max()), int(sizes.sum()) // SIDE_TEXTS)
+    order = np.argsort(np.arange(len(sizes)) * (1 - sizes / most), kind="stable")
+    found = np.empty(len(sizes))
+    found[order] = mixed_scores(_text_bits(texts, order, tables, known), 1.0 / SCALE)
+    return found * math.log10(2)
+
+
+def _text_bits(texts: pa.RecordBatch, order: np.ndarray, tables: list[np.ndarray], known: LongOdds) -> Iterator[np.ndarray]:
+    """Log odds of what came in each text, as :func:`mixed_scores` takes them: long contexts are looked up together, log
+    odds are found piece by piece."""
+    taken = (texts.take(pa.array(order[k : k + SIDE_TEXTS])) for k in range(0, len(order), SIDE_TEXTS))
+    for part in row_pieces(taken, 0, COUNT_PIECE_BYTES // 2):
+        symbols, short, long, starts = contexts(*binary_buffers(part.column(0)))
+        begins = [known.begins(keys) for keys in long]
+        # The texts' bits outlive what they were found with, which would stay as holes between them.
+        del long
+        give_back()
+        edges = np.append(starts, len(symbols))
+        first = 0
+        while first < len(starts):
+            last = max(int(np.searchsorted(edges, edges[first] + PIECE_BYTES, side="right")) - 1, first + 1)
+            a, b = edges[first], edges[last]
+            odds, bounds = _piece_odds(symbols[a:b], [c[a:b] for c in short], [c[a:b] for c in begins], tables, known)
+            ends = bounds[edges[first : last + 1] - a]
+            for a, b in zip(ends, ends[1:]):
+                yield odds[:, a:b].copy()
+            first = last
+
+
+def _piece_odds(
+    symbols: np.ndarray, short: list[np.ndarray], begins: list[np.ndarray], tables: list[np.ndarray], known: LongOdds
+) -> tuple[np.ndarray, np.ndarray]:
+    """Every predictor's log odds of the bits that came, and where each symbol's bits begin."""
     _, nodes, bits = code_table()
     counts, bounds, at = walks_of(symbols)
     node = nodes.take(at)
-    odds = np.empty((len(ORDERS) + len(LONG_ORDERS), len(at)), np.float32)
+    odds = np.empty((len(ORDERS) + len(LONG_ORDERS), len(at)), np.int16)
     for k, context in enumerate(short):
         odds[k] = tables[k].take((np.repeat(context << np.uint32(8), counts) | node).astype(np.intp))
     steps = np.arange(bounds[-1])
     for k, begin in enumerate(begins, len(ORDERS)):
         odds[k] = known.odds.take(np.repeat(begin - bounds[:-1], counts) + steps)
-    gates = (odds[len(ORDERS) :] != 0).astype(np.float32)
-    odds *= np.float32(1.0 / SCALE)
-    sign = bits.take(at).astype(np.float32)
-    sign *= 2
-    sign -= 1
-    ends = bounds[edges]
-    return [math.log10(2) * mixed_score(sign[a:b], odds[:, a:b], gates[:, a:b]) for a, b in zip(ends, ends[1:])]
+    odds *= bits.take(at).astype(np.int16) * 2 - 1
+    return odds, bounds
 
 
 def _scored(texts: DataFrame, tables: np.ndarray, odds: DataFrame) -> DataFrame:
@@ -507,11 +567,14 @@ def _scored(texts: DataFrame, tables: np.ndarray, odds: DataFrame) -> DataFrame:
         batch = rows.combine_chunks().to_batches()[0]
         # The chunk asked for its pairs in order, bucket by bucket.
         parts = sorted(zip(*(back.column(name).to_pylist() for name in ("bucket", "n", "odds"))))
-        odds = np.concatenate([_unpacked(packed, n, "<i2") for _, n, packed in parts])
+        odds, at = np.empty(sum(n for _, n, _ in parts), np.int16), 0
+        for _, n, part in parts:
+            odds[at : at + n] = _unpacked(part, n, "<i2")
+            at += n
         known = LongOdds(long_keys(batch), odds)
-        found = []
-        for part in row_pieces(iter([batch]), 0, COUNT_PIECE_BYTES):
-            found += scores(*binary_buffers(part.column(0)), packed.value, known)
+        del parts, part, back
+        give_back()
+        found = scores(batch, packed.value, known)
         give_back()
         return pa.table({"digest": rows.column("digest"), "score": pa.array(found, pa.float64())})
 

@@ -375,6 +375,28 @@ def test_mixing_equals_plain_arithmetic():
     assert abs(found - total) < 1e-4 * abs(total)
 
 
+def test_weights_move_after_every_bit():
+    """Predictors that are right are trusted more from bit to bit, from the first one on."""
+    n = 40
+    sign, odds, gates = np.ones(n, np.float32), np.full((4, n), 1.5, np.float32), np.ones((2, n), np.float32)
+    scores = [0.0, *(lm_scoring.mixed_score(sign[:k], odds[:, :k], gates[:, :k]) for k in range(1, n + 1))]
+    costs = [a - b for a, b in zip(scores, scores[1:])]
+    assert all(a > b for a, b in zip(costs, costs[1:]))
+
+
+def test_texts_side_by_side_score_as_alone(monkeypatch):
+    deal = np.random.default_rng(8)
+    texts = []
+    for n in (3000, 1, 700, 129, 128, 2500, 40, 41, 1300):
+        texts.append(deal.integers(-1200, 1200, (4, n)).astype(np.int16) * deal.integers(0, 2, (4, n)).astype(np.int16))
+    alone = [lm_scoring.mixed_scores(iter([t]), 1 / 256)[0] for t in texts]
+    assert lm_scoring.mixed_scores(iter(texts), 1 / 256) == pytest.approx(alone, abs=1e-9)
+    monkeypatch.setattr(lm_scoring, "SIDE_TEXTS", 3)
+    monkeypatch.setattr(lm_scoring, "SIDE_BITS", 4000)
+    assert lm_scoring.mixed_scores(iter(texts), 1 / 256) == pytest.approx(alone, abs=1e-9)
+    assert lm_scoring.mixed_scores(iter([]), 1 / 256) == []
+
+
 def test_model_learns_and_scores_alike_in_any_company(spark):
     """Held-out prose costs less than scrambled bytes and less than without training; neighbours do not matter."""
     rows = [(k, prose(k, 200)) for k in range(60)]
