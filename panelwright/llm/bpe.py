@@ -29,7 +29,7 @@ from panelwright.llm.common import give_back, row_pieces
 
 # Word forms a task remembers before it starts anew, and bytes of text it codes at once; bounds on memory only.
 REMEMBERED_FORMS = 100_000
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 # Forms of these letters are the same in NFC, have lower case by the letter, and hold no white space.
 LATIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
 # Byte-level vocabularies spell a byte by its own Latin-1 letter if that can be printed, else by one from 256 on.
@@ -238,7 +238,9 @@ def merged(vocabulary: Vocabulary, words: Sequence[str]) -> tuple[np.ndarray, np
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    found = Vocabulary(path)
+    give_back()  # reading the file takes twice the room of what is kept
+    return found
 
 
 def _mapped(df: DataFrame, source: str, targets: dict[str, tuple[T.DataType, pa.DataType]], change) -> DataFrame:
@@ -249,11 +251,14 @@ def _mapped(df: DataFrame, source: str, targets: dict[str, tuple[T.DataType, pa.
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(source).alias("__source"))
     arrow = [kind for _, kind in targets.values()]
 
+    def changed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = change(batch.column(len(kept)).to_pylist())
+        columns = [*batch.columns[:-1], *(pa.array(x, kind) for x, kind in zip(made, arrow))]
+        return pa.RecordBatch.from_arrays(columns, names=[*kept, *targets])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_pieces(batches, len(kept), PIECE_BYTES):
-            made = change(batch.column(len(kept)).to_pylist())
-            columns = [*batch.columns[:-1], *(pa.array(x, kind) for x, kind in zip(made, arrow))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *targets])
+        # No batch is held here any more when memory is given back.
+        yield from map(changed, row_pieces(batches, len(kept), PIECE_BYTES))
         give_back()
 
     return rows.mapInArrow(run, schema)

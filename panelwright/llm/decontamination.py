@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -271,15 +272,17 @@ def _pass(rows: DataFrame, block: list[tuple[str, bytes]], window: int) -> DataF
     packed = rows.sparkSession.sparkContext.broadcast(pickle.dumps(phrases_of(block, window)))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def added(batch: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
+        joined, offsets = binary_buffers(batch.column(1))
+        n_words, n_hit, spans, items = _shard_rows(
+            joined, offsets, phrases, batch.column("spans").to_pylist(), batch.column("items").to_pylist())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
+             pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = pickle.loads(packed.value)
-        for batch in row_pieces(batches, 1, SHARD_BYTES):
-            joined, offsets = binary_buffers(batch.column(1))
-            n_words, n_hit, spans, items = _shard_rows(
-                joined, offsets, phrases, batch.column("spans").to_pylist(), batch.column("items").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                 pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
+        # No batch is held here any more when memory is given back.
+        yield from map(partial(added, phrases=pickle.loads(packed.value)), row_pieces(batches, 1, SHARD_BYTES))
         give_back()
 
     return rows.mapInArrow(run, rows.schema)

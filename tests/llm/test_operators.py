@@ -11,12 +11,14 @@ import os
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.llm import bpe, decontamination, licenses, lm_scoring, quality, repeats, secrets, sharding, simhash, warc
 from panelwright.llm.common import shuffle_cleanup
@@ -100,6 +102,29 @@ def test_bpe(docs, empty, texts):
     assert bpe.encode(empty, path).columns == [*docs.columns, "ids"] and bpe.encode(empty, path).count() == 0
 
 
+def test_no_batch_is_held_when_memory_is_given_back(monkeypatch):
+    """Spark keeps a task's process, so what a task holds at its end stays beside the tasks that follow."""
+    class Rows:  # stands for a DataFrame: its task is run here
+        columns = ["doc_id"]
+
+        def select(self, *columns):
+            return SimpleNamespace(schema=T.StructType([T.StructField("doc_id", T.LongType())]),
+                                   mapInArrow=lambda run, schema: run)
+
+    monkeypatch.setattr(bpe.F, "col", lambda name: SimpleNamespace(alias=lambda other: None))
+    left = []
+    monkeypatch.setattr(bpe, "give_back", lambda: left.append(pa.total_allocated_bytes()))
+    run = bpe._mapped(Rows(), "text", {"ids": bpe.BINARY}, lambda texts: [[b"" for _ in texts]])
+    before = pa.total_allocated_bytes()
+
+    def batches():
+        for k in range(3):
+            yield pa.record_batch([pa.array([k] * 1000), pa.array(["x" * 4000] * 1000)], names=["doc_id", "__source"])
+
+    assert sum(b.num_rows for b in run(batches())) == 3000 and left
+    assert left[-1] - before < 1 << 20
+
+
 def test_bpe_takes_overlapping_pairs_from_the_left():
     vocabulary = bpe.vocabulary(word_vocabulary())
     from tokenizers import Tokenizer
