@@ -7,7 +7,7 @@ is known, add their own weights to those that mix them. Inside a text the weight
 after every bit they move along the gradient of its coding cost, so a text's score depends on the counts and
 on the text alone, not on how texts are dealt to tasks. The texts of a chunk are walked side by side, bit by bit.
 
-Distinct texts are dealt to chunks by digest. One- and two-byte contexts have a bounded number of nodes, so each node
+Distinct texts are dealt to chunks by length class and digest. One- and two-byte contexts have a bounded number of nodes, so each node
 has a slot of its own in a table that is broadcast. Four-byte and word contexts grow with the corpus and are never
 broadcast: every chunk sends its distinct (context, symbol) pairs with their training counts to buckets by context,
 where they are summed, and the log odds of each pair's walk go back to the chunks that asked. Words of the base score
@@ -49,11 +49,12 @@ MOST = 14.0  # log odds of a bit
 PRIOR = 0.4
 SCALE = 256  # of log odds in the tables
 RUNS = (1,)  # bits after which the weights move
-# Texts that are walked side by side, their bits, and the bits that they go on together.
-SIDE_TEXTS, SIDE_BITS, STEPS = 256, 3 << 20, 128
-PIECE_BYTES = 1 << 16
-# Bytes of text whose distinct contexts are asked for together.
+# Texts that are walked side by side, their bits or symbols, and the bits that they go on together.
+SIDE_TEXTS, SIDE_BITS, STEPS = 1024, 3 << 20, 64
+HELD_TERMS = 1 << 13
+# Bytes of text whose distinct contexts are asked for together, and sizes from which texts are kept apart in chunks.
 CHUNK_BYTES = 16 << 20
+SIZE_EDGES = tuple(1 << k for k in range(14, 31, 2))
 COUNT_PIECE_BYTES = 1 << 19
 HELD_PAIRS = 1 << 20
 WORD_PIECE_BYTES = 4 << 20
@@ -93,6 +94,12 @@ def code_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, nodes, np.array([bit for _, bit in steps], np.uint32)
 
 
+@lru_cache(maxsize=1)
+def _wide_code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths, nodes, bits = code_table()
+    return lengths, nodes.astype(np.intp), bits
+
+
 def _mixed(row: np.ndarray) -> np.ndarray:
     row = (row ^ (row >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     row = (row ^ (row >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -379,73 +386,109 @@ def context_tables(parts: DataFrame, tasks: int) -> np.ndarray:
     return tables
 
 
-def mixed_scores(texts: Iterator[np.ndarray], scale: float) -> list[float]:
-    """The log2 probabilities of texts in their order; the weights of a text move after every bit.
-
-    A text is (predictor, bit), the log odds of what came; the gate of a long context is open where they are not zero.
-    The weights of a bit are the first row, plus the rows of the gates that are open there. Texts are walked side by side
-    and never touch each other; when one has ended, the next takes its place.
-    """
+def moved(rows: np.ndarray, weights: np.ndarray, scale: float) -> np.ndarray:
+    """The bits that each lane's next (step, lane, predictor) log odds cost; its weights move after every bit."""
     # Half the log odds give a chance by the hyperbolic tangent. The terms are scaled by the root of the step, the
     # weights by its inverse, so that what a term adds to its weight is the term times the chance of a miss.
-    root = math.sqrt(RATE / (RUNS[-1] + 256) / 4)
-    first = (np.array(FIRST_WEIGHTS).reshape(-1, 1) / (2 * root)).astype(np.float32)
-    n_odds, n_rows = len(FIRST_WEIGHTS[0]), len(first)
-    low, high, one = np.float32(-0.25 / root), np.float32(1.0 / root), np.float32(1)
-    found: list[float] = []
-    side: list[tuple[int, np.ndarray]] = []
-    at, weights = np.empty(0, np.int64), np.empty((n_rows, 0), np.float32)
-    coming = next(texts, None)
-    while side or coming is not None:
-        held = sum(bits.shape[1] for _, bits in side)
-        n_before = len(side)
-        while coming is not None and len(side) < SIDE_TEXTS and (not side or held + coming.shape[1] <= SIDE_BITS):
-            side.append((len(found), coming))
-            found.append(0.0)
-            held += coming.shape[1]
-            coming = next(texts, None)
-        at = np.append(at, np.zeros(len(side) - n_before, np.int64))
-        left = np.array([bits.shape[1] for _, bits in side]) - at
-        steps = min(STEPS, int(left.max()))
-        # One text alone gets an empty lane beside it: sums are then taken in the same order in any company.
-        n = max(len(side), 2)
-        weights = np.concatenate([weights[:, :n_before], np.repeat(first, n - n_before, axis=1)], axis=1)
-        rows = np.zeros((n_odds, n, steps), side[0][1].dtype)
-        for k, (start, (_, bits)) in enumerate(zip(at.tolist(), side)):
-            part = bits[:, start : start + steps]
-            rows[:, k, : part.shape[1]] = part
-        rows = np.ascontiguousarray(rows.transpose(2, 0, 1))
-        terms = np.empty((steps, len(FIRST_WEIGHTS), n_odds, n), np.float32)
-        np.multiply(rows, np.float32(scale * root), out=terms[:, 0])
+    root = _root()
+    steps, n, n_odds = rows.shape
+    low, high, ones = np.float32(-0.25 / root), np.float32(1.0 / root), np.ones(n, np.float32)
+    # No weight moves further than this, so most blocks stay clear of the bounds.
+    reach = 2 * steps * scale * root * max(float(rows.max()), -float(rows.min()))
+    bounded = float(weights.min()) - reach < low or float(weights.max()) + reach > high
+    sums, miss, step = np.empty((steps, n), np.float32), np.empty(n, np.float32), np.empty(weights.shape, np.float32)
+    # The terms of a few steps at a time stay in the processor's cache.
+    few = min(max(HELD_TERMS // n, 1), steps)
+    held = np.empty((few, len(FIRST_WEIGHTS), n_odds, n), np.float32)
+    multiply, add, tanh, subtract, total = np.multiply, np.add, np.tanh, np.subtract, np.add.reduce
+    for start in range(0, steps, few):
+        part = rows[start : start + few].transpose(0, 2, 1)
+        terms = held[: len(part)]
+        multiply(part, np.float32(scale * root), out=terms[:, 0])
         for k in range(1, len(FIRST_WEIGHTS)):
-            np.multiply(terms[:, 0], rows[:, None, len(ORDERS) + k - 1] != 0, out=terms[:, k])
-        # No weight moves further than this, so most blocks stay clear of the bounds.
-        reach = 2 * steps * max(float(terms[:, 0].max()), -float(terms[:, 0].min()))
-        terms = terms.reshape(steps, n_rows, n)
-        bounded = float(weights.min()) - reach < low or float(weights.max()) + reach > high
-        sums, miss, step = np.empty((steps, n), np.float32), np.empty(n, np.float32), np.empty((n_rows, n), np.float32)
-        for term, z in zip(terms, sums):
-            np.multiply(weights, term, out=step)
-            np.add.reduce(step, axis=0, out=z)
-            np.tanh(z, out=miss)
-            np.subtract(one, miss, out=miss)
-            np.multiply(term, miss, out=step)
-            np.add(weights, step, out=weights)
+            multiply(terms[:, 0], (terms[:, :1, len(ORDERS) + k - 1] != 0).astype(np.float32), out=terms[:, k])
+        for term, z in zip(terms.reshape(-1, len(weights), n), sums[start:]):
+            multiply(weights, term, step)
+            total(step, 0, None, z)
+            tanh(z, miss)
+            subtract(ones, miss, miss)
+            multiply(term, miss, step)
+            add(weights, step, weights)
             if bounded:
                 np.minimum(weights, high, out=weights)
                 np.maximum(weights, low, out=weights)
-        sums *= -2
-        np.clip(sums, -MOST, MOST, out=sums)
-        np.exp(sums, out=sums)
-        sums += one
+    sums *= -2
+    np.clip(sums, -MOST, MOST, out=sums)
+    np.exp(sums, out=sums)
+    sums += np.float32(1)
+    # No product of 32 chances leaves the range of a double.
+    return np.log2(np.multiply.reduceat(sums, np.arange(0, steps, 32), axis=0, dtype=np.float64)).sum(axis=0)
+
+
+def _root() -> float:
+    return math.sqrt(RATE / (RUNS[-1] + 256) / 4)
+
+
+def bit_rows(pool: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The next (step, lane, predictor) log odds of lanes whose texts are (predictor, bit), zero behind a text's end;
+    how many places each lane goes on, and how many bits that is."""
+    n = np.minimum(end - at, STEPS)
+    places = at[:, None] + np.arange(int(n.max()))
+    inside = places < end[:, None]
+    rows = np.where(inside, pool[:, np.where(inside, places, 0)], pool.dtype.type(0))
+    return np.ascontiguousarray(rows.transpose(2, 1, 0)), n, n
+
+
+def mixed_scores(texts: Iterator[np.ndarray], scale: float, rows_of=bit_rows, lead: int = 0) -> list[float]:
+    """The log2 probabilities of texts in their order; the weights of a text move after every bit.
+
+    A text is (predictor, bit), the log odds of what came, or any (row, place) of which ``rows_of`` makes them, the first
+    ``lead`` places being what came before it; the gate of a long context is open where they are not zero.
+    The weights of a bit are the first row, plus the rows of the gates that are open there. Texts are walked side by side
+    and never touch each other; those that have ended make room for the next.
+    """
+    first = (np.array(FIRST_WEIGHTS).reshape(-1, 1) / (2 * _root())).astype(np.float32)
+    found: list[float] = []
+    number = at = end = np.empty(0, np.int64)
+    weights = np.empty((len(first), 0), np.float32)
+    coming = next(texts, None)
+    pool = None
+    gone = used = 0
+    while len(number) or coming is not None:
+        if coming is not None and (8 * gone >= len(number) or 4 * used >= SIDE_BITS):
+            # What is left moves to the front, in order; texts that come next are held behind it.
+            held = 0
+            for k, (a, b) in enumerate(zip((at - lead).tolist(), end.tolist())):
+                pool[:, held : held + b - a] = pool[:, a:b]
+                at[k], end[k] = held + lead, held + b - a
+                held += b - a
+            fresh = []
+            while coming is not None and len(number) + len(fresh) < SIDE_TEXTS and (
+                    held + coming.shape[1] <= SIDE_BITS or not len(number) + len(fresh)):
+                if pool is None or held + coming.shape[1] > pool.shape[1]:
+                    pool = np.zeros((len(coming), max(SIDE_BITS, coming.shape[1])), coming.dtype)
+                pool[:, held : held + coming.shape[1]] = coming
+                fresh.append((len(found), held + lead, held + coming.shape[1]))
+                held += coming.shape[1]
+                found.append(0.0)
+                coming = next(texts, None)
+            number, at, end = (np.append(x, np.array(y, np.int64)) for x, y in zip(
+                (number, at, end), zip(*fresh) if fresh else ((), (), ())))
+            weights = np.concatenate([weights, np.repeat(first, len(fresh), axis=1)], axis=1)
+            gone = used = 0
+        rows, places, bits = rows_of(pool, at, end)
+        if len(number) == 1:
+            # One text alone gets an empty lane beside it: sums are then taken in the same order in any company.
+            rows, weights = np.concatenate([rows, 0 * rows], axis=1), np.concatenate([weights, first], axis=1)
         # A bit behind the end costs one.
-        cost = np.log2(sums).sum(axis=0, dtype=np.float64)[: len(side)] - np.maximum(steps - left, 0)
-        for (number, _), bits in zip(side, cost.tolist()):
-            found[number] -= bits
-        at += steps
-        stay = np.flatnonzero(left > steps)
-        if len(stay) < len(side):
-            side, at, weights = [side[k] for k in stay], at[stay], weights[:, stay]
+        cost = moved(rows, weights, scale)[: len(number)] - (len(rows) - bits)
+        for k, lost in zip(number.tolist(), cost.tolist()):
+            found[k] -= lost
+        at = at + places
+        used += int(places.sum())
+        stay = np.flatnonzero(at < end)
+        gone += len(number) - len(stay)
+        number, at, end, weights = number[stay], at[stay], end[stay], np.ascontiguousarray(weights[:, stay])
     return found
 
 
@@ -515,48 +558,57 @@ def scores(texts: pa.RecordBatch, tables: list[np.ndarray], known: LongOdds) ->
     # Texts come in any order, but for the long ones, which begin early enough not to be walked alone at the end.
     most = max(int(sizes.max()), int(sizes.sum()) // SIDE_TEXTS)
     order = np.argsort(np.arange(len(sizes)) * (1 - sizes / most), kind="stable")
+
+    def rows_of(pool: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return symbol_rows(pool, at, end, tables, known.odds)
+
     found = np.empty(len(sizes))
-    found[order] = mixed_scores(_text_bits(texts, order, tables, known), 1.0 / SCALE)
+    found[order] = mixed_scores(_text_symbols(texts, order, known), 1.0 / SCALE, rows_of, 2)
     return found * math.log10(2)
 
 
-def _text_bits(texts: pa.RecordBatch, order: np.ndarray, tables: list[np.ndarray], known: LongOdds) -> Iterator[np.ndarray]:
-    """Log odds of what came in each text, as :func:`mixed_scores` takes them: long contexts are looked up together, log
-    odds are found piece by piece."""
+def _text_symbols(texts: pa.RecordBatch, order: np.ndarray, known: LongOdds) -> Iterator[np.ndarray]:
+    """The symbols of each text and where the walks of its long contexts begin, as :func:`symbol_rows` takes them: behind
+    two places of zero."""
     taken = (texts.take(pa.array(order[k : k + SIDE_TEXTS])) for k in range(0, len(order), SIDE_TEXTS))
     for part in row_pieces(taken, 0, COUNT_PIECE_BYTES // 2):
-        symbols, short, long, starts = contexts(*binary_buffers(part.column(0)))
-        begins = [known.begins(keys) for keys in long]
-        # The texts' bits outlive what they were found with, which would stay as holes between them.
+        symbols, _, long, starts = contexts(*binary_buffers(part.column(0)))
+        places = np.stack([symbols, *(known.begins(keys) for keys in long)]).astype(known.first.dtype)
         del long
-        give_back()
-        edges = np.append(starts, len(symbols))
-        first = 0
-        while first < len(starts):
-            last = max(int(np.searchsorted(edges, edges[first] + PIECE_BYTES, side="right")) - 1, first + 1)
-            a, b = edges[first], edges[last]
-            odds, bounds = _piece_odds(symbols[a:b], [c[a:b] for c in short], [c[a:b] for c in begins], tables, known)
-            ends = bounds[edges[first : last + 1] - a]
-            for a, b in zip(ends, ends[1:]):
-                yield odds[:, a:b].copy()
-            first = last
-
-
-def _piece_odds(
-    symbols: np.ndarray, short: list[np.ndarray], begins: list[np.ndarray], tables: list[np.ndarray], known: LongOdds
-) -> tuple[np.ndarray, np.ndarray]:
-    """Every predictor's log odds of the bits that came, and where each symbol's bits begin."""
-    _, nodes, bits = code_table()
-    counts, bounds, at = walks_of(symbols)
-    node = nodes.take(at)
-    odds = np.empty((len(ORDERS) + len(LONG_ORDERS), len(at)), np.int16)
-    for k, context in enumerate(short):
-        odds[k] = tables[k].take((np.repeat(context << np.uint32(8), counts) | node).astype(np.intp))
-    steps = np.arange(bounds[-1])
-    for k, begin in enumerate(begins, len(ORDERS)):
-        odds[k] = known.odds.take(np.repeat(begin - bounds[:-1], counts) + steps)
-    odds *= bits.take(at).astype(np.int16) * 2 - 1
-    return odds, bounds
+        for a, b in zip(starts, np.append(starts[1:], len(symbols))):
+            yield np.pad(places[:, a:b], ((0, 0), (2, 0)))
+
+
+def symbol_rows(
+    pool: np.ndarray, at: np.ndarray, end: np.ndarray, tables: list[np.ndarray], odds: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`bit_rows`, for texts that are symbols and where the walks of their long contexts begin: whole symbols, as
+    many as fit into the steps."""
+    lengths, nodes, bits = _wide_code()
+    places = at[:, None] + np.arange(STEPS // 3)
+    inside = places < end[:, None]
+    counts = lengths[pool[0].take(np.where(inside, places, 0))] * inside
+    after = np.cumsum(counts, axis=1)
+    inside &= after <= STEPS
+    going = inside.sum(axis=1)
+    n_bits = after[np.arange(len(at)), going - 1]
+    places, counts, before = places[inside], counts[inside], (after - counts)[inside]
+    symbols, one, two = (pool[0].take(places - k).astype(np.intp) for k in range(3))
+    # Every bit: its symbol, its place in the walk, and where its log odds go.
+    inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    code = np.repeat((np.cumsum(lengths) - lengths)[symbols], counts) + inner
+    short = np.repeat((one | two << 8) << 8, counts) | nodes.take(code)
+    found = np.empty((len(code), len(ORDERS) + len(LONG_ORDERS)), np.int16)
+    found[:, 0] = tables[0].take(short & 0xFFFF)
+    found[:, 1] = tables[1].take(short)
+    for k in range(len(LONG_ORDERS)):
+        found[:, len(ORDERS) + k] = odds.take(np.repeat(pool[1 + k].take(places).astype(np.intp), counts) + inner)
+    found *= (bits.take(code).astype(np.int16) * 2 - 1)[:, None]
+    n = len(at)
+    rows = np.zeros((int(n_bits.max()), n, found.shape[1]), np.int16)
+    target = np.repeat(before * n + np.repeat(np.arange(n), going), counts) + inner * n
+    rows.view(np.int64).ravel()[target] = found.view(np.int64).ravel()
+    return rows, going, n_bits
 
 
 def _scored(texts: DataFrame, tables: np.ndarray, odds: DataFrame) -> DataFrame:
@@ -565,6 +617,7 @@ def _scored(texts: DataFrame, tables: np.ndarray, odds: DataFrame) -> DataFrame:
 
     def run(rows: pa.Table, back: pa.Table) -> pa.Table:
         batch = rows.combine_chunks().to_batches()[0]
+        del rows  # the texts are held once
         # The chunk asked for its pairs in order, bucket by bucket.
         parts = sorted(zip(*(back.column(name).to_pylist() for name in ("bucket", "n", "odds"))))
         odds, at = np.empty(sum(n for _, n, _ in parts), np.int16), 0
@@ -576,7 +629,7 @@ def _scored(texts: DataFrame, tables: np.ndarray, odds: DataFrame) -> DataFrame:
         give_back()
         found = scores(batch, packed.value, known)
         give_back()
-        return pa.table({"digest": rows.column("digest"), "score": pa.array(found, pa.float64())})
+        return pa.table({"digest": batch.column("digest"), "score": pa.array(found, pa.float64())})
 
     return texts.groupBy("chunk").cogroup(odds.groupBy("chunk")).applyInArrow(run, "digest binary, score double")
 
@@ -622,6 +675,23 @@ def base_scores(parts: DataFrame, totals: DataFrame, n_all: int, n_distinct: int
     return found
 
 
+def size_class(size: Column) -> Column:
+    """Texts of very different length are not walked side by side: the last ones would be walked almost alone."""
+    return sum((F.when(size >= edge, 1).otherwise(0) for edge in SIZE_EDGES), F.lit(0))
+
+
+def dealt(texts: DataFrame, sizes: dict[int, int], n_chunks: int) -> DataFrame:
+    """``texts`` with ``chunk``: by digest, in chunks of one size class each, their number by the class's bytes."""
+    total, first = max(sum(sizes.values()), 1), 0
+    chunk = F.lit(None).cast("bigint")
+    kind = size_class(F.octet_length("text"))
+    for k, n_bytes in sorted(sizes.items()):
+        n = max(math.ceil(n_chunks * n_bytes / total), 1)
+        chunk = F.when(kind == k, F.pmod(F.xxhash64("digest"), F.lit(n)) + first).otherwise(chunk)
+        first += n
+    return texts.select("*", chunk.alias("chunk"))
+
+
 def held_out(doc_id: Column) -> Column:
     """One text in ten is not trained on."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -634,12 +704,14 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row
     rows = docs.select(
         content.alias("text"), held_out(F.col(doc_id)).alias("held_out"), text_digest(content).alias("digest"),
         F.struct(*[F.col(c) for c in docs.columns if c != text]).alias(row))
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = F.octet_length("text")
+    sizes = {r[0]: r[1] for r in rows.groupBy(size_class(size)).agg(F.sum(size)).collect()}
+    n_bytes = sum(sizes.values())
     n_chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(n_bytes / CHUNK_BYTES))
     with shuffle_cleanup(spark):
-        texts = Stage(rows.groupBy("digest").agg(
+        texts = Stage(dealt(rows.groupBy("digest").agg(
             F.first("text").alias("text"), F.count_if(~F.col("held_out")).alias("n_train"),
-        ).select("text", "n_train", "digest", F.pmod(F.xxhash64("digest"), F.lit(n_chunks)).alias("chunk")), "lm-texts")
+        ).select("text", "n_train", "digest"), sizes, n_chunks), "lm-texts")
         gathered_parts = Stage(gathered(texts.read(), n_chunks), "lm-parts", ("kind",))
         parts = gathered_parts.read()
         totals = Stage(word_totals(parts), "lm-totals")

@@ -422,6 +422,35 @@ def test_texts_side_by_side_score_as_alone(monkeypatch):
     assert lm_scoring.mixed_scores(iter([]), 1 / 256) == []
 
 
+def test_many_texts_are_walked_at_once_within_the_held_places(monkeypatch):
+    """Numpy calls are shared by many texts: one step costs as much for a few as for hundreds."""
+    lanes, block = [], lm_scoring.moved
+    monkeypatch.setattr(lm_scoring, "moved", lambda rows, *rest: lanes.append(rows.shape[1]) or block(rows, *rest))
+    deal = np.random.default_rng(5)
+    texts = [bytes(deal.choice(list(b"etaoin shrdlu"), 3000).tolist()) for _ in range(700)]
+    batch = pa.record_batch([pa.array(texts, pa.binary()), pa.array([1] * len(texts), pa.int64())], names=["text", "n_train"])
+    keys, counts = lm_scoring.chunk_pairs(batch)[1].summed()
+    known = lm_scoring.LongOdds(keys, lm_scoring.pair_odds(keys, counts))
+    tables = [np.zeros(1 << 16, np.int16), np.zeros(1 << lm_scoring.SLOT_BITS, np.int16)]
+    found = lm_scoring.scores(batch, tables, known)
+    assert lanes[0] >= 600
+    some = batch.slice(100, 5)
+    monkeypatch.setattr(lm_scoring, "SIDE_TEXTS", 2)
+    assert lm_scoring.scores(some, tables, known) == pytest.approx(found[100:105], abs=1e-9)
+
+
+def test_long_texts_are_kept_apart_from_short_ones(spark):
+    sizes = [10] * 300 + [100] * 300 + [20_000] * 40 + [70_000] * 8
+    rows = [(f"{k} ".ljust(n, "x"), bytes([k % 256, k // 256])) for k, n in enumerate(sizes)]
+    texts = spark.createDataFrame(rows, "text string, digest binary")
+    found = lm_scoring.dealt(texts, {0: 33_000, 1: 800_000, 2: 560_000}, 20).collect()
+    classes: dict[int, set] = {}
+    for r in found:
+        classes.setdefault(r["chunk"], set()).add(sum(len(r["text"]) >= edge for edge in lm_scoring.SIZE_EDGES))
+    assert len(found) == len(sizes) and all(len(x) == 1 for x in classes.values())
+    assert {k for x in classes.values() for k in x} == {0, 1, 2} and max(classes) < 20 + 3
+
+
 def test_model_learns_and_scores_alike_in_any_company(spark):
     """Held-out prose costs less than scrambled bytes and less than without training; neighbours do not matter."""
     rows = [(k, prose(k, 200)) for k in range(60)]
