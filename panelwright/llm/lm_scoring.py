@@ -49,7 +49,8 @@ MOST = 14.0  # log odds of a bit
 PRIOR = 0.4
 SCALE = 256  # of log odds in the tables
 RUNS = (1,)  # bits after which the weights move
-# Texts that are walked side by side, their bits or symbols, and the bits that they go on together.
+# Texts that are walked side by side, their bits or symbols, the bits that they go on together, and the lanes times steps
+# whose terms are made at once.
 SIDE_TEXTS, SIDE_BITS, STEPS = 1024, 3 << 20, 64
 HELD_TERMS = 1 << 13
 # Bytes of text whose distinct contexts are asked for together, and sizes from which texts are kept apart in chunks.
