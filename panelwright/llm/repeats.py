@@ -14,6 +14,11 @@ samples costs work only; suffixes are compared by 64 bits besides the bits of bl
 
 Defined results: a missing text counts as an empty one; a text shorter than ``length`` keeps all its bytes; equal
 texts of at least ``length`` bytes are repeats as a whole, repeated rows included; matches never cross texts.
+
+Passages are measured in words, too, since some fifty words may have fewer than ``length`` bytes: a word is shared if it
+lies in so many words in a row that another row has as well, A-Z lowered and however the words are set apart. Nothing is
+removed for it. Windows of that many words are named by 64 bits and grouped by them, those only whose least short window
+(samples again) another row has.
 """
 
 from __future__ import annotations
@@ -27,18 +32,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import Stage, binary_buffers, give_back, row_pieces, shuffle_cleanup, text_digest, whole_text
+from panelwright.llm.words import Words, words_of
+from panelwright.llm.words import _powers as words_of_powers
 
 LENGTH = 400
+PASSAGE_WORDS = 50
 PIECE_BYTES, PIECE_ROWS = 8 << 20, 65_000
 # Every byte of a piece may start an open suffix, which takes some ninety bytes of a task while the piece is packed.
 OPEN_BYTES = 2 << 20
+# Text whose windows of words a task packs at once, and the bytes of a usual word with its gap.
+PASSAGE_BYTES, WORD_BYTES = 2 << 20, 6
 # Samples or suffixes of one bucket, and of one block.
 BUCKET_ROWS = 2_000_000
 # Bits of a text's number inside the partition that gave it.
 NUMBER_BITS = 33
 BLOCK_SUFFIXES = 40_000_000
 SAMPLE_BASE, SUFFIX_BASE, BUCKET_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
+PASSAGE_BASE = 0xA0761D6478BD642F
 PART = 1 << 20
+LETTER = np.ones(256, bool)
+LETTER[[0x20, *range(0x09, 0x0E)]] = False
 
 
 @lru_cache(maxsize=8)
@@ -145,8 +158,8 @@ def _names(planes: bytes, n: int) -> np.ndarray:
     return full.view(">u8").ravel().astype(np.uint64)
 
 
-def tied(table: pa.Table) -> pa.Table:
-    """Of one bucket's entries those whose name another entry has, by piece."""
+def tied(table: pa.Table, across: bool = False) -> pa.Table:
+    """Of one bucket's entries those whose name another entry has (``across``: one of another text), by piece."""
     rows = table.select(["piece", "texts", "places", "names"]).to_pylist()
     sizes = [len(r["texts"]) // 2 if r["names"] else 0 for r in rows]
     names = np.concatenate([np.empty(0, np.uint64), *(_names(r["names"], n) for r, n in zip(rows, sizes) if n)])
@@ -154,7 +167,14 @@ def tied(table: pa.Table) -> pa.Table:
     ordered = names[order]
     same = ordered[1:] == ordered[:-1]
     repeated = np.zeros(len(names), bool)
-    repeated[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(names) else False
+    if len(names) and across:
+        # Equal names lie in the order of texts.
+        owners = np.concatenate([k << 16 | np.frombuffer(r["texts"], "<u2").astype(np.int64)
+                                 for k, (r, n) in enumerate(zip(rows, sizes)) if n])[order]
+        edges = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+        repeated[order] = np.repeat(owners[edges[:-1]] != owners[edges[1:] - 1], np.diff(edges))
+    elif len(names):
+        repeated[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     out: list[tuple] = []
     at = 0
     for r, n in zip(rows, sizes):
@@ -172,9 +192,12 @@ def tied(table: pa.Table) -> pa.Table:
                      "places": pa.array(columns[2], pa.binary())})
 
 
-def ties(entries: DataFrame) -> DataFrame:
+def ties(entries: DataFrame, across: bool = False) -> DataFrame:
     """``(piece, texts, places)`` of all tied entries."""
-    return entries.groupBy("bucket").applyInArrow(tied, "piece bigint, texts binary, places binary")
+    def run(table: pa.Table) -> pa.Table:
+        return tied(table, across)
+
+    return entries.groupBy("bucket").applyInArrow(run, "piece bigint, texts binary, places binary")
 
 
 def by_text(found: DataFrame) -> DataFrame:
@@ -275,23 +298,153 @@ def _spans_by_text(blocks: DataFrame, length: int) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame, text: str, length: int) -> Stage:
-    """``(no, digest, text)``: each long enough text once, numbered, written once."""
+    """``(no, digest, text, n_rows)``: each long enough text once with the number of its rows, numbered, written once."""
     content = whole_text(text).cast("binary")
     long = docs.select(text_digest(content).alias("digest"), content.alias("text")).filter(F.octet_length("text") >= length)
-    return Stage(long.dropDuplicates(["digest"]).select(F.monotonically_increasing_id().alias("no"), "digest", "text"),
-                 "repeat-texts")
+    once = long.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("n_rows"))
+    return Stage(once.select(F.monotonically_increasing_id().alias("no"), "digest", "text", "n_rows"), "repeat-texts")
+
+
+def sliding(pick: np.ufunc, row: np.ndarray, size: int) -> np.ndarray:
+    """``pick`` (the minimum or maximum) of every ``size`` neighbours, by the first of them."""
+    span = 1
+    while 2 * span <= size:
+        row = pick(row[:-span], row[span:])
+        span *= 2
+    return pick(row[: len(row) - size + span], row[size - span :]) if span < size else row
+
+
+def word_windows(words: Words, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that begin ``n_words`` words of one text, and the 64-bit names of these windows."""
+    n = len(words.text)
+    at = np.flatnonzero(words.text[: max(n - n_words + 1, 0)] == words.text[n_words - 1 :])
+    up, down = _powers(PASSAGE_BASE, 1 << max(n, 1).bit_length())
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words.hashes * up[:n], out=sums[1:])
+    names = (sums[at + n_words] - sums[at]) * down[at]
+    names ^= names >> np.uint64(31)
+    names *= np.uint64(0xBF58476D1CE4E5B9)
+    names ^= names >> np.uint64(30)
+    return at, names
+
+
+def passage_samples(words: Words, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The short windows, of three in ten of the words, that have the least name in a window of ``n_words``: equal
+    windows have equal ones."""
+    at, _ = word_windows(words, n_words)
+    if not len(at):
+        return at, np.empty(0, np.uint64)
+    width = _sample_words(n_words)
+    short, short_names = word_windows(words, width)
+    names = np.full(len(words.text), ~np.uint64(0))
+    names[short] = short_names
+    reach = n_words - width + 1
+    least = np.zeros(len(names) + reach - 1, np.uint64)
+    least[at + reach - 1] = sliding(np.minimum, names, reach)[at]
+    chosen = np.flatnonzero(sliding(np.maximum, least, reach) == names)
+    return chosen, names[chosen]
+
+
+def _sample_words(n_words: int) -> int:
+    return max(n_words * 3 // 10, 1)
+
+
+def open_windows(words: Words, n_words: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`word_windows`, those that hold one of the short windows which begin with the words ``marks``."""
+    at, names = word_windows(words, n_words)
+    n, reach = len(words.text), n_words - _sample_words(n_words) + 1
+    change = np.bincount(np.maximum(marks - reach + 1, 0), minlength=n + 1) - np.bincount(marks + 1, minlength=n + 1)
+    held = np.cumsum(change)[at] > 0
+    return at[held], names[held]
+
+
+def passage_entries(texts: DataFrame, n_words: int, n_buckets: int) -> DataFrame:
+    """Named samples of all texts, or with ``marks`` their open windows, packed; a place is a word. What two texts of a
+    piece hold, and what a text of several rows holds, is settled there."""
+    marked = "marks" in texts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, 1, PASSAGE_BYTES):
+            give_back()
+            data, offsets = binary_buffers(batch.column(1))
+            words = words_of(data, offsets, LETTER)
+            begins = np.searchsorted(words.text, np.arange(batch.num_rows))
+            if marked:
+                marks = [np.frombuffer(m, "<u4") + begin for m, begin in zip(batch.column(3).to_pylist(), begins)]
+                at, names = open_windows(words, n_words, np.concatenate(marks))
+            else:
+                at, names = passage_samples(words, n_words)
+            if not len(names):
+                continue
+            texts = words.text[at]
+            places = at - begins[texts]
+            numbers = batch.column(0).to_numpy()
+            order = np.argsort(names, kind="stable")
+            texts, places, names = texts[order], places[order], names[order]
+            copied = batch.column(2).to_numpy()[texts] > 1
+            # Equal names lie in the order of texts.
+            edges = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]]))
+            first, last = edges[:-1], edges[1:] - 1
+            common = texts[first] != texts[last]
+            within = np.repeat(common, np.diff(edges))
+            texts, piece = numbers[texts] - numbers[0], int(numbers[0])
+            rows, settled = [], within | copied
+            if settled.any():
+                rows.append(_row(piece % n_buckets, piece, texts[settled], places[settled], names[:0], 8))
+            # A name that two texts hold is sent for both, so that a single one elsewhere meets it.
+            sent = np.sort(np.concatenate([np.flatnonzero(~within), first[common], last[common]]))
+            texts, places, names = texts[sent], places[sent], names[sent]
+            buckets = ((names >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+            cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+            rows += [_row(int(buckets[a]), piece, texts[a:b], places[a:b], names[a:b], 8) for a, b in zip(cuts, cuts[1:])]
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=NAMES)
+        # A task's Python process stays for the stages that follow.
+        _powers.cache_clear()
+        words_of_powers.cache_clear()
+        give_back()
 
+    return texts.select("no", "text", "n_rows", *["marks"] * marked).mapInArrow(run, PACKED)
 
-def find_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+
+def shared_words(texts: DataFrame, partitions: int, n_words: int) -> DataFrame:
+    """``(no, n_shared_words)`` of the texts that share a passage with another row: the words that lie in one.
+
+    ``texts`` is ``(no, text, n_rows)`` of distinct texts. Samples that no other row has open no window.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(1).to_pylist()]
+            covered = [int(np.minimum(np.diff(x), n_words).sum()) + n_words for x in starts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(covered, pa.int64())], names=["no", "n_shared_words"])
+
+    def buckets(n_entries: int) -> int:
+        return max(partitions, n_entries // BUCKET_ROWS + 1)
+
+    reach = n_words - _sample_words(n_words) + 1
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # On average two samples lie in the reach of a window; a tied one opens no more windows than that.
+    samples = passage_entries(texts, n_words, buckets(n_bytes // WORD_BYTES * 2 // (reach + 1)))
+    marks = Stage(by_text(ties(samples, across=True)).withColumnRenamed("places", "marks"), "repeat-passages").read()
+    n_open = (marks.agg(F.sum(F.octet_length("marks"))).first()[0] or 0) // 4 * reach
+    opened = texts.join(marks, "no")
+    # Texts that were numbered together come together again, so that pieces are large.
+    opened = opened.repartition(partitions, F.shiftright("no", NUMBER_BITS)).sortWithinPartitions("no")
+    found = ties(passage_entries(opened, n_words, buckets(n_open)), across=True)
+    return by_text(found).mapInArrow(counted, "no bigint, n_shared_words bigint")
+
+
+def find_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, stage: Stage | None = None) -> DataFrame:
     """``(digest, text, spans)`` of the distinct texts that share a string with another place, text as bytes.
 
-    Positions are bytes. Equal texts count once here; see :func:`removals`.
+    Positions are bytes. Equal texts count once here; see :func:`removals`. A ``stage`` of the distinct texts may hold
+    shorter ones; it is dropped.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     period, members = difference_cover(length)
-    stage = distinct_texts(docs, text, length)
-    texts = stage.read()
+    stage = stage or distinct_texts(docs, text, length)
+    texts = stage.read().select("no", "digest", "text").filter(F.octet_length("text") >= length)
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     with shuffle_cleanup(spark):
         n_buckets = max(partitions, n_bytes * len(members) // period // BUCKET_ROWS + 1)
@@ -316,18 +469,33 @@ def find_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     return opened.read().join(spans.read(), "no").select("digest", "text", "spans")
 
 
-def removals(docs: DataFrame, text: str = "text", length: int = LENGTH, row: str = "row") -> DataFrame:
-    """``(row, n_bytes, n_removed, n_spans, kept_sha256)`` for every input row; ``row`` is the row without its text."""
+def removals(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, row: str = "row", passage_words: int = 0,
+) -> DataFrame:
+    """``(row, n_bytes, n_removed, n_spans, kept_sha256)`` for every input row; ``row`` is the row without its text.
+
+    With ``passage_words``, ``n_shared_words`` follows: the words in passages of so many that another row has as well.
+    """
     content = whole_text(text).cast("binary")
     rows = docs.select(
         F.struct(*[F.col(c) for c in docs.columns if c != text]).alias(row), text_digest(content).alias("digest"),
         F.octet_length(content).cast("long").alias("n_bytes"), F.sha2(content, 256).alias("whole_sha256"))
-    found = find_repeats(docs, text, length)
+    stage = words = None
+    if passage_words:
+        # So many words have a byte each and a gap between them at least.
+        stage = distinct_texts(docs, text, min(length, 2 * passage_words - 1))
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        with shuffle_cleanup(docs.sparkSession):
+            shared = shared_words(stage.read(), partitions, passage_words)
+            words = Stage(stage.read().select("no", "digest").join(shared, "no").drop("no"), "repeat-words")
+    found = find_repeats(docs, text, length, stage)
     parts = kept_facts(found)
     copies = rows.filter(F.col("n_bytes") >= length).groupBy("digest").count().filter("count > 1").select(
         "digest", F.lit(True).alias("copied"))
     facts = parts.join(copies, "digest", "full").select(
         "digest", "copied", "n_removed", "n_spans", "kept_sha256")
+    if words:
+        facts = facts.join(words.read(), "digest", "full")
     joined = rows.join(facts, "digest", "left")
     whole = F.coalesce("copied", F.lit(False))
     return joined.select(
@@ -335,6 +503,7 @@ def removals(docs: DataFrame, text: str = "text", length: int = LENGTH, row: str
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
+        *([F.coalesce("n_shared_words", F.lit(0)).cast("long").alias("n_shared_words")] if words else []),
     )
 
 

@@ -346,6 +346,35 @@ def test_open_suffixes_are_packed_in_bounded_pieces(spark, monkeypatch):
     assert {(r["n_removed"], r["n_spans"]) for r in found} <= {(3000, 1), (3001, 1), (3002, 1), (3003, 1), (3004, 1)} and len(found) == 40
 
 
+@pytest.mark.parametrize("piece_bytes", [None, 600])
+def test_passages_of_words_shared_across_rows(spark, monkeypatch, piece_bytes):
+    """Passages of fifty words are found below 400 bytes, in other rows only, and whatever sets the words apart."""
+    if piece_bytes:
+        monkeypatch.setattr(repeats, "PASSAGE_BYTES", piece_bytes)
+    passage, line = prose(20, 51), " ".join(f"l{k}" for k in range(55))
+    assert len(passage) < 400
+    rows = [
+        (1, prose(21, 60) + " " + passage + " " + prose(22, 30)), (2, passage.replace("t", "T").replace(" ", "\t\n") + " " + prose(23, 70)),
+        (3, prose(24, 120)), (4, f"{line} mid {line}"), (5, prose(25, 52)), (5, prose(25, 52)), (6, prose(26, 49)), (6, prose(26, 49)),
+        (7, "a " * 50), (8, "  a" * 50), (9, "b " * 60 + "tail"), (None, None), (10, ""), (11, prose(25, 52) + " more"),
+        (12, prose(24, 49)), (13, prose(24, 50)),
+    ]
+    windows = collections.defaultdict(set)
+    split = [GAP.findall(lower(t or "")) for _, t in rows]
+    for k, words in enumerate(split):
+        for a in range(len(words) - 49):
+            windows[tuple(words[a : a + 50])].add(k)
+    want = collections.Counter()
+    for (i, _), words in zip(rows, split):
+        covered = {x for a in range(len(words) - 49) if len(windows[tuple(words[a : a + 50])]) > 1 for x in range(a, a + 50)}
+        want[i, len(covered)] += 1
+    found = repeats.removals(spark.createDataFrame(rows, "doc_id int, text string"), passage_words=50).collect()
+    assert collections.Counter((r["row"]["doc_id"], r["n_shared_words"]) for r in found) == want
+    assert want[1, 51] == want[2, 51] == want[4, 0] == 1 and want[5, 52] == 2 and want[13, 50] == 1
+    plain = repeats.removals(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert collections.Counter(r[:5] for r in found) == collections.Counter(tuple(r) for r in plain)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
     found = simhash.components(spark.range(61).selectExpr("id AS fp"), edges).collect()
