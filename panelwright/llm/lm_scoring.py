@@ -184,10 +184,18 @@ class Pairs:
         self.held = self.most = 0
 
     def add(self, keys: np.ndarray, weight: np.ndarray) -> None:
-        coded = pa.array(keys).dictionary_encode()
+        # Most texts count once or not at all: their pairs are counted by their runs in order.
+        once, never = weight == 1, weight == 0
+        for used in (once, never):
+            row = np.sort(keys[used])
+            edges = np.flatnonzero(np.concatenate([[len(row) > 0], row[1:] != row[:-1], [True]]))
+            self.keys.append(row[edges[:-1]])
+            self.counts.append(np.diff(edges) if used is once else np.zeros(max(len(edges) - 1, 0), np.int64))
+        rest = ~(once | never)
+        coded = pa.array(keys[rest]).dictionary_encode()
         self.keys.append(coded.dictionary.to_numpy())
-        self.counts.append(np.bincount(coded.indices.to_numpy(), weights=weight, minlength=len(coded.dictionary)))
-        self.held += len(self.keys[-1])
+        self.counts.append(np.bincount(coded.indices.to_numpy(), weights=weight[rest], minlength=len(coded.dictionary)))
+        self.held += sum(map(len, self.keys[-3:]))
         if self.held > max(HELD_PAIRS, 2 * self.most):
             self.summed()
 
@@ -440,11 +448,11 @@ def bit_rows(pool: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return np.ascontiguousarray(rows.transpose(2, 1, 0)), n, n
 
 
-def mixed_scores(texts: Iterator[np.ndarray], scale: float, rows_of=bit_rows, lead: int = 0) -> list[float]:
+def mixed_scores(texts: Iterator[np.ndarray], scale: float, rows_of=bit_rows) -> list[float]:
     """The log2 probabilities of texts in their order; the weights of a text move after every bit.
 
-    A text is (predictor, bit), the log odds of what came, or any (row, place) of which ``rows_of`` makes them, the first
-    ``lead`` places being what came before it; the gate of a long context is open where they are not zero.
+    A text is (predictor, bit), the log odds of what came, or any (row, place) of which ``rows_of`` makes them; the gate of
+    a long context is open where they are not zero.
     The weights of a bit are the first row, plus the rows of the gates that are open there. Texts are walked side by side
     and never touch each other; those that have ended make room for the next.
     """
@@ -459,9 +467,9 @@ def mixed_scores(texts: Iterator[np.ndarray], scale: float, rows_of=bit_rows, le
         if coming is not None and (8 * gone >= len(number) or 4 * used >= SIDE_BITS):
             # What is left moves to the front, in order; texts that come next are held behind it.
             held = 0
-            for k, (a, b) in enumerate(zip((at - lead).tolist(), end.tolist())):
+            for k, (a, b) in enumerate(zip(at.tolist(), end.tolist())):
                 pool[:, held : held + b - a] = pool[:, a:b]
-                at[k], end[k] = held + lead, held + b - a
+                at[k], end[k] = held, held + b - a
                 held += b - a
             fresh = []
             while coming is not None and len(number) + len(fresh) < SIDE_TEXTS and (
@@ -469,7 +477,7 @@ def mixed_scores(texts: Iterator[np.ndarray], scale: float, rows_of=bit_rows, le
                 if pool is None or held + coming.shape[1] > pool.shape[1]:
                     pool = np.zeros((len(coming), max(SIDE_BITS, coming.shape[1])), coming.dtype)
                 pool[:, held : held + coming.shape[1]] = coming
-                fresh.append((len(found), held + lead, held + coming.shape[1]))
+                fresh.append((len(found), held, held + coming.shape[1]))
                 held += coming.shape[1]
                 found.append(0.0)
                 coming = next(texts, None)
@@ -537,20 +545,53 @@ def long_odds(parts: DataFrame) -> DataFrame:
 
 
 class LongOdds:
-    """The log odds that came back to a chunk: sorted pairs, and where the walk of each begins."""
+    """The log odds that came back to a chunk: sorted pairs, and where the walk of each begins.
+
+    A bit of a walk holds the log odds of what came under all predictors side by side, as :func:`moved` takes them: at
+    first the pair's own as the last. A pair of the four-byte order decides the short contexts, too; it is told of them when
+    it is first met, and its own come before the last then."""
 
     def __init__(self, keys: np.ndarray, odds: np.ndarray):
-        self.keys, self.odds = keys, odds
-        n = code_table()[0][(keys & np.uint64(0xFF)).astype(np.uint8)]
+        self.keys = keys
+        lengths, _, bits = code_table()
+        n = lengths[(keys & np.uint64(0xFF)).astype(np.uint8)]
         self.first = (np.cumsum(n) - n).astype(np.uint32 if len(odds) < 1 << 32 else np.int64)
-
-    def begins(self, keys: np.ndarray) -> np.ndarray:
+        self.bits = np.zeros(len(odds), np.int64)
+        lanes = self.bits.view(np.int16).reshape(-1, 4)
+        for a in range(0, len(keys), HELD_PAIRS // 4):
+            symbols = (keys[a : a + HELD_PAIRS // 4] & np.uint64(0xFF)).astype(np.uint8)
+            _, bounds, code = walks_of(symbols)
+            part = slice(int(self.first[a]), int(self.first[a]) + int(bounds[-1]))
+            lanes[part, 3] = odds[part] * (bits[code].astype(np.int16) * 2 - 1)
+        self.told = np.zeros(len(keys), bool)
+
+    def begins(self, keys: np.ndarray, pairs: np.ndarray | None = None, tables: list[np.ndarray] = ()) -> np.ndarray:
+        """Where the walks of the keys begin; ``pairs`` are the two-byte contexts of keys of the four-byte order."""
         coded = pa.array(keys).dictionary_encode()
-        values = coded.dictionary.to_numpy()
+        values, indices = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         order = np.argsort(values)
-        begins = np.empty(len(values), np.int64)
-        begins[order] = self.first[np.searchsorted(self.keys, values[order])]
-        return begins.take(coded.indices.to_numpy())
+        at = np.empty(len(values), np.int64)
+        at[order] = np.searchsorted(self.keys, values[order])
+        begins = self.first[at]
+        if pairs is not None:
+            fresh = np.flatnonzero(~self.told[at])
+            place = np.empty(len(values), np.int64)
+            place[indices] = np.arange(len(indices))
+            self._tell(begins[fresh], (values[fresh] & np.uint64(0xFF)).astype(np.uint8), pairs[place[fresh]], tables)
+            self.told[at[fresh]] = True
+        return begins.take(indices)
+
+    def _tell(self, begins: np.ndarray, symbols: np.ndarray, pairs: np.ndarray, tables: list[np.ndarray]) -> None:
+        _, nodes, bits = _wide_code()
+        counts, bounds, code = walks_of(symbols)
+        where = np.repeat(begins.astype(np.int64) - bounds[:-1], counts) + np.arange(bounds[-1])
+        short = np.repeat(pairs.astype(np.int64) << 8, counts) | nodes[code]
+        sign = bits[code].astype(np.int16) * 2 - 1
+        found = np.zeros((len(where), 4), np.int16)
+        found[:, 0] = tables[0].take(short & 0xFFFF) * sign
+        found[:, 1] = tables[1].take(short) * sign
+        found[:, 2] = self.bits.view(np.int16).reshape(-1, 4)[where, 3]
+        self.bits[where] = found.view(np.int64).ravel()
 
 
 def scores(texts: pa.RecordBatch, tables: list[np.ndarray], known: LongOdds) -> np.ndarray:
@@ -561,55 +602,56 @@ def scores(texts: pa.RecordBatch, tables: list[np.ndarray], known: LongOdds) ->
     order = np.argsort(np.arange(len(sizes)) * (1 - sizes / most), kind="stable")
 
     def rows_of(pool: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return symbol_rows(pool, at, end, tables, known.odds)
+        return symbol_rows(pool, at, end, known.bits)
 
     found = np.empty(len(sizes))
-    found[order] = mixed_scores(_text_symbols(texts, order, known), 1.0 / SCALE, rows_of, 2)
+    found[order] = mixed_scores(_text_symbols(texts, order, tables, known), 1.0 / SCALE, rows_of)
     return found * math.log10(2)
 
 
-def _text_symbols(texts: pa.RecordBatch, order: np.ndarray, known: LongOdds) -> Iterator[np.ndarray]:
-    """The symbols of each text and where the walks of its long contexts begin, as :func:`symbol_rows` takes them: behind
-    two places of zero."""
+def _text_symbols(
+    texts: pa.RecordBatch, order: np.ndarray, tables: list[np.ndarray], known: LongOdds
+) -> Iterator[np.ndarray]:
+    """The symbols of each text and where the walks of its long contexts begin, as :func:`symbol_rows` takes them."""
     taken = (texts.take(pa.array(order[k : k + SIDE_TEXTS])) for k in range(0, len(order), SIDE_TEXTS))
     for part in row_pieces(taken, 0, COUNT_PIECE_BYTES // 2):
-        symbols, _, long, starts = contexts(*binary_buffers(part.column(0)))
-        places = np.stack([symbols, *(known.begins(keys) for keys in long)]).astype(known.first.dtype)
-        del long
+        symbols, short, (four, word), starts = contexts(*binary_buffers(part.column(0)))
+        places = np.stack([symbols, known.begins(four, short[-1], tables), known.begins(word)]).astype(known.first.dtype)
+        del four, word
         for a, b in zip(starts, np.append(starts[1:], len(symbols))):
-            yield np.pad(places[:, a:b], ((0, 0), (2, 0)))
+            yield places[:, a:b]
 
 
 def symbol_rows(
-    pool: np.ndarray, at: np.ndarray, end: np.ndarray, tables: list[np.ndarray], odds: np.ndarray
+    pool: np.ndarray, at: np.ndarray, end: np.ndarray, odds: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As :func:`bit_rows`, for texts that are symbols and where the walks of their long contexts begin: whole symbols, as
     many as fit into the steps."""
-    lengths, nodes, bits = _wide_code()
+    lengths = code_table()[0]
     places = at[:, None] + np.arange(STEPS // 3)
     inside = places < end[:, None]
-    counts = lengths[pool[0].take(np.where(inside, places, 0))] * inside
+    counts = lengths.take(pool[0].take(np.where(inside, places, 0))) * inside
     after = np.cumsum(counts, axis=1)
     inside &= after <= STEPS
     going = inside.sum(axis=1)
-    n_bits = after[np.arange(len(at)), going - 1]
-    places, counts, before = places[inside], counts[inside], (after - counts)[inside]
-    symbols, one, two = (pool[0].take(places - k).astype(np.intp) for k in range(3))
-    # Every bit: its symbol, its place in the walk, and where its log odds go.
-    inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    code = np.repeat((np.cumsum(lengths) - lengths)[symbols], counts) + inner
-    short = np.repeat((one | two << 8) << 8, counts) | nodes.take(code)
-    found = np.empty((len(code), len(ORDERS) + len(LONG_ORDERS)), np.int16)
-    found[:, 0] = tables[0].take(short & 0xFFFF)
-    found[:, 1] = tables[1].take(short)
-    for k in range(len(LONG_ORDERS)):
-        found[:, len(ORDERS) + k] = odds.take(np.repeat(pool[1 + k].take(places).astype(np.intp), counts) + inner)
-    found *= (bits.take(code).astype(np.int16) * 2 - 1)[:, None]
     n = len(at)
-    rows = np.zeros((int(n_bits.max()), n, found.shape[1]), np.int16)
-    target = np.repeat(before * n + np.repeat(np.arange(n), going), counts) + inner * n
-    rows.view(np.int64).ravel()[target] = found.view(np.int64).ravel()
-    return rows, going, n_bits
+    n_bits = after[np.arange(n), going - 1]
+    places, counts, before = places[inside], counts[inside], (after - counts)[inside]
+    # Every bit: where its log odds are, in the walk of either order, and where they go.
+    bounds = np.cumsum(counts)
+    gone, every = bounds - counts, np.arange(int(bounds[-1]))
+    where = np.repeat(pool[1].take(places) - gone, counts)
+    where += every
+    found = odds.take(where)
+    where = np.repeat(pool[2].take(places) - gone, counts)
+    where += every
+    found |= odds.take(where)
+    rows = np.zeros((int(n_bits.max()), n), np.int64)
+    where = np.repeat((before - gone) * n + np.repeat(np.arange(n), going), counts)
+    every *= n
+    where += every
+    rows.ravel()[where] = found
+    return rows.view(np.int16).reshape(len(rows), n, 4), going, n_bits
 
 
 def _scored(texts: DataFrame, tables: np.ndarray, odds: DataFrame) -> DataFrame:
@@ -626,7 +668,7 @@ def _scored(texts: DataFrame, tables: np.ndarray, odds: DataFrame) -> DataFrame:
             odds[at : at + n] = _unpacked(part, n, "<i2")
             at += n
         known = LongOdds(long_keys(batch), odds)
-        del parts, part, back
+        del parts, part, back, odds
         give_back()
         found = scores(batch, packed.value, known)
         give_back()

@@ -375,6 +375,43 @@ def test_passages_of_words_shared_across_rows(spark, monkeypatch, piece_bytes):
     assert collections.Counter(r[:5] for r in found) == collections.Counter(tuple(r) for r in plain)
 
 
+def test_all_log_odds_of_a_bit_lie_together(monkeypatch):
+    """Two places of a chunk's walks give every bit's log odds, as one by one lookups in the tables and pairs do."""
+    monkeypatch.setattr(lm_scoring, "COUNT_PIECE_BYTES", 900)
+    texts = [t.encode() for t in [prose(k, 3 + 9 * k) for k in range(12)] + ["", "Aß", "x" * 50]]
+    weight = np.arange(len(texts)) % 4
+    batch = pa.record_batch([pa.array(texts), pa.array(weight)], names=["text", "n_train"])
+    keys, counts = lm_scoring.chunk_pairs(batch)[1].summed()
+    want = collections.Counter()
+    for t, w in zip(texts, weight.tolist()):
+        joined = np.frombuffer(t, np.uint8)
+        for row in lm_scoring.contexts(joined, np.array([0, len(t)]))[2]:
+            for key in row.tolist():
+                want[key] += w
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and sorted(want) == keys.tolist()
+    odds = lm_scoring.pair_odds(keys, counts)
+    known = lm_scoring.LongOdds(keys, odds)
+    deal = np.random.default_rng(2)
+    tables = [deal.integers(-900, 900, 1 << n, dtype=np.int16) for n in (16, lm_scoring.SLOT_BITS)]
+    coming = list(lm_scoring._text_symbols(batch, np.arange(len(texts)), tables, known))
+    lengths, nodes, bits = lm_scoring.code_table()
+    for t, places in zip(texts, coming):
+        symbols, short, long, _ = lm_scoring.contexts(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        _, _, code = lm_scoring.walks_of(symbols)
+        n = lengths[symbols]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rows = [table[(np.repeat(context.astype(np.int64) << 8, n) | nodes[code]) & (len(table) - 1)] for table, context in zip(tables, short)]
+        begins = np.cumsum(lengths[(keys & np.uint64(255)).astype(int)]) - lengths[(keys & np.uint64(255)).astype(int)]
+        rows += [odds[np.repeat(begins[np.searchsorted(keys, k)], n) + inner] for k in long]
+        asked = np.stack(rows, axis=1) * (bits[code].astype(np.int16) * 2 - 1)[:, None]
+        got, at = [], np.array([0])
+        while at[0] < len(symbols):
+            found, going, n_bits = lm_scoring.symbol_rows(places, at, np.array([len(symbols)]), known.bits)
+            got.append(found[: n_bits[0], 0])
+            at = at + going
+        assert (np.concatenate(got) == asked).all()
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
     found = simhash.components(spark.range(61).selectExpr("id AS fp"), edges).collect()
